@@ -1,13 +1,18 @@
 """The subpackage's queries and their SQL, by name."""
 
-from tablewright.llm import exact_dedup, mixing, url_filter
+from tablewright.llm import exact_dedup, mixing, packing, pii, simhash, topk, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_packing": packing.op4_packing,
+    "op5_pii": pii.op5_pii,
+    "op6_topk": topk.op6_topk,
+    "op7_simhash": simhash.op7_simhash,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op6_topk": topk.SQL,
 }
