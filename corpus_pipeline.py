@@ -1,8 +1,53 @@
-"""The corpus pipeline: quality, exact and near dedup, mixing, packing."""
+"""The corpus pipeline: quality, exact and near dedup, mixing, packing.
+
+Every stage works on all that its predecessor kept; all but the last return the
+columns of documents. STAGES is what a job writes and reads between the stages;
+run() applies them one after another. The stages decide by trained models and
+hashed schedules that SQL can't express, so there is no oracle; the tests hold them
+against plain versions.
+"""
+
+from tablewright.llm.exact_dedup import dedup_documents
+from tablewright.llm.mixing import mix_documents
+from tablewright.llm.packing import pack
+from tablewright.llm.quality import good_documents
+from tablewright.llm.simhash import near_dedup_documents
 
 ORACLE_SQL = None
 
-STAGES = []
+
+def quality_stage(spark, docs, sf_dir):
+    """Documents that the quality classifier rejects go."""
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_stage(spark, docs, sf_dir):
+    """Of equal texts one document stays."""
+    return dedup_documents(docs)
+
+
+def near_stage(spark, docs, sf_dir):
+    """Of each group of near duplicates one document stays."""
+    return near_dedup_documents(docs)
+
+
+def mixing_stage(spark, docs, sf_dir):
+    """Documents stay, go or repeat as the mix of sources takes them."""
+    return mix_documents(docs)
+
+
+def packing_stage(spark, docs, sf_dir):
+    """The places of the documents' pieces in training sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark, sf_dir):

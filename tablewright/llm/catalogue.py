@@ -1,6 +1,8 @@
 """The subpackage's queries and their SQL, by name."""
 
-from tablewright.llm import exact_dedup, mixing, packing, pii, simhash, topk, url_filter
+from tablewright.llm import (
+    exact_dedup, language, mixing, packing, pii, quality, simhash, topk, toxicity, url_filter,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +12,9 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_topk": topk.op6_topk,
     "op7_simhash": simhash.op7_simhash,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality": quality.op9_quality,
+    "op10_language": language.op10_language,
 }
 
 ORACLE_SQL = {
