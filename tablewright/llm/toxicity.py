@@ -1,21 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on
-those parts of words that toxic documents hold far more often than ordinary ones.
-Every window of a document is compressed twice, with the ordinary dictionary alone
-and with the toxic one before it; how many bytes the toxic dictionary saves is the
-window's distance. A small logistic model, fitted on the training labels, turns a
-document's savings into a calibrated score.
+A text is a sequence of words, each written as the CODE bytes of a hash of its first
+STEM letters, so that no letter statistics blur the lengths. Two zstandard
+dictionaries are trained: one on windows of ordinary text, one on the words that
+toxic documents hold far more often than ordinary ones. Every window of a document
+is compressed twice, with the ordinary dictionary alone and with the toxic one before
+it; how many bytes the toxic dictionary saves is the window's distance. A small
+logistic model, fitted on the training labels, turns a document's savings into a
+calibrated score.
 
 Training takes a bounded sample (TOXIC and ORDINARY documents) on the driver; the
 model is under 50 kilobytes. Scoring is one pass over whole texts without any
-shuffle. A saving needs a match of at least MATCH bytes with the toxic dictionary,
-so windows that hold none of its MATCH-byte strings are known to save nothing and
-aren't compressed.
+shuffle. Codes are longer than a match may be short, so a window without any word of
+the toxic dictionary saves nothing, and isn't compressed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -31,73 +33,38 @@ from tablewright.llm.labelled import held_out, sample
 #: Most toxic and ordinary documents that are learned from.
 TOXIC, ORDINARY = 2000, 5000
 
-#: Bytes of a window, of the two dictionaries, and of the shortest match.
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES, MATCH = 256, 16384, 4096, 5
+#: Words of a window, letters of a stem, bytes of its code and of the shortest match.
+WINDOW, STEM, CODE, MATCH = 64, 5, 8, 6
 
-#: Characters of the word parts that are counted, documents and standard errors that make one toxic.
-PART, LEAST, ERRORS = 6, 3, 5.0
+#: Bytes of the two dictionaries.
+ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
+
+#: Toxic documents (and their share), and standard errors of the difference, that make a stem toxic.
+LEAST, SHARE, ERRORS = 3, 0.01, 5.0
 
 THRESHOLD = 0.7
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(rf"([^\W\d_]{{1,{STEM}}})[^\W\d_]*")
 
 
-def words(text: str) -> list[str]:
+def stems(text: str) -> list[str]:
+    """The first letters of every word, lower-cased, in order."""
     return _WORD.findall(text.lower())
 
 
-def parts(word: str) -> set[str]:
-    word = " " + word
-    return {word[i : i + PART] for i in range(max(1, len(word) - PART + 1))}
-
-
-def telling(word: str, good: set[str]) -> list[str]:
-    """The stretches of a word, with the space before it, that telling parts cover."""
-    word, out, end = " " + word, [], -1
-    for i in range(max(1, len(word) - PART + 1)):
-        if word[i : i + PART] in good:
-            stop = min(len(word), i + PART)
-            if i <= end:
-                out[-1] += word[end:stop]
-            else:
-                out.append(word[i:stop])
-            end = stop
-    return out
-
-
-def line(text: str) -> bytes:
-    return (" " + " ".join(words(text))).encode("utf-8", "surrogatepass")
-
+def code(stem: str) -> bytes:
+    return hashlib.blake2b(stem.encode("utf-8", "surrogatepass"), digest_size=CODE).digest()
 
-def windows(data: bytes) -> list[tuple[int, int]]:
-    """(start, end) of windows of about WINDOW bytes that end between words where they can."""
-    out, i = [], 0
-    while i < len(data):
-        j = i + WINDOW
-        if j < len(data):
-            k = data.rfind(b" ", i + 1, j + 1)
-            j = k if k > i else j
-        out.append((i, min(j, len(data))))
-        i = j
-    return out
 
-
-def codes(data: bytes) -> np.ndarray:
-    """A hash below 2**16 of each MATCH-byte string of data."""
-    x = np.frombuffer(data, np.uint8).astype(np.uint64)
-    n = len(x) - MATCH + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    code = x[:n].copy()
-    for k in range(1, MATCH):
-        code |= x[k : k + n] << np.uint64(8 * k)
-    return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+def coded(words: list[str]) -> bytes:
+    return b"".join(map(code, words))
 
 
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
+    told: frozenset[str] = frozenset()
     mean: np.ndarray | None = None
     dev: np.ndarray | None = None
     weights: np.ndarray | None = None
@@ -111,7 +78,7 @@ class Model:
         def made(content: bytes):
             params = zs.ZstdCompressionParameters(
                 window_log=17, chain_log=16, hash_log=16, search_log=5, min_match=MATCH, target_length=32,
-                strategy=zs.STRATEGY_BTULTRA2, write_content_size=False, write_dict_id=False,
+                strategy=zs.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False,
             )
             held = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=params)
@@ -119,29 +86,24 @@ class Model:
 
         if "_made" not in self.__dict__:
             self._made = made(self.ordinary), made(self.toxic + self.ordinary)
-            self._hit = np.zeros(1 << 16, bool)
-            self._hit[codes(self.toxic)] = True
         return self._made
 
     def savings(self, text: str) -> tuple[np.ndarray, int]:
-        """Bytes that the toxic dictionary saves in each window, and bytes of all."""
+        """Bytes that the toxic dictionary saves in each window, and words of all."""
         plain, toxic = self._compressors()
-        data = line(text)
-        spans = windows(data)
-        saved = np.zeros(len(spans))
-        hits = np.flatnonzero(self._hit[codes(data)])
-        ends = np.array([b for _, b in spans], int)
-        for w in np.unique(np.searchsorted(ends, hits, side="right")):
-            own = data[spans[w][0] : spans[w][1]]
+        words = stems(text)
+        saved = np.zeros(-(-len(words) // WINDOW))
+        for w in {i // WINDOW for i, x in enumerate(words) if x in self.told}:
+            own = coded(words[w * WINDOW : (w + 1) * WINDOW])
             saved[w] = max(0, len(plain.compress(own)) - len(toxic.compress(own)))
-        return saved, len(data)
+        return saved, len(words)
 
     def features(self, text: str) -> list[float]:
         d, n = self.savings(text)
         if not len(d):
             return [0.0] * 6
         return [
-            float(np.log1p(d.sum())), float(d.sum() / (n + 200) * 100), float(np.log1p(d.max())),
+            float(np.log1p(d.sum())), float(d.sum() / (n + 40) * 10), float(np.log1p(d.max())),
             float(np.log1p((d >= 3).sum())), float((d >= 3).mean()), float(np.log1p(n)),
         ]
 
@@ -161,7 +123,7 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
     import zstandard as zs
 
     try:
-        made = zs.train_dictionary(size, samples, k=32, d=6).as_bytes()
+        made = zs.train_dictionary(size, samples, k=2 * CODE, d=CODE).as_bytes()
     except zs.ZstdError:
         made = b"".join(x for x, _ in reversed(Counter(samples).most_common()))
     return made[-size:]
@@ -174,35 +136,30 @@ def fit(rows: list[tuple[str, int]], steps: int = 50) -> Model:
     if not n[0] or not n[1]:
         return Model(b"", b"")
 
-    def found(text: str) -> set[str]:
-        return set().union(*(parts(w) for w in set(words(text))))
-
-    for text, label in rows:
-        if label == 1:
-            count[1].update(found(text))
-    often = {g for g, c in count[1].items() if c >= LEAST}
-    for text, label in rows:
-        if label == 0:
-            count[0].update(found(text) & often)
+    for label in (1, 0):
+        often = {x for x, c in count[1].items() if c >= max(LEAST, SHARE * n[1])}
+        for text, own in rows:
+            if own == label:
+                found = set(stems(text))
+                count[label].update(found if label else found & often)
 
-    def errors(part: str) -> float:
-        a, b = count[1][part], count[0][part]
+    def errors(stem: str) -> float:
+        a, b = count[1][stem], count[0][stem]
         p = (a + b) / len(rows)
         return (a / n[1] - b / n[0]) / (p * (1 - p) * (1 / n[1] + 1 / n[0]) + 1e-12) ** 0.5
 
-    good = {g for g in often if errors(g) > ERRORS}
-    told = [s.encode() for text, label in rows if label == 1 for w in words(text) for s in telling(w, good)]
+    told = frozenset(x for x in often if errors(x) > ERRORS)
     if not told:
         return Model(b"", b"")
     plain = []
     for text, label in rows:
         if label == 0:
-            data = line(text)
-            plain += [data[a:b] for a, b in windows(data)]
-    step = max(1, len(plain) // 30000)
-    ordinary = dictionary(plain[::step], ORDINARY_BYTES)
-    toxic = dictionary([b"".join(told[i : i + 8]) for i in range(0, len(told), 8)], TOXIC_BYTES)
-    model = Model(ordinary, toxic)
+            words = [x for x in stems(text) if x not in told]
+            plain += [coded(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
+    toxic = [coded([x for x in stems(text) if x in told]) for text, label in rows if label == 1]
+    model = Model(dictionary(plain[:: max(1, len(plain) // 20000)], ORDINARY_BYTES), dictionary(toxic, TOXIC_BYTES), told)
+    # stems that training left out of the toxic dictionary go before it
+    model.toxic = b"".join(code(x) for x in sorted(told) if code(x) not in model.toxic) + model.toxic
 
     x = np.array([model.features(text) for text, _ in rows])
     y = np.array([float(label) for _, label in rows])
