@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations.
 
 The words of each source are laid end to end in a shuffled document order and cut
-into blocks of equally many words. Slot i of the mix has the golden-ratio point
-frac(i * phi); the source whose stretch of the cumulated targets holds the point
-gets the slot. The r-th slot of a source takes its block r, beginning anew after
-the last, so a source is repeated evenly and never more than CAP times.
+into blocks of equally many words; only a source whose target would be fewer than
+LEAST_SLOTS such blocks gets smaller ones. Slot i of the mix has the golden-ratio
+point frac(i * phi); the source whose stretch of the cumulated targets (in blocks)
+holds the point gets the slot. The r-th slot of a source takes its block r, beginning
+anew after the last, so a source is repeated evenly and never more than CAP times.
 
 At scale: the text is read once and never shuffled; ids, sizes and slots are all
 that moves. A source with most of the rows is spread by buckets of its shuffled
@@ -25,8 +26,8 @@ from tablewright.llm.common import fresh, running_start, table, word_count, writ
 #: Weights of the sources in order, repeating, and the most often that a source may be taken.
 WEIGHTS, CAP = (5, 2, 1), 3
 
-#: Most and fewest words of a block; between them a mix has about SLOTS slots.
-BLOCK_MOST, BLOCK_LEAST, SLOTS = 1024, 16, 65536
+#: Most words of a block, slots of a mix of smaller blocks, and fewest slots of a source.
+BLOCK_MOST, SLOTS, LEAST_SLOTS = 1024, 65536, 256
 
 #: Rows of one (group, bucket) of the running sums, about.
 ROWS = 4096
@@ -89,14 +90,23 @@ def mix(
         "mix-rows",
     )
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
-    goal = written(targets(rows, weights, cap), "mix-targets")
-    block = max(BLOCK_LEAST, min(BLOCK_MOST, (total or 0) // SLOTS))
+    most = max(1, min(BLOCK_MOST, (total or 0) // SLOTS))
+    own = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("target") / LEAST_SLOTS)))
+    goal = targets(rows, weights, cap).withColumn("block_size", own.cast("long"))
+    goal = goal.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_size")))
+    goal = written(
+        goal.withColumn("slots", F.coalesce(F.col("target") * F.col("blocks") / F.nullif("source_size", F.lit(0)), F.lit(0.0))),
+        "mix-targets",
+    )
+    n_slots = goal.agg(F.sum("slots")).first()[0] or 0.0
 
     # the shuffled order of each source, cut into blocks
     bits = max(0, math.ceil(math.log2(max(1, n / ROWS))))
     part = F.shiftright("key", 64 - bits) if bits else F.lit(0)
     laid = running_start(rows.where("size > 0"), "source", ["key", "row_id"], F.col("size"), part, "start")
-    end = F.col("start") + F.col("size")
+    sized = goal.select(F.col("source").alias("of"), F.col("block_size").alias("block_words"))
+    laid = laid.join(sized, F.col("source").eqNullSafe(F.col("of")))
+    end, block = F.col("start") + F.col("size"), F.col("block_words")
     inside = laid.withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block)))
     ).select(
@@ -106,21 +116,19 @@ def mix(
 
     # slots: points through the cumulated targets, ranked within the source
     order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    stretch = goal.where("target > 0").withColumn("high", F.sum("target").over(order))
+    stretch = goal.where("slots > 0").withColumn("high", F.sum("slots").over(order))
     stretch = stretch.select(
-        F.col("source"), "source_size", "target",
-        ((F.col("high") - F.col("target")) / F.lit(float(total or 1))).alias("low"),
-        (F.col("high") / F.lit(float(total or 1))).alias("high"),
+        F.col("source"), F.col("blocks"),
+        ((F.col("high") - F.col("slots")) / F.lit(n_slots or 1.0)).alias("low"), (F.col("high") / F.lit(n_slots or 1.0)).alias("high"),
     ).withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.floor(F.col("high") * CELLS))))
-    # a last block may be short, so a source may need a few slots more than its share
-    slots = spark.range(0, math.ceil((total or 0) / block)).select(
+    slots = spark.range(0, math.ceil(n_slots)).select(
         F.col("id").alias("slot"), (((F.col("id") * GOLDEN + TURN // 2) % TURN) / TURN).alias("point")
     )
     dealt = slots.withColumn("at", F.floor(F.col("point") * CELLS)).join(
         stretch, (F.col("at") == F.col("cell")) & (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))
     )
     dealt = running_start(dealt, "source", ["slot"], F.lit(1), F.floor(F.col("slot") / ROWS), "rank")
-    blocks = F.ceil(F.col("source_size") / block)
+    blocks = F.col("blocks")
     taken_blocks = (
         dealt.where(F.col("rank") < cap * blocks)
         .withColumn("block", F.col("rank") % blocks)
@@ -135,7 +143,7 @@ def mix(
     )
     return (
         rows.join(taken, F.col("row_id") == F.col("row"), "left")
-        .join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        .join(goal.select(F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of")))
         .select(
             "doc_id", "size", "source_size", "target",
             F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source",
