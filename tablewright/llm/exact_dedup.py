@@ -146,10 +146,11 @@ def exact_dedup(
             (F.col("hash") == F.col("key")) & (F.col("text_sha256") == F.col("digest")),
         )
         .withColumn("best", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
-        .withColumn("turn", F.when(F.col("best"), F.lit(-1)).otherwise(F.col("row_id")))
+        .withColumn("turn", F.concat_ws(":", "text_sha256", F.when(~F.col("best"), F.col("row_id"))))
     )
-    # only rows that repeat the best row's id and length share a turn: one of them stays
-    first = F.row_number().over(Window.partitionBy("hash", "text_sha256", "turn").orderBy("row_id")) == 1
+    # only rows that repeat the best row's id and length share a turn: one of them stays; a
+    # turn is a key of its own, so that the join's large groups can be split
+    first = F.row_number().over(Window.partitionBy("turn").orderBy("row_id")) == 1
     return found.withColumn("first", first).select(
         "doc_id", "keep_id", "group_size", (F.col("best") & F.col("first")).alias("kept"), "text_sha256", "bucket"
     )
