@@ -112,8 +112,9 @@ def value_range(raw: Column) -> Column:
 
     def of(bare: Column) -> Column:
         one = F.filter(F.array(number_phrase(bare)), lambda x: x.isNotNull())
-        return F.coalesce(
-            let(feet(raw), pair), let(F.filter(F.split(bare, cut), lambda x: x != ""), read), let(one, pair)
+        # a number alone, as most cells are, needs none of the other forms
+        return F.when(bare.rlike(r"^\d+(?:[.,]\d+)?$"), pair(F.array(number(bare)))).otherwise(
+            F.coalesce(let(feet(raw), pair), let(F.filter(F.split(bare, cut), lambda x: x != ""), read), let(one, pair))
         )
 
     return let(bare, of)

@@ -80,16 +80,21 @@ def measures(df: DataFrame, key: list[str]) -> DataFrame:
     inner = long.where((F.col("row") > 0) & (F.col("col") > 0) & (F.trim("text") != ""))
 
     def read(way: str, label: str, head: str, at: str, then: str, own: list[str]) -> DataFrame:
-        field = units.field_of(F.col(head))
-        size = F.trim(label)
+        # one generator computes and tests a cell's measure: a filter over its columns
+        # would be pushed below them, and every cell parsed twice
+        measure = F.struct(
+            F.trim(label).alias("label"), units.field_of(F.col(head)).alias("field"), F.trim("text").alias("raw"),
+            units.range_cm(F.trim("text"), units.cell_unit(F.col(head), F.trim("text"), F.col("unit"))).alias("cm"),
+        )
+
+        def fine(m: Column) -> Column:
+            return m["field"].isNotNull() & m["cm"].isNotNull() & (m["label"] != "") & sizes.is_size(m["label"])
+
         found = inner.where(F.col("orientation").isin(*own)).select(
             *key, F.lit(way).alias("way"), F.col("orientation"), F.col(at).alias("row_ord"), F.col(then).alias("_then"),
-            size.alias("label"), field.alias("field"), F.trim("text").alias("raw"),
-            units.range_cm(F.trim("text"), units.cell_unit(F.col(head), F.trim("text"), F.col("unit"))).alias("cm"),
+            F.explode(F.filter(F.array(measure), fine)).alias("_m"),
         )
-        return found.where(
-            F.col("field").isNotNull() & F.col("cm").isNotNull() & (F.col("label") != "") & sizes.is_size(F.col("label"))
-        )
+        return found.select(*key, "way", "orientation", "row_ord", "_then", "_m.*")
 
     by_rows = read("rows", "stub_text", "header", "row", "col", ["size-rows", "unknown"])
     by_cols = read("columns", "header", "stub_text", "col", "row", ["size-columns", "unknown"])
