@@ -154,7 +154,8 @@ def mix(
 def mix_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs as often as the mix takes them, to the nearest whole document.
 
-    All columns stay. A document of which the mix takes less than half is left out.
+    All columns stay. A document of which the mix takes less than half is left out,
+    and so is one without words.
     Ids must identify rows; a repeated id would take its copies from each other.
     """
     key, times, turn = (fresh(x, docs.columns) for x in ("mixed_id", "mixed_times", "mixed_turn"))
@@ -162,7 +163,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         mix(docs, id_col)
         .groupBy(F.col("doc_id").alias(key))
         .agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-        .select(key, F.floor(F.col("t") / F.col("s") + 0.5).cast("int").alias(times))
+        .select(key, F.floor(F.col("t") / F.nullif(F.col("s"), F.lit(0)) + 0.5).cast("int").alias(times))
         .where(F.col(times) > 0)
     )
     found = docs.join(copies, F.col(id_col).eqNullSafe(F.col(key)))

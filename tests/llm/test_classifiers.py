@@ -166,3 +166,14 @@ def test_pipeline_stages(spark, tables):
                 length[r.sequence_id] += r.length
             assert max(length.values()) <= 1024 and len(length) <= 1.02 * -(-sum(length.values()) // 1024) + 1
         docs = after
+
+
+def test_pipeline_stages_with_texts_without_words(spark, frame, tmp_path):
+    frame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    blank = [(10 + i, t, "en", s, 0, None, None) for i, (t, s) in enumerate([(None, "x"), ("", "y"), (" \n\t", "x"), (None, None)])]
+    docs = frame([(1, "one two three " * 30, "en", "x", 0, None, None), (2, "four five six " * 30, "en", "y", 0, None, None), *blank], DOCS)
+    mixed = corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in mixed} == {1, 2}
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in docs.collect()} == {1, 2}
