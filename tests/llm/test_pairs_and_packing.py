@@ -169,6 +169,31 @@ def test_local_search_empties_bins():
     assert all(sum(bins.lengths[i] for i in x) <= 10 for x in bins.items)
 
 
+def has_trade(bins, most=24):
+    from itertools import combinations
+
+    n = bins.lengths
+    for d, o in ((d, o) for d, x in enumerate(bins.items) for o, y in enumerate(bins.items) if d != o and x and y):
+        if not 0 < bins.room[o] <= bins.room[d] or max(len(bins.items[d]), len(bins.items[o])) > most:
+            continue
+        for a, b in ((1, 0), (1, 1), (1, 2), (2, 0), (2, 1)):
+            for give in combinations(bins.items[d], a):
+                for take in combinations(bins.items[o], b):
+                    if 0 < sum(n[i] for i in give) - sum(n[i] for i in take) <= bins.room[o]:
+                        return True
+    return False
+
+
+@pytest.mark.parametrize("low, high", [(300, 700), (100, 600), (20, 400)])
+def test_local_search_ends_without_trades(low, high):
+    bins = packing.Bins(1024)
+    bins.best_fit(np.random.default_rng(5).integers(low, high, 900))
+    bins.improve()
+    assert sorted(i for x in bins.items for i in x) == list(range(900))
+    assert all(1024 - sum(bins.lengths[i] for i in x) == r >= 0 for x, r in zip(bins.items, bins.room, strict=True))
+    assert sum(map(bool, bins.items)) == bins.least() or not has_trade(bins)
+
+
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
