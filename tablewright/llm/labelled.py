@@ -19,8 +19,12 @@ def held_out(doc_id):
 
 def sample(
     docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """text and label of at most most[v] documents with label v, outside the held-out fold.
+) -> tuple[DataFrame, dict[int, float]]:
+    """text and label of at most most[v] documents with label v, outside the held-out fold,
+    and the weight of each label: how many training labels one chosen stands for.
+
+    Fits must weigh by it, or else the shares of the labels, and with them all scores,
+    would depend on the size of the table.
 
     Chosen by a hash of the id, so a rerun chooses the same. Only ids are sorted; the
     chosen ones, sum(most) at most, are broadcast to the scan of the texts. A label
@@ -36,7 +40,10 @@ def sample(
     )
     chosen = [known.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(n) for v, n in most.items()]
     ids = reduce(DataFrame.unionByName, chosen)
+    count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    weights = {v: max(1.0, count.get(v, 0) / n) for v, n in most.items()}
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(ids), F.col("key") == F.col("id")).select(
+    found = texts.join(F.broadcast(ids), F.col("key") == F.col("id")).select(
         "id", F.coalesce("text", F.lit("")).alias("text"), "label"
     )
+    return found, weights

@@ -5,8 +5,8 @@ counts of its characters and words and encoded by one hidden layer; gated attent
 weighs the passages, and the weighted representation of the document is scored.
 Only documents have labels, so encoder, attention and scorer are learned together.
 
-Training takes a bounded sample (GOOD and BAD documents), described in the map
-tasks and fitted on the driver; the model is a few kilobytes. Scoring is one pass
+Training takes a bounded sample (GOOD and BAD documents, weighted so that both kinds
+keep their shares), described in the map tasks and fitted on the driver; the model is a few kilobytes. Scoring is one pass
 over whole texts without any shuffle.
 """
 
@@ -106,10 +106,11 @@ class Model:
         p = 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["d"], -30, 30)))
         return p, (bag, h, u, g, att, z)
 
-    def gradient(self, x, first, y) -> dict[str, np.ndarray]:
+    def gradient(self, x, first, y, weight=None) -> dict[str, np.ndarray]:
         w = self.w
+        weight = np.ones(len(y)) if weight is None else weight
         p, (bag, h, u, g, att, z) = self.forward(x, first)
-        o = (p - y) / len(y)
+        o = weight * (p - y) / weight.sum()
         dz = (o[:, None] * w["c"])[bag]
         da = (dz * h).sum(1)
         ds = att * (da - np.add.reduceat(att * da, first)[bag])
@@ -127,11 +128,15 @@ class Model:
         return self.forward(np.concatenate(bags).astype(float), first)[0]
 
 
-def fit(bags: list[np.ndarray], labels: list[int], steps: int = STEPS, rate: float = 0.02, decay: float = 1e-4) -> Model | None:
-    """The model of labelled bags; None without both labels."""
+def fit(
+    bags: list[np.ndarray], labels: list[int], steps: int = STEPS, rate: float = 0.02, decay: float = 1e-4,
+    weights: dict[int, float] | None = None,
+) -> Model | None:
+    """The model of labelled bags, weighted by label; None without both labels."""
     if len(set(labels)) < 2:
         return None
     x, y = np.concatenate(bags).astype(float), np.array(labels, float)
+    weight = np.array([(weights or {}).get(v, 1.0) for v in labels])
     first = np.cumsum([0, *map(len, bags)])[:-1]
     r = np.random.default_rng(0)
     w = {
@@ -141,7 +146,7 @@ def fit(bags: list[np.ndarray], labels: list[int], steps: int = STEPS, rate: flo
     model = Model(x.mean(0), x.std(0) + 1e-6, w)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     for t in range(1, steps + 1):
-        for k, d in model.gradient(x, first, y).items():
+        for k, d in model.gradient(x, first, y, weight).items():
             d = d + decay * w[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.999 * v[k] + 0.001 * d**2
             w[k] = w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
@@ -149,7 +154,7 @@ def fit(bags: list[np.ndarray], labels: list[int], steps: int = STEPS, rate: flo
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model | None:
-    chosen = sample(docs, labels, label_col, {1: GOOD, 0: BAD}, id_col, text_col)
+    chosen, weights = sample(docs, labels, label_col, {1: GOOD, 0: BAD}, id_col, text_col)
 
     def described(batches):
         for part in batches:
@@ -159,7 +164,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
     rows = sorted(chosen.mapInPandas(described, "id long, label int, bag binary").collect())
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows]
-    return fit(bags, [r["label"] for r in rows])
+    return fit(bags, [r["label"] for r in rows], weights=weights)
 
 
 def score_quality(

@@ -9,7 +9,8 @@ it; how many bytes the toxic dictionary saves is the window's distance. A small
 logistic model, fitted on the training labels, turns a document's savings into a
 calibrated score.
 
-Training takes a bounded sample (TOXIC and ORDINARY documents) on the driver; the
+Training takes a bounded sample (TOXIC and ORDINARY documents) on the driver, and the
+logistic model weighs both kinds by their shares of all training labels; the
 model is under 50 kilobytes. Scoring is one pass over whole texts without any
 shuffle. Codes are longer than a match may be short, so a window without any word of
 the toxic dictionary saves nothing, and isn't compressed.
@@ -129,8 +130,8 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
     return made[-size:]
 
 
-def fit(rows: list[tuple[str, int]], steps: int = 50) -> Model:
-    """The model of (text, label) rows; without both labels one that scores 0."""
+def fit(rows: list[tuple[str, int]], steps: int = 50, weights: dict[int, float] | None = None) -> Model:
+    """The model of (text, label) rows, weighted by label; without both labels one that scores 0."""
     count: dict[int, Counter] = {0: Counter(), 1: Counter()}
     n = {v: sum(label == v for _, label in rows) for v in (0, 1)}
     if not n[0] or not n[1]:
@@ -164,12 +165,13 @@ def fit(rows: list[tuple[str, int]], steps: int = 50) -> Model:
     x = np.array([model.features(text) for text, _ in rows])
     y = np.array([float(label) for _, label in rows])
     model.mean, model.dev = x.mean(0), x.std(0) + 1e-9
+    q = np.array([(weights or {}).get(label, 1.0) for _, label in rows])
     a = model.expanded(x)
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        curve = (a * (p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(len(w))
-        w += np.linalg.solve(curve, a.T @ (y - p) - 0.1 * w)
+        curve = (a * (q * p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(len(w))
+        w += np.linalg.solve(curve, a.T @ (q * (y - p)) - 0.1 * w)
     model.weights = w
     return model
 
@@ -183,8 +185,8 @@ def score_toxicity(
     saving. Ids may be null or repeat. Without labels of both kinds every score is
     0. An empty table gives an empty result. Other columns are ignored.
     """
-    chosen = sample(docs, labels, label_col, {1: TOXIC, 0: ORDINARY}, id_col, text_col)
-    model = fit([(r["text"], r["label"]) for r in sorted(chosen.collect(), key=lambda r: r["id"])])
+    chosen, weights = sample(docs, labels, label_col, {1: TOXIC, 0: ORDINARY}, id_col, text_col)
+    model = fit([(r["text"], r["label"]) for r in sorted(chosen.collect(), key=lambda r: r["id"])], weights=weights)
 
     def run(batches):
         for part in batches:

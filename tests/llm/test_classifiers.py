@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tablewright.llm import language, quality, toxicity
+from tablewright.llm import labelled, language, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int"
@@ -177,3 +177,29 @@ def test_pipeline_stages_with_texts_without_words(spark, frame, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
     assert {r.doc_id for r in docs.collect()} == {1, 2}
+
+
+def test_sampled_labels_stand_for_all(frame):
+    labels = frame([(i, int(i % 4 == 0), 0, None) for i in range(600)], LABELS)
+    docs = frame([(i, "a", "en", "x", 0, None, None) for i in range(600)], DOCS)
+    found, weights = labelled.sample(docs, labels, "quality", {1: 1000, 0: 50})
+    n = Counter(r.label for r in found.collect())
+    known = Counter(int(i % 4 == 0) for i in range(600) if crc(i, 3) != 1)
+    assert n == {1: known[1], 0: 50} and {v: n[v] * weights[v] for v in n} == pytest.approx(dict(known))
+
+
+def test_scores_keep_the_shares_of_the_labels():
+    y = np.array([1] * 1200 + [0] * 200)
+    told = np.array([i % 10 < (7 if v else 3) for i, v in enumerate(y)])
+    bags = [np.full((1, quality.FEATURES), t, np.float32) for t in told]
+    few = [i for i in range(1400) if i >= 1200 or i // 10 % 6 == 0]
+    x, first = np.concatenate(bags).astype(float), np.arange(1400)
+    weighted = quality.fit([bags[i] for i in few], y[few].tolist(), weights={1: 6.0, 0: 1.0}).forward(x, first)[0]
+    assert weighted.mean() == pytest.approx(y.mean(), abs=0.02)
+
+    texts = [("some vile talk " * (1 + i % 3) + "of plain words " * 20, int(i % 2)) for i in range(200)]
+    texts += [("a line of plain words " * 20, 0)] * 200
+    plain = toxicity.fit([t for t in texts for _ in range(5 if t[1] == 0 else 1)])
+    bounded = toxicity.fit(texts, weights={1: 1.0, 0: 5.0})
+    for t in ("some vile talk of plain words", "plain words"):
+        assert bounded.score([t])[0] == pytest.approx(plain.score([t])[0], abs=0.05)
