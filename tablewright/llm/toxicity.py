@@ -1,25 +1,33 @@
 """Toxicity by compression distance.
 
-A text is a sequence of words, each written as the CODE bytes of a hash of its first
-STEM letters, so that no letter statistics blur the lengths. Two zstandard
-dictionaries are trained: one on windows of ordinary text, one on the words that
-toxic documents hold far more often than ordinary ones. Every window of a document
-is compressed twice, with the ordinary dictionary alone and with the toxic one before
-it; how many bytes the toxic dictionary saves is the window's distance. A small
-logistic model, fitted on the training labels, turns a document's savings into a
-calibrated score.
-
-Training takes a bounded sample (TOXIC and ORDINARY documents) on the driver, and the
-logistic model weighs both kinds by their shares of all training labels; the
-model is under 50 kilobytes. Scoring is one pass over whole texts without any
-shuffle. Codes are longer than a match may be short, so a window without any word of
-the toxic dictionary saves nothing, and isn't compressed.
+A text is cut into words, runs of digits and runs of signs. Each is written as a
+chain of CODE-byte hashes, one for every STEP letters more of it, so that texts
+that share a word, or the beginning of one, share whole codes, and the letter
+statistics of a language don't blur the lengths. Windows of WINDOW codes are what
+is compressed.
+
+Two dictionaries are trained by zstandard on such windows: one on toxic documents,
+one on ordinary ones. Every window of a text is compressed twice, with the ordinary
+dictionary alone and with the toxic one before it; how many bytes the toxic one
+saves is the window's distance. Most windows of a toxic document are ordinary, so
+training goes two rounds: dictionaries of the first, fitted without the fold that
+they judge, choose the windows of toxic documents that they shorten (the toxic
+dictionary of the second round is trained on those), and the windows of ordinary
+documents that they wrongly shorten (these train a part of the ordinary dictionary).
+No word list is made anywhere. A logistic model turns a document's distances into a
+score; it is calibrated on a third of the sample that trained no dictionary, and
+weighs both kinds by their shares of all training labels.
+
+Training takes a bounded sample (TOXIC and ORDINARY documents, TRAINED windows of
+each) on the driver; the model is about a hundred kilobytes. Scoring is one pass over
+whole texts without any shuffle.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,44 +36,109 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import body, table
+from tablewright.llm.common import body, table, written
 from tablewright.llm.labelled import held_out, sample
 
-#: Most toxic and ordinary documents that are learned from.
-TOXIC, ORDINARY = 2000, 5000
+#: Most toxic and ordinary documents that are learned from, and windows of each.
+TOXIC, ORDINARY, TRAINED = 2000, 5000, 200
 
-#: Words of a window, letters of a stem, bytes of its code and of the shortest match.
-WINDOW, STEM, CODE, MATCH = 64, 5, 8, 6
+#: Codes of a window, letters of a step, bytes of a code and of the shortest match.
+WINDOW, STEP, CODE, MATCH = 24, 4, 8, 6
 
-#: Bytes of the two dictionaries.
-ORDINARY_BYTES, TOXIC_BYTES = 16384, 4096
+#: Bytes of the dictionaries: first and last toxic one, ordinary one, wrongly shortened windows.
+FIRST_BYTES, TOXIC_BYTES, ORDINARY_BYTES, HARD_BYTES = 16384, 8192, 65536, 32768
 
-#: Toxic documents (and their share), and standard errors of the difference, that make a stem toxic.
-LEAST, SHARE, ERRORS = 3, 0.01, 5.0
+#: Part of a dictionary's bytes for which fillers train: four times what a header takes at most.
+CUT = 2048
+
+#: Parts of the sample that judge each other, and bytes saved that choose a window.
+PARTS, SAVED = 4, 4
 
 THRESHOLD = 0.7
 
-_WORD = re.compile(rf"([^\W\d_]{{1,{STEM}}})[^\W\d_]*")
+_PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+_KNOWN: dict[str, bytes] = {}
+_MOST_KNOWN = 300000
+
+
+def code(piece: str) -> bytes:
+    """The hashes of a piece's first STEP letters, the first 2 * STEP and so on."""
+    import xxhash
+
+    made = _KNOWN.get(piece)
+    if made is None:
+        last, out = b"", []
+        for i in range(0, len(piece), STEP):
+            last = xxhash.xxh64_digest(last + piece[i : i + STEP].encode("utf-8", "surrogatepass"))
+            out.append(last)
+        made = b"".join(out)
+        if len(piece) <= 40:
+            if len(_KNOWN) >= _MOST_KNOWN:
+                _KNOWN.clear()
+            _KNOWN[piece] = made
+    return made
+
+
+def windows(text: str) -> list[bytes]:
+    """The coded windows of a whole text, in order."""
+    whole, size = b"".join(map(code, _PIECE.findall(text.lower()))), WINDOW * CODE
+    return [whole[i : i + size] for i in range(0, len(whole), size)]
+
+
+def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """Content of a trained dictionary; of few samples, which can't be trained on, the samples.
+
+    Training goes over the samples in order, and what it picks first, usually the most
+    frequent codes, stands at the end of the content, of which as much is cut off as
+    the dictionary's header takes. So windows of codes that no text has go first.
+    """
+    import xxhash
+    import zstandard as zs
+
+    fillers = [b"".join(xxhash.xxh64_digest(b"\xff%d" % (i * WINDOW + j)) for j in range(WINDOW)) for i in range(8)]
+    n = math.ceil(len(samples) * CUT / (size - CUT)) if size > CUT else 0
+    try:
+        made = zs.train_dictionary(size, [fillers[i % 8] for i in range(n)] + samples, k=segment, d=CODE).as_bytes()
+    except zs.ZstdError:
+        made = b"".join(x for x, _ in reversed(Counter(samples).most_common()))
+    return made[-size:]
+
 
+def compressor(content: bytes):
+    import zstandard as zs
 
-def stems(text: str) -> list[str]:
-    """The first letters of every word, lower-cased, in order."""
-    return _WORD.findall(text.lower())
+    params = zs.ZstdCompressionParameters(
+        window_log=18, chain_log=18, hash_log=18, search_log=5, min_match=MATCH, target_length=16,
+        strategy=zs.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False,
+    )
+    held = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(compression_params=params)
+    return zs.ZstdCompressor(dict_data=held, compression_params=params)
 
 
-def code(stem: str) -> bytes:
-    return hashlib.blake2b(stem.encode("utf-8", "surrogatepass"), digest_size=CODE).digest()
+def savings(plain, toxic, parts: list[bytes]) -> np.ndarray:
+    """Bytes that the compressor toxic saves over plain in each window."""
+    return np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in parts], float)
 
 
-def coded(words: list[str]) -> bytes:
-    return b"".join(map(code, words))
+def features(saved: np.ndarray, codes: int) -> list[float]:
+    """What the scores see of a document: its windows' distances, normalised by its length too."""
+    if not len(saved):
+        return [0.0] * 7
+    sure = np.maximum(0, saved - 2)
+    return [
+        float(np.log1p(sure.sum())), float(sure.sum() / (codes + 40) * 10), float(np.log1p(sure.max())),
+        float(np.log1p((saved >= SAVED).sum())), float((saved >= SAVED).mean()), float(np.log1p(codes)),
+        float(np.clip(saved.sum() / (codes + 40) * 10, -3, 5)),
+    ]
 
 
 @dataclass
 class Model:
+    """Two dictionaries, and the logistic model of the distances that they give."""
+
     ordinary: bytes
     toxic: bytes
-    told: frozenset[str] = frozenset()
     mean: np.ndarray | None = None
     dev: np.ndarray | None = None
     weights: np.ndarray | None = None
@@ -73,40 +146,17 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def _compressors(self):
-        import zstandard as zs
-
-        def made(content: bytes):
-            params = zs.ZstdCompressionParameters(
-                window_log=17, chain_log=16, hash_log=16, search_log=5, min_match=MATCH, target_length=32,
-                strategy=zs.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False,
-            )
-            held = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(compression_params=params)
-            return zs.ZstdCompressor(dict_data=held, compression_params=params)
+    def savings(self, text: str) -> np.ndarray:
+        return self._saved(windows(text))
 
+    def _saved(self, parts: list[bytes]) -> np.ndarray:
         if "_made" not in self.__dict__:
-            self._made = made(self.ordinary), made(self.toxic + self.ordinary)
-        return self._made
-
-    def savings(self, text: str) -> tuple[np.ndarray, int]:
-        """Bytes that the toxic dictionary saves in each window, and words of all."""
-        plain, toxic = self._compressors()
-        words = stems(text)
-        saved = np.zeros(-(-len(words) // WINDOW))
-        for w in {i // WINDOW for i, x in enumerate(words) if x in self.told}:
-            own = coded(words[w * WINDOW : (w + 1) * WINDOW])
-            saved[w] = max(0, len(plain.compress(own)) - len(toxic.compress(own)))
-        return saved, len(words)
+            self._made = compressor(self.ordinary), compressor(self.toxic + self.ordinary)
+        return savings(*self._made, parts)
 
     def features(self, text: str) -> list[float]:
-        d, n = self.savings(text)
-        if not len(d):
-            return [0.0] * 6
-        return [
-            float(np.log1p(d.sum())), float(d.sum() / (n + 40) * 10), float(np.log1p(d.max())),
-            float(np.log1p((d >= 3).sum())), float((d >= 3).mean()), float(np.log1p(n)),
-        ]
+        parts = windows(text)
+        return features(self._saved(parts), sum(map(len, parts)) // CODE)
 
     def expanded(self, x: np.ndarray) -> np.ndarray:
         q = (x - self.mean) / self.dev
@@ -118,62 +168,86 @@ class Model:
         x = np.array([self.features(t) for t in texts])
         return 1 / (1 + np.exp(-np.clip(self.expanded(x) @ self.weights, -30, 30)))
 
+    def calibrate(self, x: np.ndarray, labels: np.ndarray, weights: dict[int, float] | None = None, steps: int = 50) -> Model:
+        """Fit the logistic model to features and labels, weighted by label."""
+        self.mean, self.dev = x.mean(0), x.std(0) + 1e-9
+        q = np.array([(weights or {}).get(int(v), 1.0) for v in labels])
+        a = self.expanded(x)
+        w = np.zeros(a.shape[1])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            curve = (a * (q * p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(len(w))
+            w += np.linalg.solve(curve, a.T @ (q * (labels - p)) - 0.1 * w)
+        self.weights = w
+        return self
+
+
+def calibrates(key: int) -> bool:
+    """Whether a document of the sample calibrates; the others train dictionaries."""
+    return key % 3 == 0
+
+
+def learn(rows: list[tuple[int, int, list[bytes]]]) -> Model | None:
+    """Dictionaries from (key, label, windows) rows, in two rounds; None without both labels."""
+    part = {v: [[w for k, y, own in rows if y == v and k // 3 % PARTS == f for w in own] for f in range(PARTS)] for v in (0, 1)}
+    every = {v: [w for own in part[v] for w in own] for v in (0, 1)}
+    if not every[0] or not every[1]:
+        return None
+    first = dictionary(every[0], ORDINARY_BYTES, 2 * CODE)
+    plain, chosen, hard = compressor(first), [], []
+    for f in range(PARTS):
+        others = [w for g in range(PARTS) if g != f for w in part[1][g]] or every[1]
+        toxic = compressor(dictionary(others, FIRST_BYTES, 2 * CODE) + first)
+        for own, out in ((part[1][f], chosen), (part[0][f], hard)):
+            saved = savings(plain, toxic, own)
+            out += [own[i] for i in np.flatnonzero(saved >= SAVED)]
+    ordinary = (dictionary(hard, HARD_BYTES, CODE) if hard else b"") + first
+    return Model(ordinary, dictionary(chosen or every[1], TOXIC_BYTES, CODE))
+
+
+def fit(rows: list[tuple[str, int]], weights: dict[int, float] | None = None) -> Model:
+    """The model of (text, label) rows, weighted by label; without both labels one that scores 0."""
+    found = [(i, label, text) for i, (text, label) in enumerate(rows)]
+    model = learn([(i, label, windows(text)) for i, label, text in found if not calibrates(i)])
+    held = [(text, label) for i, label, text in found if calibrates(i)]
+    if model is None or len({label for _, label in held}) < 2:
+        return Model(b"", b"")
+    return model.calibrate(np.array([model.features(t) for t, _ in held]), np.array([float(v) for _, v in held]), weights)
 
-def dictionary(samples: list[bytes], size: int) -> bytes:
-    """Content of a trained dictionary; of few samples, which can't be trained on, the samples."""
-    import zstandard as zs
 
-    try:
-        made = zs.train_dictionary(size, samples, k=2 * CODE, d=CODE).as_bytes()
-    except zs.ZstdError:
-        made = b"".join(x for x, _ in reversed(Counter(samples).most_common()))
-    return made[-size:]
+def _key(doc_id: int) -> int:
+    return zlib.crc32(f"toxicity {doc_id}".encode())
 
 
-def fit(rows: list[tuple[str, int]], steps: int = 50, weights: dict[int, float] | None = None) -> Model:
-    """The model of (text, label) rows, weighted by label; without both labels one that scores 0."""
-    count: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    n = {v: sum(label == v for _, label in rows) for v in (0, 1)}
-    if not n[0] or not n[1]:
-        return Model(b"", b"")
+def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
+    """The model of a bounded sample: its windows train on the driver, its features are made in tasks."""
+    chosen, weights = sample(docs, labels, label_col, {1: TOXIC, 0: ORDINARY}, id_col, text_col)
+    chosen = written(chosen, "toxicity-sample")
 
-    for label in (1, 0):
-        often = {x for x, c in count[1].items() if c >= max(LEAST, SHARE * n[1])}
-        for text, own in rows:
-            if own == label:
-                found = set(stems(text))
-                count[label].update(found if label else found & often)
+    def cut(batches):
+        for part in batches:
+            rows = []
+            for doc_id, label, text in zip(part["id"], part["label"], part["text"], strict=True):
+                if not calibrates(_key(doc_id)):
+                    own = windows(text)
+                    at = range(len(own)) if len(own) <= TRAINED else np.linspace(0, len(own) - 1, TRAINED).astype(int)
+                    rows.append((doc_id, label, [own[i] for i in at]))
+            yield pd.DataFrame(rows, columns=["id", "label", "parts"])
+
+    rows = chosen.mapInPandas(cut, "id long, label int, parts array<binary>").collect()
+    model = learn([(_key(r["id"]), r["label"], list(map(bytes, r["parts"]))) for r in sorted(rows, key=lambda r: r["id"])])
+    if model is None:
+        return Model(b"", b"")
 
-    def errors(stem: str) -> float:
-        a, b = count[1][stem], count[0][stem]
-        p = (a + b) / len(rows)
-        return (a / n[1] - b / n[0]) / (p * (1 - p) * (1 / n[1] + 1 / n[0]) + 1e-12) ** 0.5
+    def described(batches):
+        for part in batches:
+            part = part[[calibrates(_key(i)) for i in part["id"]]]
+            yield pd.DataFrame({"id": part["id"], "label": part["label"], "x": [model.features(t) for t in part["text"]]})
 
-    told = frozenset(x for x in often if errors(x) > ERRORS)
-    if not told:
+    rows = sorted(chosen.mapInPandas(described, "id long, label int, x array<double>").collect(), key=lambda r: r["id"])
+    if len({r["label"] for r in rows}) < 2:
         return Model(b"", b"")
-    plain = []
-    for text, label in rows:
-        if label == 0:
-            words = [x for x in stems(text) if x not in told]
-            plain += [coded(words[i : i + WINDOW]) for i in range(0, len(words), WINDOW)]
-    toxic = [coded([x for x in stems(text) if x in told]) for text, label in rows if label == 1]
-    model = Model(dictionary(plain[:: max(1, len(plain) // 20000)], ORDINARY_BYTES), dictionary(toxic, TOXIC_BYTES), told)
-    # stems that training left out of the toxic dictionary go before it
-    model.toxic = b"".join(code(x) for x in sorted(told) if code(x) not in model.toxic) + model.toxic
-
-    x = np.array([model.features(text) for text, _ in rows])
-    y = np.array([float(label) for _, label in rows])
-    model.mean, model.dev = x.mean(0), x.std(0) + 1e-9
-    q = np.array([(weights or {}).get(label, 1.0) for _, label in rows])
-    a = model.expanded(x)
-    w = np.zeros(a.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        curve = (a * (q * p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(len(w))
-        w += np.linalg.solve(curve, a.T @ (q * (y - p)) - 0.1 * w)
-    model.weights = w
-    return model
+    return model.calibrate(np.array([r["x"] for r in rows]), np.array([float(r["label"]) for r in rows]), weights)
 
 
 def score_toxicity(
@@ -182,11 +256,11 @@ def score_toxicity(
     """One row for each row of docs: doc_id, held_out, score, predicted (1 from THRESHOLD).
 
     A null text counts as empty, and an empty one gets the model's score of no
-    saving. Ids may be null or repeat. Without labels of both kinds every score is
-    0. An empty table gives an empty result. Other columns are ignored.
+    saving. Ids may be null or repeat. Without labels of both kinds, for the
+    dictionaries and for their calibration, every score is 0. An empty table gives an
+    empty result. Other columns are ignored.
     """
-    chosen, weights = sample(docs, labels, label_col, {1: TOXIC, 0: ORDINARY}, id_col, text_col)
-    model = fit([(r["text"], r["label"]) for r in sorted(chosen.collect(), key=lambda r: r["id"])], weights=weights)
+    model = trained(docs, labels, id_col, text_col, label_col)
 
     def run(batches):
         for part in batches:
