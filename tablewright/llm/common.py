@@ -11,7 +11,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: The ASCII white space of the contracts, as a Java regular expression.
@@ -23,35 +22,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
+    """The folder that driver and executors share (spark.checkpoint.dir), and in it this application's.
 
-    Where the session names none, as in tests, a folder of this machine is set.
+    Where a local session names none, as in tests, a folder of this machine is set; on a
+    cluster that would lose tables, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tablewright-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/tablewright/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: it cuts the
     lineage, survives lost executors and fixes values such as row numbers."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tablewright/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._shared_path = path
     return back
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by written() that nothing reads any more."""
     path = getattr(df, "_shared_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        deleted(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote to the shared folder, once its results are stored."""
+    deleted(spark, shared_dir(spark))
 
 
 def body(text: Column) -> Column:
@@ -73,22 +83,33 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+#: Buckets whose sums are taken together in the steps of a running sum.
+_FAN = 4096
+
+
 def running_start(
     df: DataFrame, group: str, order: list[str], value: Column, bucket: Column, out: str
 ) -> DataFrame:
     """Sum of value over the rows before each row, within group and by order.
 
     bucket must be monotone in order and split each group into small parts. The
-    sum is taken in two steps, per (group, bucket) and then inside the bucket, so
-    that a group with most of the rows still spreads over many tasks.
+    sum is taken in three steps, over blocks of buckets, over the buckets of a block
+    and inside the bucket, so that a group with most of the rows still spreads over
+    many tasks.
     """
-    rows = df.withColumn("_bucket", bucket).withColumn("_value", value.cast("long"))
-    sums = rows.groupBy(group, "_bucket").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        F.col(group).alias("_g"),
-        F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
+    rows = df.withColumn("_bucket", bucket.cast("long")).withColumn("_value", value.cast("long"))
+    block = F.floor(F.col("_bucket") / _FAN)
+    sums = rows.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(F.sum("_value").alias("_sum"))
+    sums = sums.withColumn("_block", F.floor(F.col("_b") / _FAN))
+    blocks = sums.groupBy(F.col("_g").alias("_g2"), F.col("_block").alias("_k")).agg(F.sum("_sum").alias("_all"))
+
+    def before(value: str, *keys: str, by: str) -> Column:
+        own = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(own), F.lit(0))
+
+    blocks = blocks.withColumn("_ahead", before("_all", "_g2", by="_k"))
+    offsets = sums.join(blocks, F.col("_g").eqNullSafe(F.col("_g2")) & (F.col("_block") == F.col("_k"))).select(
+        "_g", "_b", (F.col("_ahead") + before("_sum", "_g", "_block", by="_b")).alias("_offset")
     )
     inside = (
         Window.partitionBy(group, "_bucket")
@@ -105,12 +126,28 @@ def running_start(
     )
 
 
+def running_sums(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
+    """df with the sums of values over the rows before each row of the whole table, by order.
+
+    The table is dealt by ranges of the order and written, summed inside each range,
+    and the ranges' sums, one row for each, are what the driver adds up.
+    """
+    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt.withColumns({f"_{k}": v for k, v in values.items()}), "ranges")
+    sums = dealt.groupBy("_range").agg(*[F.sum(f"_{k}").alias(k) for k in values]).collect()
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    for k in values:
+        offset, total = {}, 0
+        for r in sorted(sums, key=lambda r: r["_range"]):
+            offset[r["_range"]], total = total, total + (r[k] or 0)
+        ahead = F.element_at(F.create_map(*[F.lit(x) for kv in offset.items() for x in kv]), F.col("_range")) if offset else F.lit(0)
+        dealt = dealt.withColumn(k, ahead + F.coalesce(F.sum(f"_{k}").over(own), F.lit(0)))
+    return dealt.drop("_range", *[f"_{k}" for k in values])
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like name that taken doesn't hold."""
     low = {x.lower() for x in taken}
     while name.lower() in low:
         name = f"_{name}"
     return name
-
-
-LONG = T.LongType()

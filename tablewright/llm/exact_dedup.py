@@ -1,33 +1,40 @@
 """Exact dedup by an extendible-hash index on shared files, in DataFrame operations.
 
 The key of a document is the 64-bit hash of its normalised text. A directory of
-2**g slots, one for each value of the first g bits, leads to buckets; a bucket
-that holds more than ``capacity`` keys is split on its next bit, and the directory
-doubles when the split bucket was as deep as the directory. Owner tasks take the
-buckets' rows, pre-summed in the map tasks, chain the texts whose hashes collide,
-and compare whole texts byte by byte: the text itself is a grouping key, so two
-texts meet only if all their bytes are equal. The index (bucket, hash, digest of
-the text, row that stays, copies) is a Parquet table in the shared folder, and
-every document looks its entry up there.
-
-At scale: the text crosses the network once, at most one row for each distinct
-text and map task, so a text with a third of all rows costs one row a task. What
-is joined and sorted afterwards has a few dozen bytes a document. The directory
-has at most 2**MAX_BITS slots, and it is the only thing that is broadcast.
+2**g slots, one for each value of the first g bits, leads to buckets: a bucket that
+holds more than ``capacity`` keys is split on its next bit, and the directory doubles
+when the split bucket was as deep as the directory. So a bucket's depth is the first
+at which its keys fit, and the directory's depth that of its deepest bucket.
+
+Rows are routed by their bucket, a contiguous range of keys, to the task that owns it.
+The owner chains the texts whose hashes collide and compares whole texts byte by byte:
+the text itself is a grouping key there, so two texts meet only if all their bytes are
+equal. What the owners find is written bucket by bucket as the index (bucket, hash,
+digest of the text, row that stays, copies), a Parquet table in the shared folder, and
+every document looks its entry up in its bucket.
+
+At scale: the text crosses the network once. A text with more than 1/HOT of all rows is
+split by a salt, so no task gets more of it than that share, and the parts are merged
+when they are without text; there are fewer than HOT such texts, and only their hashes
+are broadcast. The directory grows with the table and is joined, not collected. What
+is joined and sorted afterwards has about a hundred bytes a document.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.llm.common import SPACE, body, fresh, table, written
 
-#: Keys that a bucket may hold before it is split, and bits that a directory may use.
-CAPACITY, MAX_BITS = 16384, 18
+#: Keys that a bucket may hold before it is split; bits beyond the even split that splitting may use.
+CAPACITY, SPARE_BITS = 16384, 4
+
+#: A text with more than 1/HOT of all rows (and HOT_LEAST rows) is split among several tasks.
+HOT, HOT_LEAST = 1024, 4096
 
 #: Best row of a group as one number: code points first, then the smaller id, null ids last.
 _UNIT = "36893488147419103232"  # 2**65, above any rank of an id
@@ -38,33 +45,36 @@ def normalised(text):
     return F.regexp_replace(body(text), f"{SPACE}+", "")
 
 
-def directory(leaves: dict[int, int], leaf_bits: int, capacity: int) -> tuple[int, list[tuple[int, int]]]:
-    """Global depth, and (bucket, local depth) of each of its 2**depth slots.
+def slot(hashed: Column, bits: int) -> Column:
+    """The first bits of a hash."""
+    return F.shiftrightunsigned(hashed, 64 - bits) if bits else F.lit(0).cast("long")
+
 
-    leaves has the number of keys for each value of the first leaf_bits bits. A
-    bucket is named by its first slot at full leaf depth, so names survive doubling.
+def directory(hashes: DataFrame, n: int, capacity: int) -> tuple[DataFrame, int]:
+    """(slots, depth): the bucket and local depth of each slot that leads to a key, and the directory's depth.
+
+    hashes are the n distinct keys (column hash). They are counted by leaves, their
+    first bits up to the deepest split; the keys below every possible bucket are sums
+    of leaves, and a leaf belongs to the first bucket on its way down that fits. A
+    bucket is named by its first leaf, so names survive doubling. A leaf that holds
+    more than capacity, as only an uneven hash makes it, stays one bucket.
     """
-    before = [0]
-    for leaf in range(1 << leaf_bits):
-        before.append(before[-1] + leaves.get(leaf, 0))
-    depth, slots, todo = 0, [(0, 0)], [(0, 0)]
-    while todo:
-        bucket, local = todo.pop()
-        half = 1 << (leaf_bits - local) >> 1
-        if not half or before[bucket + 2 * half] - before[bucket] <= capacity:
-            continue
-        if local == depth:  # every slot becomes two that lead to the same bucket
-            slots, depth = [x for x in slots for _ in (0, 1)], depth + 1
-        first, n = bucket >> (leaf_bits - depth), 1 << (depth - local)
-        slots[first : first + n] = [(b, local + 1) for b in (bucket, bucket + half) for _ in range(n // 2)]
-        todo += [(bucket, local + 1), (bucket + half, local + 1)]
-    return depth, slots
+    bits = min(40, max(0, math.ceil(math.log2(max(n, 1) / capacity))) + SPARE_BITS)
+    leaves = hashes.groupBy(slot(F.col("hash"), bits).alias("leaf")).agg(F.count("*").alias("keys"))
+    ways = leaves.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(bits))))
+    ways = ways.withColumn("first", F.expr(f"(leaf >> ({bits} - depth)) << ({bits} - depth)"))
+    fitting = ways.groupBy("depth", "first").agg(F.sum("keys").alias("held")).where((F.col("held") <= capacity) | (F.col("depth") == bits))
+    own = ways.join(fitting, ["depth", "first"]).groupBy("leaf").agg(F.min(F.struct("depth", "first")).alias("b"))
+    leaves = written(own.select("leaf", F.col("b.first").alias("bucket"), F.col("b.depth").alias("local_depth")), "dedup-leaves")
+    depth = leaves.agg(F.max("local_depth")).first()[0] or 0
+    slots = leaves.select(F.shiftright("leaf", bits - depth).alias("slot"), "bucket", "local_depth").distinct()
+    return written(slots, "dedup-directory"), depth
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hot_least: int = HOT_LEAST
 ) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket.
 
     Texts are equal when they are identical without ASCII white space. The row with
     the most code points stays, then the one with the smallest id. Null texts count
@@ -72,87 +82,83 @@ def exact_dedup(
     last) or repeat: of repeated best rows exactly one is kept. An empty table gives
     an empty result. Other columns of docs are ignored.
     """
-    spark = docs.sparkSession
-    text = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), body(F.col(text_col)).alias("text")
-    )
+    return found_in(index_of(docs, id_col, text_col, capacity, hot_least))
+
+
+def index_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, hot_least: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, index): every row with its key, bucket and salt, and the entries that the buckets' owners made."""
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(F.col(text_col)).alias("text"))
     norm = normalised(F.col("text"))
     keys = written(
         text.select(
-            F.monotonically_increasing_id().alias("row_id"),
-            "doc_id",
-            F.length("text").cast("long").alias("n_chars"),
-            norm.alias("norm"),
+            F.monotonically_increasing_id().alias("row_id"), "doc_id", F.length("text").cast("long").alias("n_chars"), norm.alias("norm"),
         ).select(
-            "row_id", "doc_id", "n_chars",
-            F.xxhash64("norm").alias("hash"),
-            F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
+            "row_id", "doc_id", "n_chars", F.xxhash64("norm").alias("hash"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
         ),
         "dedup-keys",
     )
-
-    n = keys.count()
-    bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(n, 1) / capacity)) + 2))
-
-    def slot(depth: int):
-        return F.shiftrightunsigned("hash", 64 - depth).cast("int") if depth else F.lit(0)
-
-    leaves = {
-        r["leaf"]: r["n"]
-        for r in keys.select("hash").distinct().groupBy(slot(bits).alias("leaf")).agg(F.count("*").alias("n")).collect()
-    }
-    depth, slots = directory(leaves, bits, capacity)
-    slots = written(
-        spark.createDataFrame(
-            [(i, bucket, local) for i, (bucket, local) in enumerate(slots)], "slot int, bucket int, local_depth int"
-        ).coalesce(1),
-        "dedup-directory",
-    )
+    counts = written(keys.groupBy("hash").agg(F.count("*").alias("rows")), "dedup-counts")
+    n, distinct = counts.agg(F.sum("rows"), F.count("*")).first()
+    slots, depth = directory(counts, distinct, capacity)
+    share = max(hot_least, (n or 0) // HOT)
+    hot = counts.where(F.col("rows") > share).select(F.col("hash").alias("hot"), F.ceil(F.col("rows") / share).alias("salts"))
+
+    def routed(rows: DataFrame) -> DataFrame:
+        """rows with the bucket of their hash, and a salt, which is 0 but for hot texts."""
+        rows = rows.join(slots.select("slot", "bucket"), slot(F.col("hash"), depth) == F.col("slot")).drop("slot")
+        rows = rows.join(F.broadcast(hot), F.col("hash") == F.col("hot"), "left")
+        salt = F.when(F.col("salts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("salts"))).otherwise(0)
+        return rows.withColumn("salt", salt).drop("hot", "salts")
 
     rank = F.coalesce(
         F.lit(9223372036854775807).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)") + 1, F.lit(0)
     )
-    owned = (
-        text.select("doc_id", F.length("text").alias("n_chars"), norm.alias("norm"))
-        .select(
-            F.xxhash64("norm").alias("hash"),
-            "norm",
-            (F.col("n_chars").cast("decimal(10,0)") * F.expr(f"{_UNIT}BD") + rank).alias("best"),
-        )
-        .groupBy("hash", "norm")
-        .agg(F.count("*").alias("group_size"), F.max("best").alias("best"))
-    )
     unit = F.expr(f"{_UNIT}BD")
-    owned = owned.withColumn("keep_chars", F.expr(f"best div {_UNIT}BD")).withColumn(
+    rows = text.select("doc_id", F.length("text").alias("n_chars"), norm.alias("norm")).select(
+        F.xxhash64("norm").alias("hash"), "norm", (F.col("n_chars").cast("decimal(10,0)") * unit + rank).alias("best")
+    )
+    owned = written(
+        routed(rows)
+        .repartition("bucket", "salt")
+        .groupBy("bucket", "salt", "hash", "norm")
+        .agg(F.count("*").alias("rows"), F.max("best").alias("best"))
+        .select("bucket", "hash", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"), "rows", "best"),
+        "dedup-owned",
+    )
+    index = owned.repartition("bucket").groupBy("bucket", "hash", "digest").agg(F.sum("rows").alias("group_size"), F.max("best").alias("best"))
+    index = index.withColumn("keep_chars", F.expr(f"best div {_UNIT}BD")).withColumn(
         "keep_rank", (F.col("best") - F.col("keep_chars").cast("decimal(10,0)") * unit).cast("decimal(20,0)")
     )
+    keep_id = F.lit(9223372036854775807).cast("decimal(20,0)") - F.col("keep_rank") + 1
     index = written(
-        owned.select(
-            slot(depth).alias("slot"),
-            "hash",
-            F.sha2(F.col("norm").cast("binary"), 256).alias("digest"),
-            "group_size",
-            F.col("keep_chars").cast("long").alias("keep_chars"),
-            F.when(F.col("keep_rank") > 0, F.lit(9223372036854775807).cast("decimal(20,0)") - F.col("keep_rank") + 1)
-            .cast("long")
-            .alias("keep_id"),
-        ).join(F.broadcast(slots), "slot").drop("slot"),
+        index.join(F.broadcast(hot), F.col("hash") == F.col("hot"), "left").select(
+            "bucket", "hash", "digest", "group_size", F.col("keep_chars").cast("long").alias("keep_chars"),
+            F.when(F.col("keep_rank") > 0, keep_id).cast("long").alias("keep_id"), F.coalesce("salts", F.lit(1)).cast("int").alias("salts"),
+        ).sortWithinPartitions("bucket", "hash"),
         "dedup-index",
     )
+    return routed(keys), index
 
-    found = (
-        keys.join(
-            index.withColumnRenamed("hash", "key"),
-            (F.col("hash") == F.col("key")) & (F.col("text_sha256") == F.col("digest")),
-        )
-        .withColumn("best", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
-        .withColumn("turn", F.concat_ws(":", "text_sha256", F.when(~F.col("best"), F.col("row_id"))))
+
+def found_in(made: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The rows of index_of() with what their entries say; an entry of a hot text stands for each of its salts."""
+    keys, index = made
+    entries = index.select(
+        F.col("bucket").alias("at"), F.col("hash").alias("key"), "digest", "group_size", "keep_chars", "keep_id",
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("turn"),
+    )
+    found = keys.join(
+        entries,
+        (F.col("bucket") == F.col("at")) & (F.col("salt") == F.col("turn")) & (F.col("hash") == F.col("key")) & (F.col("text_sha256") == F.col("digest")),
+    )
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
+    found = written(
+        found.select("row_id", "doc_id", "keep_id", "group_size", "text_sha256", "bucket", best.alias("best")), "dedup-found"
     )
-    # only rows that repeat the best row's id and length share a turn: one of them stays; a
-    # turn is a key of its own, so that the join's large groups can be split
-    first = F.row_number().over(Window.partitionBy("turn").orderBy("row_id")) == 1
-    return found.withColumn("first", first).select(
-        "doc_id", "keep_id", "group_size", (F.col("best") & F.col("first")).alias("kept"), "text_sha256", "bucket"
+    # of rows that repeat the best one's id and length the first stays
+    first = found.where("best").groupBy("bucket", "text_sha256").agg(F.min("row_id").alias("first"))
+    return found.join(first.select("first"), F.col("row_id") == F.col("first"), "left").select(
+        "doc_id", "keep_id", "group_size", F.col("first").isNotNull().alias("kept"), "text_sha256", "bucket"
     )
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -67,7 +68,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(a, 0, b) for a, b in emails(text)]
     if re.search("[0-9]", text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            parts = [p.lstrip("0") for p in m[0].split(".")]
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
                 found.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             own = digits_of(m[0])
@@ -150,11 +152,24 @@ class Tree:
             self.right[here] = self.grow(x, grad, hess, rows[~low], depth - 1, least)
         return here
 
-    def of(self, row: list[float]) -> float:
-        at = 0
-        while self.feature[at] >= 0:
-            at = self.left[at] if row[self.feature[at]] <= self.cut[at] else self.right[at]
-        return self.value[at]
+
+def stacked(trees: list[Tree]) -> tuple[np.ndarray, ...]:
+    """The trees' lists as arrays of one row a tree."""
+    size = max((len(t.value) for t in trees), default=0)
+    return tuple(
+        np.array([[*getattr(t, name), *[0] * (size - len(t.value))] for t in trees]).reshape(len(trees), size)
+        for name in ("feature", "cut", "left", "right", "value")
+    )
+
+
+def total(x: np.ndarray, trees: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The sum of the trees' values for each row of x: each step moves every row one level down in all trees."""
+    feature, cut, left, right, value = trees
+    tree, at, rows = np.arange(len(value)), np.zeros((len(x), len(value)), int), np.arange(len(x))[:, None]
+    while len(value) and (inner := feature[tree, at] >= 0).any():
+        low = x[rows, feature[tree, at]] <= cut[tree, at]
+        at = np.where(inner, np.where(low, left[tree, at], right[tree, at]), at)
+    return value[tree, at].sum(1)
 
 
 @dataclass
@@ -164,24 +179,26 @@ class Boosted:
     trees: list[Tree] = field(default_factory=list)
     rate: float = 0.3
     thresholds: dict[int, float] = field(default_factory=dict)
+    made: tuple | None = None
 
-    def score(self, row: list[float]) -> float:
-        total = sum(t.of(row) for t in self.trees) * self.rate
-        return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        if self.made is None:
+            self.made = stacked(self.trees)
+        return 1 / (1 + np.exp(-np.clip(total(x, self.made) * self.rate, -30, 30)))
 
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3) -> Boosted:
-        total = np.zeros(len(y))
+        known = np.zeros(len(y))
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-total))
+            p = 1 / (1 + np.exp(-known))
             tree = Tree()
             tree.grow(x, y - p, p * (1 - p), np.arange(len(y)), depth, 0.5)
             self.trees.append(tree)
-            total += self.rate * np.array([tree.of(r) for r in x.tolist()])
+            known += self.rate * total(x, stacked([tree]))
         return self
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float) -> Boosted:
         """For each kind the least threshold with at least that precision on held-out examples."""
-        scores = np.array([self.score(r) for r in x.tolist()])
+        scores = self.scores(x)
         for kind in range(len(KINDS)):
             own = x[:, 0] == kind
             fine = [
@@ -264,24 +281,45 @@ def trained(n: int = 3000, precision: float = 0.97, seed: int = 7) -> Boosted:
     return Boosted().fit(x[~held], y[~held]).calibrate(x[held], y[held], precision)
 
 
+def best_apart(found: list[tuple[float, int, int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of scored (score, start, kind, end) those that a choice by falling score takes, none
+    overlapping another or a taken span; (start, kind, end) in order of start.
+
+    Chosen spans never overlap, so a span's neighbours in a sorted list are all that it is held against.
+    """
+    starts = [a for a, _, _ in taken]
+    spans = [(a, k, b) for a, k, b in taken]
+    most = 0  # a taken span may overlap others, as base spans of several kinds do
+    ends = [most := max(most, b) for _, _, b in taken]
+    own: list[tuple[int, int, int]] = []
+    for _, a, k, b in sorted(found, key=lambda x: (-x[0], x[1:])):
+        at = bisect_left(starts, b)
+        if at and ends[at - 1] > a:
+            continue
+        at = bisect_left(own, (a,))
+        if (at and own[at - 1][2] > a) or (at < len(own) and own[at][0] < b):
+            continue
+        own.insert(at, (a, k, b))
+    return sorted([*spans, *own])
+
+
 def all_spans(text: str, model: Boosted) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and base and accepted spans together, each sorted."""
+    """Base spans, and base and accepted spans together, each sorted.
+
+    Base spans always stay, so a proposal that overlaps one can't be added, whatever its score.
+    """
     base = base_spans(text)
     if not _GATE.search(text):
         return base, base
-    proposed = []
-    for kind, pattern in GENERATORS:
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, _, b in base):
-                continue
-            score = model.score(features(text, kind, m.start(), m.end()))
-            if score >= model.thresholds[kind]:
-                proposed.append((-score, m.start(), kind, m.end()))
-    added: list[tuple[int, int, int]] = []
-    for _, a, kind, b in sorted(proposed):
-        if not any(x < b and a < y for x, _, y in added):
-            added.append((a, kind, b))
-    return base, sorted([*base, *added])
+    proposed = [(kind, m.start(), m.end()) for kind, pattern in GENERATORS for m in pattern.finditer(text)]
+    if not proposed:
+        return base, base
+    scores = model.scores(np.array([features(text, *p) for p in proposed]))
+    fine = [
+        (float(score), a, kind, b)
+        for score, (kind, a, b) in zip(scores, proposed, strict=True) if score >= model.thresholds[kind]
+    ]
+    return base, best_apart(fine, base)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

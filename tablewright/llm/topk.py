@@ -15,6 +15,7 @@ tasks. Every task returns k rows a query; a window takes the best of those.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -51,11 +52,19 @@ def products(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
-def best_pairs(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int):
-    """(query index, candidate index, score) of each query's k best candidates, ties to smaller ids."""
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as exact whole numbers of any size."""
+    return np.array([[math.floor(Fraction(v) * scale) for v in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+
+
+def best_pairs(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, scale: int = 1):
+    """(query index, candidate index, score) of each query's k best candidates by floor(scale * x), ties to smaller ids."""
+    given = q, c
+    with np.errstate(over="ignore"):
+        q, c = np.floor(q * scale), np.floor(c * scale)
     big = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if big >= 2**53:  # beyond exact doubles: whole numbers of any size, cut to a long
-        exact = q.astype(object) @ c.astype(object).T
+    if not big < 2**53:  # beyond exact doubles: whole numbers of any size, cut to a long
+        exact = whole(given[0], scale) @ whole(given[1], scale).T
         return [
             (i, j, max(-(2**63), min(2**63 - 1, int(exact[i, j]))))
             for i in range(len(q))
@@ -109,14 +118,14 @@ def top_k(
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
     ).where(F.col("id").isNotNull() & x.isNotNull() & fine)
-    rows = written(rows.select("id", F.transform(x, lambda v: v * scale).alias("vector"), F.size(x).alias("dim")), "topk-rows")
+    rows = written(rows.select("id", "vector", F.size(x).alias("dim")), "topk-rows")
     asks = rows.where(F.col("id") % every == 0)
     asks = asks.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("vector"))).where("turn = 1")
     n, m = rows.count(), rows.where(F.col("id") % every == 0).select("id").distinct().count()
     across, down = max(1, math.ceil(m / QUERIES)), max(1, math.ceil(n / CANDIDATES))
 
     def packed(key, part: pd.DataFrame) -> pd.DataFrame:
-        at = np.floor(np.array(part["vector"].tolist(), dtype=np.float64).reshape(len(part), -1))
+        at = np.array(part["vector"].tolist(), dtype=np.float64).reshape(len(part), -1)
         return pd.DataFrame(
             {"dim": [key[0]], "block": [key[1]], "n": [len(part)], "ids": [part["id"].to_numpy("int64").tobytes()], "vectors": [at.tobytes()]}
         )
@@ -140,7 +149,7 @@ def top_k(
                 qid, cid = np.frombuffer(row.q_ids, "int64"), np.frombuffer(row.ids, "int64")
                 q = np.frombuffer(row.q_vectors).reshape(row.q_n, -1)
                 c = np.frombuffer(row.vectors).reshape(row.n, -1)
-                found = best_pairs(qid, q, cid, c, k)
+                found = best_pairs(qid, q, cid, c, k, scale)
                 i, j, score = map(list, zip(*found, strict=True)) if found else ([], [], [])
                 yield pd.DataFrame(
                     {"query_id": qid[np.array(i, int)], "vec_id": cid[np.array(j, int)], "score": np.array(score, "int64")}

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.llm import exact_dedup, mixing, url_filter
 
@@ -54,15 +55,57 @@ def test_dedup_documents_keeps_columns_and_one_row_a_text(frame):
     assert len(texts) == len(set(texts)) == len(plain_dedup(ROWS)) - sum(n - 1 for n in (4, 3, 2, 2))
 
 
-def test_directory_doubles_until_buckets_fit():
-    leaves = {i: (50 if i == 5 else 1) for i in range(16)}
-    depth, slots = exact_dedup.directory(leaves, 4, 4)
-    assert len(slots) == 2**depth and depth == 4
-    sizes = defaultdict(int)
-    for leaf, n in leaves.items():
-        sizes[slots[leaf >> (4 - depth)]] += n
-    assert all(n <= 4 or local == 4 for (_, local), n in sizes.items())
-    assert exact_dedup.directory({}, 0, 4) == (0, [(0, 0)])
+def hashed(spark, n):
+    return spark.range(n).select(F.xxhash64("id").alias("hash"))
+
+
+@pytest.mark.parametrize("n, capacity", [(1, 4), (500, 16), (3000, 64)])
+def test_directory_doubles_until_buckets_fit(spark, n, capacity):
+    slots, depth = exact_dedup.directory(hashed(spark, n), n, capacity)
+    lead = {r.slot: (r.bucket, r.local_depth) for r in slots.collect()}
+    held, seen = defaultdict(int), defaultdict(set)
+    for r in hashed(spark, n).collect():
+        s = (r.hash % 2**64) >> (64 - depth)
+        held[lead[s]] += 1
+        seen[lead[s]].add(s)
+    assert max(held.values()) <= capacity and max(local for _, local in lead.values()) == depth
+    for (_, local), own in seen.items():  # the slots of a bucket share its bits
+        assert len({s >> (depth - local) for s in own}) == 1
+    # no bucket was split that had fitted
+    for bucket, local in held:
+        twin = [m for b, m in held.items() if b[1] == local and b[0] != bucket]
+        assert local == 0 or sum(twin) + held[bucket, local] > 0
+    assert (depth == 0) == (n <= capacity)
+
+
+def test_directory_of_nothing(spark):
+    slots, depth = exact_dedup.directory(hashed(spark, 0), 0, 4)
+    assert slots.collect() == [] and depth == 0
+
+
+def test_rows_are_owned_and_found_by_bucket(frame):
+    rows = [(i, f"text {i % 300}", "en", "x", 0, None, 0) for i in range(600)]
+    keys, index = exact_dedup.index_of(frame(rows, DOCS), "doc_id", "text", 16, 4096)
+    size = defaultdict(int)
+    for r in index.collect():
+        size[r.bucket] += 1
+    assert sum(size.values()) == 300 and max(size.values()) <= 16 and len(size) > 300 / 16
+    assert {r.bucket for r in keys.collect()} == set(size)
+    files = defaultdict(set)
+    for r in index.select("bucket", F.input_file_name().alias("file")).collect():
+        files[r.bucket].add(r.file)
+    assert all(len(x) == 1 for x in files.values()), "a bucket lies in one file"
+    moved = index.withColumn("bucket", F.col("bucket") + 1)
+    assert exact_dedup.found_in((keys, moved)).count() < 600, "an entry is only found in its bucket"
+
+
+def test_hot_texts_are_split_and_merged(frame):
+    rows = [(i, "hot" if i % 3 else f"t{i}", "en", "x", 0, None, 0) for i in range(300)]
+    keys, index = exact_dedup.index_of(frame(rows, DOCS), "doc_id", "text", 16, 20)
+    assert len({r.salt for r in keys.collect() if r.text_sha256 == hashlib.sha256(b"hot").hexdigest()}) == 10
+    got = exact_dedup.found_in((keys, index)).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == plain_dedup(rows)
+    assert sum(r.kept for r in got) == 101
 
 
 def plain_targets(sizes, cap=3):
