@@ -9,19 +9,18 @@ anew after the last, so a source is repeated evenly and never more than CAP time
 
 At scale: the text is read once and never shuffled; ids, sizes and slots are all
 that moves. A source with most of the rows is spread by buckets of its shuffled
-order and of the slots' numbers. Sources are one row each; their targets come from
-a few aggregations, whose results are single numbers.
+order and of the slots' numbers. Sources are one row each, of any number: their ranks
+and targets come from running sums over ranges, and single numbers reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tablewright.llm.common import fresh, running_start, table, word_count, written
+from tablewright.llm.common import fresh, running_start, running_sums, table, word_count, written
 
 #: Weights of the sources in order, repeating, and the most often that a source may be taken.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -35,6 +34,9 @@ ROWS = 4096
 #: Fractional part of the golden ratio, times 2**32, rounded to the next odd number: exact in a long.
 GOLDEN, TURN = 2654435769, 1 << 32
 
+#: Parts of a slot in which the sources' stretches are whole numbers.
+PARTS = 1 << 20
+
 #: Cells of the unit interval in which points and the sources' stretches are matched.
 CELLS = 4096
 
@@ -47,26 +49,23 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     again by weight until none is above. Sources without words get 0.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("turn") - 1) % len(weights) + 1).cast("int"))
-    ranked = written(
-        totals.withColumn("turn", F.row_number().over(order)).withColumn("weight", weight).drop("turn"), "mix-sources"
+    ranked = running_sums(totals, by_source(), turn=F.lit(1))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("turn") % len(weights) + 1).cast("int"))
+    ranked = ranked.select("source", "source_size", weight.alias("weight"), (cap * F.col("source_size")).alias("limit"))
+    # sources stop in the order of limit by weight; the first one that doesn't tells the share of all that follow
+    ranked = running_sums(ranked, [F.col("limit") / F.col("weight"), *by_source()], stopped=F.col("limit"), spent=F.col("weight"))
+    whole = ranked.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("weights")).first()
+    share = (F.lit(whole["all"] or 0) - F.col("stopped")) / (F.lit(whole["weights"] or 0) - F.col("spent"))
+    free = ranked.select(share.alias("share"), "limit", "weight").where(F.col("share") * F.col("weight") <= F.col("limit"))
+    found = free.agg(F.max("share")).first()[0]
+    return ranked.select(
+        "source", "source_size", F.least(F.col("weight") * F.lit(float(found or 0.0)), F.col("limit").cast("double")).alias("target")
     )
-    limit = cap * F.col("source_size")
-    share, free = 0.0, None
-    while True:  # each round caps at least one more source
-        full = F.col("weight") * F.lit(share) >= limit
-        now = ranked.agg(
-            F.sum("source_size").alias("all"),
-            F.sum(F.when(full, limit)).alias("capped"),
-            F.sum(F.when(~full, F.col("weight"))).alias("free"),
-        ).first()
-        if not now["all"] or not now["free"] or now["free"] == free:
-            break
-        free, share = now["free"], (now["all"] - (now["capped"] or 0)) / now["free"]
-    return ranked.withColumn(
-        "target", F.least(F.col("weight") * F.lit(float(share)), limit.cast("double"))
-    ).drop("weight")
+
+
+def by_source() -> list[Column]:
+    """The order of sources: by code point, null last."""
+    return [F.col("source").isNull(), F.col("source").cast("binary")]
 
 
 def mix(
@@ -86,7 +85,9 @@ def mix(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"),
-        ).withColumn("key", F.xxhash64(F.col("doc_id"), F.lit(seed))),
+            # the text too, so that rows of one repeated or null id are shuffled apart
+            F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("key"),
+        ),
         "mix-rows",
     )
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
@@ -98,7 +99,9 @@ def mix(
         goal.withColumn("slots", F.coalesce(F.col("target") * F.col("blocks") / F.nullif("source_size", F.lit(0)), F.lit(0.0))),
         "mix-targets",
     )
-    n_slots = goal.agg(F.sum("slots")).first()[0] or 0.0
+    goal = goal.withColumn("parts", F.floor(F.col("slots") * PARTS).cast("long"))
+    n_parts = goal.agg(F.sum("parts")).first()[0] or 0
+    n_slots = n_parts / PARTS
 
     # the shuffled order of each source, cut into blocks
     bits = max(0, math.ceil(math.log2(max(1, n / ROWS))))
@@ -115,12 +118,11 @@ def mix(
     )
 
     # slots: points through the cumulated targets, ranked within the source
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    stretch = goal.where("slots > 0").withColumn("high", F.sum("slots").over(order))
-    stretch = stretch.select(
-        F.col("source"), F.col("blocks"),
-        ((F.col("high") - F.col("slots")) / F.lit(n_slots or 1.0)).alias("low"), (F.col("high") / F.lit(n_slots or 1.0)).alias("high"),
-    ).withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.floor(F.col("high") * CELLS))))
+    stretch = running_sums(goal.where("parts > 0").select("source", "blocks", "parts"), by_source(), low=F.col("parts"))
+    ends = {"low": F.col("low") / F.lit(max(n_parts, 1)), "high": (F.col("low") + F.col("parts")) / F.lit(max(n_parts, 1))}
+    stretch = stretch.select("source", "blocks", *[c.alias(k) for k, c in ends.items()])
+    cells = F.sequence(F.floor(F.col("low") * CELLS), F.floor(F.col("high") * CELLS))
+    stretch = stretch.withColumn("cell", F.explode(cells))
     slots = spark.range(0, math.ceil(n_slots)).select(
         F.col("id").alias("slot"), (((F.col("id") * GOLDEN + TURN // 2) % TURN) / TURN).alias("point")
     )

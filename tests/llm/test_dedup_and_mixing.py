@@ -71,10 +71,10 @@ def test_directory_doubles_until_buckets_fit(spark, n, capacity):
     assert max(held.values()) <= capacity and max(local for _, local in lead.values()) == depth
     for (_, local), own in seen.items():  # the slots of a bucket share its bits
         assert len({s >> (depth - local) for s in own}) == 1
-    # no bucket was split that had fitted
-    for bucket, local in held:
-        twin = [m for b, m in held.items() if b[1] == local and b[0] != bucket]
-        assert local == 0 or sum(twin) + held[bucket, local] > 0
+    every = [(r.hash % 2**64) >> (64 - depth) for r in hashed(spark, n).collect()]
+    for (_, local), own in seen.items():  # what was split had not fitted
+        above = {s >> (depth - local + 1) for s in own}
+        assert local == 0 or sum(s >> (depth - local + 1) in above for s in every) > capacity
     assert (depth == 0) == (n <= capacity)
 
 
@@ -140,6 +140,63 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=str)
 
 
+def plain_mix(rows, key):
+    """Words taken of each row (id, text, source) by the plain schedule; key gives a row's place in the shuffled order."""
+    words = {r[0]: len(re.findall("[^\x20\x09-\x0d]+", r[1] or "")) for r in rows}
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[2]] += words[r[0]]
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    target, most = plain_targets(sizes), max(1, min(mixing.BLOCK_MOST, sum(sizes.values()) // mixing.SLOTS))
+    block = {s: max(1, min(most, int(target[s] / mixing.LEAST_SLOTS))) for s in order}
+    blocks = {s: -(-sizes[s] // block[s]) for s in order}
+    parts = {s: int(target[s] * blocks[s] / sizes[s] * mixing.PARTS) if sizes[s] else 0 for s in order}
+    total, times = sum(parts.values()), defaultdict(int)
+    rank = defaultdict(int)
+    for i in range(-(-total // mixing.PARTS)):
+        point, low = ((i * mixing.GOLDEN + mixing.TURN // 2) % mixing.TURN) / mixing.TURN, 0
+        for s in order:
+            if low / total <= point < (low + parts[s]) / total:
+                if rank[s] < 3 * blocks[s]:
+                    times[s, rank[s] % blocks[s]] += 1
+                rank[s] += 1
+            low += parts[s]
+    taken = {}
+    for s in order:
+        at = 0
+        for r in sorted((r for r in rows if r[2] == s), key=lambda r: key[r[0]]):
+            n = words[r[0]]
+            taken[r[0]] = sum(times[s, (at + w) // block[s]] for w in range(n))
+            at += n
+    return taken
+
+
+def test_mix_follows_the_plain_schedule(frame):
+    rows = [(i, "w " * (1 + i * 7 % 50) if i % 11 else None, ("a", "b", None, "d")[min(3, i % 9)]) for i in range(90)]
+    docs = frame([(i, t, None, s, 0, None, 0) for i, t, s in rows], DOCS)
+    key = {r.doc_id: r.key for r in docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(0)).alias("key")).collect()}
+    got = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    assert got == plain_mix(rows, key)
+
+
+def test_mix_documents_on_odd_rows(frame):
+    rows = [(1, "a " * 900, None, "big", 0, "k", 0), (1, "a " * 900, None, "big", 0, "k", 0), (2, "b " * 40, None, "a", 0, None, 0), (3, None, None, None, 0, None, 0), (None, "c " * 50, None, None, 0, None, 0)]
+    docs = frame([r + ("x", 1) for r in rows], f"{DOCS}, mixed_id string, taken int")
+    got = mixing.mix_documents(docs)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} <= {1, 2, None}
+    assert mixing.mix_documents(docs.limit(0)).collect() == []
+
+
+def test_mix_of_many_sources(frame):
+    rows = [(i, "w " * (1 + i % 5), None, f"s{i % 500}", 0, None, 0) for i in range(2000)]
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += 1 + r[0] % 5
+    want = plain_targets(sizes)
+    got = mixing.mix(frame(rows, DOCS)).select("source", "target").distinct().collect()
+    assert {r.source: r.target for r in got} == pytest.approx(want)
+
+
 def test_mix_with_nulls_caps_and_nothing(frame):
     rows = [(1, "a " * 900, None, "big", 0, None, 0), (2, "b " * 40, None, "a", 0, None, 0), (3, None, None, None, 0, None, 0), (4, "c " * 50, None, None, 0, None, 0)]
     got = {r.doc_id: r for r in mixing.mix(frame(rows, DOCS)).collect()}
