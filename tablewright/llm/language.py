@@ -5,8 +5,8 @@ word edges included) in rank order. A document's own most frequent n-grams are
 compared with each profile by the out-of-place distance: the sum of differences in
 rank, RANKS for an n-gram that the profile lacks. The nearest profile wins.
 
-Profiles are counted by Spark over a bounded sample of SAMPLE documents a language;
-what reaches the driver is RANKS rows a language. Scoring is one pass over whole
+Profiles are counted by Spark over a bounded sample of about SAMPLE documents a
+language, of every language that occurs; what reaches the driver is RANKS rows a language. Scoring is one pass over whole
 texts without any shuffle; the counting inside a text is vectorised.
 """
 
@@ -22,57 +22,77 @@ from pyspark.sql.window import Window
 
 from tablewright.llm.common import body, crc32_of_id, table
 
-#: Length of a profile, documents a language that profiles are counted over, languages.
-RANKS, SAMPLE, LANGUAGES = 300, 3000, 200
+#: Length of a profile, and documents a language that profiles are counted over, about (twice as many at most).
+RANKS, SAMPLE = 300, 3000
 
-#: Letters are numbered below 2**10: an n-gram is one 32-bit number.
-LETTERS, SHIFT = 1022, 10
+#: A letter is its code point, in SHIFT bits: an n-gram is one 64-bit number.
+SHIFT = 21
+
+#: A number that no code point has.
+EDGE = (1 << SHIFT) - 1
 
 FOLDS, HELD = 5, 0
 
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """For each code point 0, or for a letter the number of its lower case."""
-    made = np.zeros(0x110000, np.uint32)
+    """For each code point 0, or for a letter the code point of its lower case."""
+    made = np.zeros(0x110000, np.uint64)
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
-            made[i] = 1 + ord(c.lower()[0]) % LETTERS
+            made[i] = ord(c.lower()[0])
     return made
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a whole text, and how often each occurs."""
+    """The distinct n-grams of a whole text, and how often each occurs.
+
+    Edges of words are zeros; one edge before, inside or after, so n-grams of other
+    lengths or places never share a number.
+    """
     x = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    x = np.concatenate([[0], x, [0]]).astype(np.uint32)
+    x = np.concatenate([[0], x, [0]]).astype(np.uint64)
     x = x[(x != 0) | np.concatenate([[True], x[:-1] != 0])]  # one edge between words
     if len(x) < 3:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    two = (x[:-1] << SHIFT) | x[1:] | np.uint32(1 << 30)
-    three = ((x[:-2] << (2 * SHIFT)) | (x[1:-1] << SHIFT) | x[2:] | np.uint32(2 << 30))[x[1:-1] != 0]
-    return np.unique(np.concatenate([x[x != 0], two, three]), return_counts=True)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    one, two = np.uint64(SHIFT), np.uint64(2 * SHIFT)
+    # the highest digit of a pair is free for a mark that tells it from a letter and from a triple
+    pairs = (x[:-1] << one) | x[1:] | (np.uint64(EDGE) << two)
+    triples = ((x[:-2] << two) | (x[1:-1] << one) | x[2:])[x[1:-1] != 0]
+    found, count = np.unique(np.concatenate([x[x != 0], pairs, triples]), return_counts=True)
+    return found.astype(np.int64), count
 
 
 class Profiles:
-    """Ranks of n-grams by language."""
+    """Ranks of n-grams by language: for each known n-gram the languages that have it, and where."""
 
     def __init__(self, ranked: dict[str, list[int]]):
         self.names = sorted(ranked)
-        self.known = np.array(sorted({g for own in ranked.values() for g in own}), np.uint32)
-        self.rank = np.full((len(self.names), max(1, len(self.known))), -1)
-        for k, name in enumerate(self.names):
-            self.rank[k, np.searchsorted(self.known, np.array(ranked[name], np.uint32))] = np.arange(len(ranked[name]))
+        gram = np.array([g for name in self.names for g in ranked[name]], np.int64)
+        language = np.repeat(np.arange(len(self.names)), [len(ranked[name]) for name in self.names]).astype(np.int64)
+        rank = np.array([i for name in self.names for i in range(len(ranked[name]))], np.int64)
+        order = np.lexsort((language, gram))
+        self.known, self.first = np.unique(gram[order], return_index=True)
+        self.end = np.append(self.first[1:], len(gram))
+        self.language, self.rank = language[order], rank[order]
+
+    def distances(self, own: np.ndarray) -> np.ndarray:
+        """Out-of-place distance of each language to n-grams in rank order."""
+        away = np.full(len(self.names), float(RANKS * len(own)))
+        at = np.minimum(np.searchsorted(self.known, own), max(0, len(self.known) - 1))
+        hit = np.flatnonzero(self.known[at] == own) if len(self.known) else np.zeros(0, int)
+        size = self.end[at[hit]] - self.first[at[hit]]
+        place = np.repeat(self.first[at[hit]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        np.add.at(away, self.language[place], np.abs(self.rank[place] - np.repeat(hit, size)) - RANKS)
+        return away
 
     def nearest(self, text: str) -> tuple[str, float]:
         """The language, and 1 less its share in its own and the next distance; und without a letter."""
         found, count = grams(text)
         if not len(found) or not self.names:
             return "und", 0.0
-        own = found[np.lexsort((found, -count))[:RANKS]]
-        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
-        rank = np.where(self.known[at] == own, self.rank[:, at], -1)
-        away = np.where(rank >= 0, np.abs(rank - np.arange(len(own))), RANKS).sum(1)
+        away = self.distances(found[np.lexsort((found, -count))[:RANKS]])
         order = np.argsort(away, kind="stable")
         if len(order) == 1:
             return self.names[0], 1.0
@@ -85,15 +105,18 @@ def held_out(doc_id):
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Profiles:
-    """Profiles of the languages of docs outside the held-out fold (the LANGUAGES most frequent ones)."""
+    """Profiles of all languages of docs outside the held-out fold."""
     doc_id = F.col(id_col).cast("long")
     known = docs.select(doc_id.alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    # a hash below SAMPLE / n of its range takes about SAMPLE of the n documents, the same ones each time
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    # a hash below SAMPLE / n of its range takes about SAMPLE of the n documents, the same ones each
+    # time; where rows repeat it may take more, and the first 2 * SAMPLE of those count
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     below = sizes.select(F.col("lang").alias("of"), (F.lit(float(SAMPLE)) / F.col("n")).alias("share"))
-    point = F.shiftrightunsigned(F.xxhash64("id", F.lit(1)), 11) / F.lit(float(1 << 53))
-    chosen = known.join(F.broadcast(below), F.col("lang") == F.col("of")).where(F.coalesce(point, F.lit(0.0)) < F.col("share"))
+    point = F.shiftrightunsigned(F.xxhash64("id", "text"), 11) / F.lit(float(1 << 53))
+    chosen = known.join(below, F.col("lang") == F.col("of")).where(point < F.col("share"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", "text"))
+    chosen = chosen.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= 2 * SAMPLE)
 
     def counted(batches):
         for part in batches:

@@ -74,15 +74,44 @@ def test_language_distance_equals_a_plain_version():
             own.update(p[i : i + 3] for i in range(len(p) - 2))
         return own
 
-    for text in texts.values():
+    def named(gram):
+        """The n-gram of a number, spelled as plain() does."""
+        digits = [gram >> (2 * language.SHIFT), gram >> language.SHIFT & language.EDGE, gram & language.EDGE]
+        if digits[0] == language.EDGE:
+            digits = digits[1:]
+        elif not digits[0] and not digits[1]:
+            digits = digits[2:]
+        return "".join(chr(d) if d else "_" for d in digits)
+
+    for text in (*texts.values(), "Ðə a\u3042\u4e2d \U00020000x 1 éÉ"):
+        assert {named(int(g)): int(n) for g, n in zip(*language.grams(text), strict=True)} == dict(plain(text))
         got = sorted(language.grams(text)[1].tolist())
         assert got == sorted(plain(text).values())
     ranked = {name: [g for g, _ in sorted(zip(*map(np.ndarray.tolist, language.grams(t)), strict=True), key=lambda x: (-x[1], x[0]))] for name, t in texts.items()}
     known = language.Profiles(ranked)
+    for text in ("the dog and cat", "le chien", "xyz the le"):
+        found, count = language.grams(text)
+        own = [int(g) for g, _ in sorted(zip(found, count, strict=True), key=lambda x: (-x[1], x[0]))][: language.RANKS]
+        want = [
+            sum(abs(i - ranked[name][: len(ranked[name])].index(g)) if g in ranked[name] else language.RANKS for i, g in enumerate(own))
+            for name in known.names
+        ]
+        assert known.distances(np.array(own)).tolist() == want
     assert known.nearest("the dog and cat")[0] == "en" and known.nearest("le chien et la rue")[0] == "fr"
     assert known.nearest(" 12 !")[0] == "und" and known.nearest(texts["en"]) == ("en", 1.0)
 
 
+def test_one_language_and_many(frame):
+    one = frame([(i, "a text of one language", "xx", "s", 0, None, None) for i in range(9)], DOCS)
+    assert {(r.lang_pred, r.score) for r in language.identify(one).collect()} == {("xx", 1.0)}
+    # more languages than any cap, each with letters of its own
+    rows = [(i, f"{chr(0x4E00 + i // 4)}{chr(0x6E00 + i // 4)} " * 5, f"l{i // 4:03}", "s", 0, None, None) for i in range(1000)]
+    got = language.identify(frame(rows, DOCS)).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id // 4:03}" for r in got) >= 995
+    same = frame([(None, "the same text", "en", "s", 0, None, None)] * 50, DOCS)
+    assert {r.lang_pred for r in language.identify(same).collect()} == {"en"}
+
+
 def test_classifiers_on_odd_rows(frame):
     docs, empty = frame(ODD, DOCS), frame([], DOCS)
     labels, none = frame([(2, 1, 0, "x"), (5, 0, 1, None), (None, 1, 1, None), (7, None, None, None)], LABELS), frame([], LABELS)
