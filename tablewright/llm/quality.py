@@ -26,8 +26,8 @@ from tablewright.llm.labelled import held_out, sample
 #: Most good and bad documents that are learned from, and words of a passage.
 GOOD, BAD, PASSAGE = 5000, 3000, 64
 
-#: Sizes of the encoding and of the attention, steps of the fit.
-HIDDEN, ATTENTION, STEPS = 16, 8, 400
+#: Sizes of the encoding and of the attention, steps of the fit and documents of each.
+HIDDEN, ATTENTION, STEPS, BATCH = 16, 8, 600, 256
 
 THRESHOLD = 0.5
 
@@ -132,12 +132,17 @@ def fit(
     bags: list[np.ndarray], labels: list[int], steps: int = STEPS, rate: float = 0.02, decay: float = 1e-4,
     weights: dict[int, float] | None = None,
 ) -> Model | None:
-    """The model of labelled bags, weighted by label; None without both labels."""
+    """The model of labelled bags, weighted by label; None without both labels.
+
+    Every step takes the next BATCH bags of a shuffled order, so the fit's time doesn't
+    grow with the sample; steps get shorter to the end.
+    """
     if len(set(labels)) < 2:
         return None
     x, y = np.concatenate(bags).astype(float), np.array(labels, float)
     weight = np.array([(weights or {}).get(v, 1.0) for v in labels])
-    first = np.cumsum([0, *map(len, bags)])[:-1]
+    count = np.array(list(map(len, bags)))
+    begin = np.cumsum(count) - count
     r = np.random.default_rng(0)
     w = {
         "W": r.normal(0, 0.3, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": r.normal(0, 0.3, (HIDDEN, ATTENTION)),
@@ -145,11 +150,18 @@ def fit(
     }
     model = Model(x.mean(0), x.std(0) + 1e-6, w)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
+    order, at = r.permutation(len(y)), 0
     for t in range(1, steps + 1):
-        for k, d in model.gradient(x, first, y, weight).items():
+        if at >= len(y):
+            order, at = r.permutation(len(y)), 0
+        own, at = order[at : at + BATCH], at + BATCH
+        first = np.cumsum(count[own]) - count[own]
+        rows = np.repeat(begin[own] - first, count[own]) + np.arange(count[own].sum())
+        step = rate * (1 - 0.9 * (t - 1) / steps)
+        for k, d in model.gradient(x[rows], first, y[own], weight[own]).items():
             d = d + decay * w[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.999 * v[k] + 0.001 * d**2
-            w[k] = w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            w[k] = w[k] - step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     return model
 
 

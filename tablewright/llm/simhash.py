@@ -5,8 +5,9 @@ differ in at most LINK bits agree in all but one bit of at least one of SEGMENTS
 segments, so each segment is indexed once for every bit left out, and links are
 found by an equality join on (left-out bit, rest of the segment). The join's own
 condition verifies the distance and lets only the first matching variant of a pair
-through, so no pair is emitted that isn't a link, and none twice. Equal
-fingerprints are one row before the join. Components come from alternating large
+through, so no pair is emitted that isn't a link, and none twice. Keys that many
+fingerprints share get second keys from the other bits. Equal fingerprints are one
+row before the join. Components come from alternating large
 and small stars over the links, each round a written table.
 """
 
@@ -27,6 +28,9 @@ WORDS, SEED, BITS, LINK = 4, 42, 64, 4
 #: (first bit, bits) of the segments; one more than half of LINK are enough.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
+#: Fingerprints with one value of a segment from which its keys get second keys.
+HOT = 512
+
 #: Hashes whose bits are counted at a time.
 CHUNK = 65536
 
@@ -90,17 +94,60 @@ def variants(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def links(fps: DataFrame, most: int = LINK) -> DataFrame:
-    """a < b: the pairs of different fingerprints (column fp, distinct) in at most most differing bits."""
-    index = fps.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
-    left, right = index.toDF("a", "key"), index.toDF("b", "other")
+def parts_outside(first: int, n: int, most: int) -> list[int]:
+    """Masks of most + 1 parts of the bits outside a segment: of at most most differing bits one part has none."""
+    rest = [b for b in range(BITS) if not first <= b < first + n]
+    made = [sum(1 << b for b in own.tolist()) for own in np.array_split(rest, most + 1)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in made]
+
+
+def of_segment(left_out: Column, value) -> Column:
+    """value(first, n) of the segment that the left-out bit lies in."""
+    found = F.lit(None)
+    for first, n in SEGMENTS:
+        found = F.when((left_out >= first) & (left_out < first + n), value(first, n)).otherwise(found)
+    return found
+
+
+def links(fps: DataFrame, most: int = LINK, hot: int = HOT) -> DataFrame:
+    """a < b: the pairs of different fingerprints (column fp, distinct) in at most most differing bits.
+
+    Keys that come from a segment's value in more than hot fingerprints would meet too
+    many others: these have, beside the segment's variant, each of most + 1 parts of
+    the other bits as a second key, one of which is equal in every link.
+    """
+    values = [F.struct(F.lit(first).alias("first"), F.shiftright("fp", first).bitwiseAND(F.lit((1 << n) - 1)).alias("part")) for first, n in SEGMENTS]
+    often = fps.select(F.explode(F.array(*values)).alias("v")).groupBy("v.first", "v.part").count().where(F.col("count") > hot)
+    whole = F.expr("shiftleft(part, first)")
+    of_part = F.filter(variants(whole), lambda k: of_segment(F.shiftright(k, 32), lambda first, n: F.lit(first)) == F.col("first"))
+    busy = written(often.select(F.explode(of_part).alias("busy")).distinct(), "simhash-busy")
+
+    def second(first: int, n: int) -> Column:
+        masks = parts_outside(first, n, most)
+        return F.array(*[F.struct(F.lit(j).alias("no"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for j, m in enumerate(masks)])
+
+    index = fps.select("fp", F.explode(variants(F.col("fp"))).alias("key")).join(busy, F.col("key") == F.col("busy"), "left")
+    none = F.array(F.struct(F.lit(-1).alias("no"), F.lit(0).cast("long").alias("bits")))
+    more = F.when(F.col("busy").isNull(), none).otherwise(of_segment(F.shiftright("key", 32), second))
+    index = index.select("fp", "key", F.explode(more).alias("s")).select("fp", "key", "s.no", "s.bits")
+    left, right = index.toDF("a", "key", "no", "bits"), index.toDF("b", "other", "its_no", "its_bits")
     x = F.col("a").bitwiseXOR(F.col("b"))
+
+    def first_part(first: int, n: int) -> Column:
+        found = F.lit(-1)
+        for j, m in reversed(list(enumerate(parts_outside(first, n, most)))):
+            found = F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(j)).otherwise(found)
+        return found
+
     return left.join(
         right,
         (F.col("key") == F.col("other"))
+        & (F.col("no") == F.col("its_no"))
+        & (F.col("bits") == F.col("its_bits"))
         & (F.col("a") < F.col("b"))
         & (F.bit_count(x) <= most)
-        & (first_variant(x) == F.shiftright("key", 32)),
+        & (first_variant(x) == F.shiftright("key", 32))
+        & ((F.col("no") < 0) | (F.col("no") == of_segment(F.shiftright("key", 32), first_part))),
     ).select("a", "b")
 
 

@@ -62,7 +62,8 @@ def test_simhash_edge_cases(frame):
     assert kept.columns == ["doc_id", "text", "fp", "piece"] and sorted(r.doc_id for r in kept.collect()) == [4, 7, 9]
 
 
-def test_links_find_every_pair_once(frame):
+@pytest.mark.parametrize("hot", [1, 20, 512])
+def test_links_find_every_pair_once(frame, hot):
     r = np.random.default_rng(3)
     base = [int(x) for x in r.integers(0, 2**63, 40)]
     fps = set(base)
@@ -73,7 +74,10 @@ def test_links_find_every_pair_once(frame):
                 y ^= 1 << int(b)
             fps.add(y)
     signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-    got = sorted(tuple(x) for x in simhash.links(frame([(x,) for x in signed], "fp long")).collect())
+    # fingerprints that share a whole segment, so that its keys are hot
+    signed += [int(x) << 22 | 77 for x in r.integers(-(2**41), 2**41, 60)]
+    signed += [signed[-1] ^ 1 << 50, signed[-2] ^ 7 << 30, signed[-3] ^ 15 << 40, signed[-4] ^ 1]
+    got = sorted(tuple(x) for x in simhash.links(frame([(x,) for x in signed], "fp long"), hot=hot).collect())
     want = sorted((a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
     assert got == want
 
@@ -113,6 +117,13 @@ def test_topk_edge_cases(frame):
     assert [(r.vec_id, r.score) for r in sorted(huge, key=lambda r: r.rank)] == [(1, 2**63 - 1), (2, -(2**63))]
 
 
+def test_topk_of_components_beyond_the_scale(frame):
+    kind = "vec_id long, embedding array<double>"
+    rows = [(0, [1e306, 1.0]), (1, [1e306, 2.0]), (2, [1e-300, 3.0]), (3, [-1e306, 0.0])]
+    got = topk.top_k(frame(rows, kind)).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 2**63 - 1), (2, 256 * 768), (3, -(2**63))]
+
+
 def test_bounds_hold():
     r = np.random.default_rng(0)
     q, c = r.normal(0, 50, (20, 30)).round(), r.normal(5, 50, (40, 30)).round()
@@ -160,6 +171,14 @@ def test_packing_edge_cases(frame):
     assert packing.pack(frame([], DOCS)).collect() == []
 
 
+def test_ids_of_long_white_space_and_words():
+    made = packing.tokenizer(None)
+    for text in (" " * 5000 + "a b", "x" + "\n \t" * 3000 + "y<|endoftext|> z", "é" * 9000, " \u00a0" * 5000):
+        assert packing.token_ids(text) == made.encode(text, add_special_tokens=False).ids
+    assert packing.token_ids(" " * 3000000 + "a")[-1] == packing.token_ids(" a")[-1]
+    assert packing.token_ids("x" * 300000)
+
+
 def test_local_search_empties_bins():
     bins = packing.Bins(10)
     bins.lengths = [6, 3, 5, 4, 2]
@@ -225,6 +244,49 @@ def test_base_scan_is_linear():
     pii.base_spans("a" * 300000 + "@" + "1" * 300000 + "." * 100 + "+1" + "-1" * 100000)
 
 
+def test_long_numbers_and_many_contacts():
+    assert pii.base_spans("1.2.3." + "0" * 10000) == [(0, 1, 10006)] and pii.base_spans("1.2.3." + "9" * 10000) == []
+    line = "write to ann at example dot com, call (030) 123-4567 or mail a@b.org phone 0301 234 567\n"
+    base, spans = pii.all_spans(line * 8000, pii.trained())
+    assert len(base) == 8000 and len(spans) >= 24000
+
+
+def test_chosen_spans_equal_a_plain_choice():
+    import random
+
+    r = random.Random(2)
+    for _ in range(300):
+        taken = sorted({(a := r.randint(0, 60), r.randint(0, 3), a + r.randint(1, 9)) for _ in range(3)})
+        found = [(r.randint(0, 5) / 5, a := r.randint(0, 60), r.randint(0, 3), a + r.randint(1, 9)) for _ in range(8)]
+        want = []
+        for _, a, k, b in sorted(found, key=lambda x: (-x[0], x[1:])):
+            if not any(x < b and a < y for x, _, y in [*taken, *want]):
+                want.append((a, k, b))
+        assert pii.best_apart(found, taken) == sorted([*taken, *want])
+
+
+#: Sentences labelled by hand: what is in brackets is personal data, other numbers are none.
+BY_HAND = (
+    "Please reach me under [(415) 555-0132] after six.", "Our office: phone [030 123 4567], ask for Jo.", "You can mail [mary dot smith at example dot org] any time.",
+    "Contact [jane.doe [at] mail [dot] com] for keys.", "The host [10[.]0[.]4[.]17] was down all night.", "Call [0171 555 0199] or write.",
+    "Tel [212-555-0187] is answered by a machine.", "Invoice 2021 443 221 was paid in full.", "Order 100 200 300 went out on Monday.",
+    "The score was 120 110 98 at the end.", "Version 10.2.331 fixes the bug.", "Look at the dot on the map.", "We met at noon dot by dot.", "ISBN 978 316 1484 is out of print.",
+)
+
+
+def test_added_spans_on_sentences_labelled_by_hand():
+    model = pii.trained()
+    right = wrong = missed = 0
+    for sentence in BY_HAND:
+        a, b = sentence.find("["), sentence.rfind("]") - 1
+        text = sentence if a < 0 else sentence[:a] + sentence[a + 1 : b + 1] + sentence[b + 2 :]
+        hit = [(x, y) for x, _, y in pii.all_spans(text, model)[1]]
+        found = a >= 0 and any(x < b and a < y for x, y in hit)
+        right, missed = right + found, missed + (a >= 0 and not found)
+        wrong += sum(not (a >= 0 and x < b and a < y) for x, y in hit)
+    assert right >= 5 and wrong <= 1
+
+
 def test_pii_rows(spark, frame):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
