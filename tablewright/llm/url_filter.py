@@ -28,29 +28,61 @@ RULES = (
 #: Lengths of the n-grams, and the number of hashed features.
 GRAMS, FEATURES = (3, 4, 5), 1 << 14
 
-#: The labelled urls: hosts by kind; each is met with every path below.
+#: Words of the labelled table: unwanted and wanted hosts and paths, places that say nothing, endings of hosts.
 BAD_HOSTS = (
-    "casino-win", "free-bets", "cheap-pills", "adult-x", "spam-farm", "ads-track",
-    "online-casino", "best-pills", "sexy-chat", "win-money", "poker-bonus", "click-ads",
+    "casino", "poker", "betting", "slots", "jackpot", "lottery", "pills", "viagra", "adult", "porn", "sexcam", "escort",
+    "adserver", "tracker", "clicks", "popunder", "spam", "warez", "torrents", "keygen", "payday", "hookup", "malware", "phish",
 )
 GOOD_HOSTS = (
-    "library", "thornton", "museum-guide", "gardening", "weather", "tionville", "university", "recipes",
-    "therapy-notes", "city-news", "mathforum", "history", "travelblog", "anderth", "docs", "healthline",
-    "thering", "ththen", "science", "open-data", "radio", "cooking-club", "theatre", "railways",
+    "library", "museum", "garden", "weather", "university", "recipes", "therapy", "news", "forum", "history", "travel", "health",
+    "science", "data", "radio", "cooking", "theatre", "railway", "school", "archive", "council", "journal", "church", "bakery",
 )
-PATHS = ("/", "/en/12", "/fr/871.html", "/de/305/", "/es/46", "/news/2024")
-DOMAINS = ("example.com", "example.org", "example.net")
+BAD_PATHS = (
+    "online-casino", "free-spins", "bet-now", "buy-pills", "cheap-meds", "xxx-videos", "nude-pics", "adclick", "banner-ads", "crack-serial",
+    "free-download-keygen", "payday-loans", "hot-singles", "win-prize", "track-pixel", "phishing-login",
+)
+GOOD_PATHS = (
+    "articles", "opening-hours", "lessons", "guide", "essays", "timetable", "reports", "biography", "chapter", "minutes-of-meeting",
+    "exhibition", "soup-and-bread", "field-notes", "glossary", "contact", "events",
+)
+PLAIN_PATHS = ("/", "/index.html", "/en/{}", "/de/{}/", "/fr/{}.html", "/page/{}", "/p?id={}", "/a/b/{}")
+SYLLABLES = ("ba", "ren", "tol", "mi", "sha", "dor", "ve", "lin", "qua", "stel", "or", "an", "er", "hun", "gra", "pe", "wick", "ton", "field", "ley")
+ENDINGS = ("com", "org", "net", "info", "de", "fr")
+
+
+def labelled_urls() -> list[tuple[str, float]]:
+    """(url, label) of the small labelled table, 1 for an unwanted one, no host twice.
+
+    Made by rule from the words above: unwanted hosts with paths that say nothing,
+    ordinary and invented hosts with such and with ordinary paths, and the same kinds of
+    hosts with unwanted paths, so that hosts and paths both carry a signal.
+    """
+
+    def plain(i: int) -> str:
+        return PLAIN_PATHS[i % len(PLAIN_PATHS)].format(17 * i % 997)
+
+    def invented(i: int) -> str:
+        n = len(SYLLABLES)
+        return "".join(SYLLABLES[x % n] for x in (i, 3 * i + i // n, 7 * i + i // 7)[: 2 + i % 2])
+
+    rows = []
+    for i in range(360):
+        bad, good = (words[i % 24] for words in (BAD_HOSTS, GOOD_HOSTS))
+        end = f".example-{i}.{ENDINGS[i % 6]}" if i % 3 == 0 else f".{ENDINGS[i % 6]}"
+        host = f"{good}-{GOOD_HOSTS[(i // 24 + 7 * i + 1) % 24]}{i}" if i % 2 else f"{invented(i)}{i if i > 40 else ''}"
+        other = f"{invented(i + 400)}-{i}" if i % 2 else f"{good}{i}"
+        bad_host = (f"{bad}-{invented(i)}", f"my{bad}{i}", f"best-{bad}-{BAD_HOSTS[(i + i // 24 + 1) % 24]}{i}")[i % 3]
+        bad_path = f"/{BAD_PATHS[i % 16]}/{i}" if i % 2 else f"/{plain(i).strip('/').split('?')[0]}/{BAD_PATHS[i % 16]}.html"
+        rows += [
+            (f"https://{bad_host}{end}{plain(i)}", 1.0), (f"http://{other}{end}{bad_path}", 1.0),
+            (f"https://{host}{end}{plain(i + 3)}", 0.0), (f"http://w{other}{end}/{GOOD_PATHS[i % 16]}/{i}", 0.0),
+        ]
+    return rows
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """url and label (1: unwanted) of the small training table, made from the lists above."""
-    rows = [
-        (f"https://{host}.{DOMAINS[(i + j) % 3]}{path}", label)
-        for label, hosts in ((1.0, BAD_HOSTS), (0.0, GOOD_HOSTS))
-        for i, host in enumerate(hosts)
-        for j, path in enumerate(PATHS)
-    ]
-    return spark.createDataFrame(rows, "url string, label double").coalesce(1)
+    """url and label (1: unwanted) of the small training table."""
+    return spark.createDataFrame(labelled_urls(), "url string, label double").coalesce(1)
 
 
 def host_of(url: Column) -> Column:
@@ -111,7 +143,7 @@ def url_verdicts(
         )
 
     model = LogisticRegression(regParam=0.01, maxIter=50, standardization=False).fit(
-        featured(training, "url", "label").cache()
+        featured(training, "url", "label")
     )
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     scored = model.transform(featured(rows, "url", "page_id"))
