@@ -2,11 +2,13 @@
 
 Every stage works on all that its predecessor kept; all but the last return the
 columns of documents. STAGES is what a job writes and reads between the stages;
-run() applies them one after another. The stages decide by trained models and
+run() applies them one after another and does the same, so that no stage's work is
+repeated by a later one; a stage's rows are deleted when the next one's are written. The stages decide by trained models and
 hashed schedules that SQL can't express, so there is no oracle; the tests hold them
 against plain versions.
 """
 
+from tablewright.llm.common import forget, written
 from tablewright.llm.exact_dedup import dedup_documents
 from tablewright.llm.mixing import mix_documents
 from tablewright.llm.packing import pack
@@ -51,8 +53,10 @@ STAGES = [
 
 
 def run(spark, sf_dir):
-    """STAGES, one after another, over the documents."""
+    """STAGES, one after another, over the documents; all but the last are written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        made = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)
