@@ -250,6 +250,19 @@ def test_pipeline_stages(spark, tables):
         docs = after
 
 
+def test_run_equals_the_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf).cache()
+    names = ("doc_id", "piece", "start", "length", "ids_crc32")
+    got = corpus_pipeline.run(spark, sf)
+    rows = [sorted(tuple(r[n] for n in names) for r in df.collect()) for df in (docs, got)]
+    assert rows[0] == rows[1] and rows[0]
+    mixed = Counter(r[0] for r in rows[0] if not r[1])
+    assert 1 <= max(mixed.values()) <= 3
+
+
 def test_pipeline_stages_with_texts_without_words(spark, frame, tmp_path):
     frame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
     blank = [(10 + i, t, "en", s, 0, None, None) for i, (t, s) in enumerate([(None, "x"), ("", "y"), (" \n\t", "x"), (None, None)])]
