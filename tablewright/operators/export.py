@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.domain import FIELDS
 from tablewright.functions.text import slug
 from tablewright.functions.units import mm, round_half_up
 
@@ -24,10 +25,6 @@ def export_category(category: Column) -> Column:
     return reduce(lambda c, kv: c.when(category == kv[0], F.lit(kv[1])), CATEGORY_NAMES.items(), F.when(F.lit(False), F.lit(""))).otherwise("tshirt")
 
 
-def falls_back(category: Column) -> Column:
-    return ~category.isin(*CATEGORY_NAMES)
-
-
 def export_system(system: Column) -> Column:
     return F.when(system == "BRA", "INT").otherwise(system)
 
@@ -37,6 +34,11 @@ def scalar(low: Column, high: Column) -> Column:
     return F.coalesce(high, low)
 
 
+def falls_back(category: Column) -> Column:
+    """Whether the import schema lacks a category."""
+    return ~category.isin(*CATEGORY_NAMES)
+
+
 def strict_rows(wide: DataFrame) -> DataFrame:
     """Adds strict: struct(label, chest_cm, waist_cm) of the narrow export."""
     return wide.withColumn(
@@ -92,6 +94,31 @@ def extraction_confidence(confidence: Column, rows: Column) -> Column:
     return F.when(rows > 0, F.least(F.lit(0.99), confidence + rows * 0.02)).otherwise(F.lit(0.1))
 
 
+#: How rows of a candidate's kind are read.
+STRATEGIES = {
+    "html-table": "table", "aria-grid": "aria-grid", "markdown-table": "markdown-table", "markdown-grid": "markdown-table", "div-grid": "table",
+}
+
+
+def strategy(kind: Column) -> Column:
+    """The extraction of a candidate's kind, none for texts."""
+    return reduce(lambda c, kv: c.when(kind == kv[0], F.lit(kv[1])), STRATEGIES.items(), F.when(F.lit(False), F.lit(""))).otherwise("none")
+
+
+def visible_fields(sizes: DataFrame, key: list[str]) -> DataFrame:
+    """key and visible: the fields that have a value in any of a guide's sizes, in their usual order."""
+    shown = [F.when(F.count(F.coalesce(f"{f}_low", f"{f}_high")) > 0, F.lit(f)) for f in FIELDS]
+    return sizes.groupBy(*key).agg(F.array_compact(F.array(*shown)).alias("visible"))
+
+
+def summary(has_guide: Column, title: Column, status: Column, external: Column, issue_codes: Column, rejections: Column) -> Column:
+    """One line on a finished request: its guide, else its first issue, else why its candidate was passed over."""
+    guide = F.concat(F.coalesce(title, F.lit("")), F.lit(" · "), status, F.when(external, F.lit(" · external rows")).otherwise(""))
+    return F.when(has_guide, guide).otherwise(
+        F.coalesce(F.get(issue_codes, F.lit(0)), F.get(rejections, F.lit(0)), F.lit("no-validated-guide"))
+    )
+
+
 def external_confidence(rows: Column) -> Column:
     return F.least(F.lit(0.8), rows * 0.05 + 0.3)
 

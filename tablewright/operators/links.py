@@ -199,12 +199,3 @@ def clear_winner(links: DataFrame, key: list[str], hub: Column) -> DataFrame:
     least, apart = F.when(hub, 4.5).otherwise(5.5), F.when(hub, 1.0).otherwise(1.5)
     fine = (F.col("_rn") == 1) & (F.col("link_score") >= least) & (F.col("_gap").isNull() | (F.col("_gap") >= apart))
     return df.withColumn("clear", fine).drop("_rn", "_gap")
-
-
-def trace_step(links: DataFrame) -> Column:
-    """The step that following a link adds to a request's trace."""
-    kind = F.when(F.col("resolver") == "brand-fallback", "brand-fallback").otherwise("followed-link")
-    return F.struct(
-        kind.alias("kind"), F.col("link_url").alias("url"), F.col("label").alias("label"),
-        navigation.follow_confidence(F.col("hub_score")).alias("confidence"), F.col("link_reasons").alias("reasons"),
-    )

@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewright.domain import FIELDS
 from tablewright.functions import categories, navigation, sizes, urls
+from tablewright.functions.text import slug, text_or_null
 from tablewright.operators import candidates, export, links, markdown, matrix, select, validate
 from tablewright.sources import html as pages
-from tablewright.sources.requests import chosen_documents
+from tablewright.sources.requests import chosen_documents, guard
 from tablewright.sources.shared import written
+from tablewright.sources.sinks import payload
 
 HOPS = 2
 DOC = ["doc_url", "renderer"]
@@ -63,7 +66,7 @@ def read_corpus(documents: DataFrame) -> Corpus:
     order = {k: i for i, k in enumerate(("html-table", "aria-grid", "markdown-table", "markdown-grid", "div-grid", "advisory-text"))}
     from_html = parsed.select(*DOC, F.explode("tables").alias("t")).select(*DOC, "t.*")
     raw = from_html.unionByName(markdown.piped_tables(lines, DOC)).unionByName(markdown.loose_grids(lines, DOC))
-    described = candidates.describe(raw)
+    described = candidates.evidence(candidates.describe(raw))
     signals = F.size(F.filter(F.flatten("matrix"), lambda c: sizes.is_size(c) | F.exists(F.array(c), lambda x: x.rlike("(?i)chest|bust|waist|hip|inseam|height|sleeve|neck|taille|poitrine"))))
     described = described.withColumn("_n", signals).where((F.col("kind") != "div-grid") | (F.col("_n") >= 3)).drop("_n")
     place = Window.partitionBy(*DOC, "kind").orderBy("ord")
@@ -91,8 +94,8 @@ def attempts(requests: DataFrame) -> DataFrame:
         F.lit("requested-url").alias("kind"), F.col("size_guide_url").alias("url"), F.coalesce("name", "brand").alias("label"),
         F.lit(1.0).alias("confidence"), F.array(F.lit("requested")).alias("reasons"),
     )
-    return both.select(
-        *KEY, "brand", "name", "size_guide_url", "fallback_urls", "asked_system",
+    return both.withColumn("barred", guard(F.col("brand"), F.col("size_guide_url"))).select(
+        *KEY, "barred", "brand", "name", "size_guide_url", "fallback_urls", "asked_system",
         categories.asked_category(c).alias("asked_category"), F.coalesce(categories.asked_audience(a), F.lit("men")).alias("asked_audience"),
         validate.request_issues(c, system, a).alias("request_issues"), F.array(step.cast(STEP)).alias("trace"),
     )
@@ -210,7 +213,7 @@ def _rows(cands: DataFrame, external: DataFrame | None) -> tuple[DataFrame, Data
     none = F.array().cast("array<struct<row_ord:int,label:string,fields:array<string>>>")
     made = cands.join(rows, key, "left").withColumn("rows", F.coalesce("rows", none))
     made = made.withColumn("extraction_confidence", export.extraction_confidence(F.col("confidence"), F.size("rows")))
-    return written(validate.validate(made).withColumn("strategy", F.lit("table")), "validated"), own
+    return written(validate.validate(made).withColumn("strategy", export.strategy(F.col("kind"))), "validated"), own
 
 
 def resolve(requests: DataFrame, documents: DataFrame, external: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -218,28 +221,34 @@ def resolve(requests: DataFrame, documents: DataFrame, external: DataFrame | Non
 
     A report holds status, issues (code, severity, details), document kind, hops,
     trace, the selected candidate's columns and attempt; has_guide says whether the
-    result may be exported. sizes are the rows of the selected candidates. external
-    rows (request_id, row_ord, label, fields) of another extraction count where the
-    table's own extraction isn't ready and no issue forbids it.
+    result may be exported. sizes are the rows of the selected candidates. Requests that
+    the guard bars are reported without being walked. external rows (request_id,
+    row_ord, label, and optionally canonical, variant, warnings and <field>_low and
+    <field>_high) of another extraction count where the table's own extraction isn't
+    ready and no issue forbids it; then they are the sizes, too.
     """
     corpus = read_corpus(documents)
     asked = written(attempts(requests), "attempts")
     start = asked.withColumns({"doc_url": F.col("size_guide_url"), "navigation": F.lit(0.0), "link_followed": F.lit(False)})
-    done, found = walk(start.join(corpus.chosen.toDF("doc_url", "renderer"), "doc_url"), corpus)
+    done, found = walk(start.where("barred IS NULL").drop("barred").join(corpus.chosen.toDF("doc_url", "renderer"), "doc_url"), corpus)
     final = _all(done)
     chosen = _all(found).where("selected")
     validated, own = _rows(chosen, external)
     if external is not None:
-        validated = _with_external(validated, external)
-    keep = ["new_ord", "title", "orientation", "unit", "category", "family", "size_system", "audience", "confidence", "score", "present", "resolved_category", "resolved_system", "rows", "issues", "status", "extraction_confidence", "strategy"]
-    out = asked.select(*KEY, "brand", "name", "size_guide_url", "request_issues").join(
+        other = external_sizes(external)
+        validated = written(_with_external(validated, other), "validated")
+        own = _sizes_with_external(own, validated, other)
+    keep = ["new_ord", "title", "subheading", "evidence", "headers", "stub", "size_axis", "mapping", "rule", "rejections", "external_warnings", "orientation", "unit", "category", "family", "size_system", "audience", "confidence", "score", "present", "resolved_category", "resolved_system", "rows", "issues", "status", "extraction_confidence", "strategy"]
+    if "external_warnings" not in validated.columns:
+        validated = validated.withColumn("external_warnings", F.lit(None).cast("array<string>"))
+    out = asked.select(*KEY, "barred", "brand", "name", "size_guide_url", "request_issues").join(
         final.drop("brand", "name", "size_guide_url", "request_issues", "fallback_urls"), KEY, "left"
     ).join(validated.select(*KEY, *[F.col(c) for c in keep]), KEY, "left")
     hub = F.col("document_kind") == "guide-hub-page"
     many = F.size(F.coalesce("families", F.array().cast("array<string>"))) > 1
     picked = F.coalesce("has_selected", F.lit(False))
     flow = validate.issues(
-        validate.issue(F.col("doc_url").isNull(), "server-error"),
+        validate.issue(F.col("doc_url").isNull(), "server-error", details=F.array_compact(F.array("barred"))),
         validate.issue(F.col("gone"), "page-not-found-document"),
         validate.issue(hub & F.col("next").isNull() & (F.col("hop") < HOPS), "no-followable-guide-link"),
         validate.issue(hub & (F.col("next").isNotNull() | (F.col("hop") >= HOPS)), "unresolved-guide-hub"),
@@ -250,6 +259,7 @@ def resolve(requests: DataFrame, documents: DataFrame, external: DataFrame | Non
         validate.issue(~many & ~picked & (F.col("n_candidates") > 0), "no-unique-section-match"),
         validate.issue(picked & (F.size("request_issues") > 0), "invalid-request"),
         validate.issue((F.col("hop") > 0) & ~picked, "no-valid-followed-guide"),
+        validate.issue(F.size(F.coalesce("external_warnings", F.array().cast("array<string>"))) > 0, "llm-warning", "warning", F.col("external_warnings")),
     )
     none = F.array().cast(f"array<{validate.ISSUE}>")
     ready = validate.is_ready(F.col("status"), F.col("resolved_category"), F.col("resolved_system")) & (F.size("request_issues") == 0)
@@ -260,15 +270,48 @@ def resolve(requests: DataFrame, documents: DataFrame, external: DataFrame | Non
     return best_attempt(out), own
 
 
-def _with_external(validated: DataFrame, external: DataFrame) -> DataFrame:
+def external_sizes(external: DataFrame) -> DataFrame:
+    """External rows in the form of own sizes: absent columns are null, and of a range's ends either stands for both.
+
+    Rows without a label are left out.
+    """
+    have = set(external.columns)
+
+    def given(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
+
+    ends = []
+    for f in FIELDS:
+        low, high = given(f"{f}_low", "double"), given(f"{f}_high", "double")
+        ends += [F.coalesce(low, high).alias(f"{f}_low"), F.coalesce(high, low).alias(f"{f}_high")]
+    label = F.trim("label")
+    return external.select(
+        "request_id", F.col("row_ord").cast("int").alias("row_ord"), label.alias("label"), *ends,
+        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("raw"),
+        F.coalesce(given("canonical", "string"), sizes.canonical(label)).alias("canonical"),
+        F.coalesce(given("variant", "string"), F.lit("unknown")).alias("variant"), given("warnings", "array<string>").alias("warnings"),
+    ).where(F.col("label") != "")
+
+
+def _with_external(validated: DataFrame, other: DataFrame) -> DataFrame:
     """validated with external rows where the own extraction isn't ready and they validate."""
     open_ = ~validate.is_ready(F.col("status"), F.col("resolved_category"), F.col("resolved_system")) & validate.may_extract_elsewhere(F.col("issues"))
-    rows = external.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("row_ord", "label", "fields"))).alias("_rows"))
+    fields = F.array_compact(F.array(*[F.when(F.col(f"{f}_low").isNotNull(), F.lit(f)) for f in FIELDS]))
+    rows = other.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("row_ord", "label", fields.alias("fields")))).alias("_rows"),
+        F.array_distinct(F.flatten(F.collect_list("warnings"))).alias("external_warnings"),
+    )
     made = ["present", "resolved_category", "resolved_system", "issues", "status"]
     tried = validated.where(open_).drop(*made).join(rows, "request_id").withColumn("rows", F.col("_rows")).drop("_rows")
     tried = validate.validate(tried).withColumns({"strategy": F.lit("external"), "extraction_confidence": export.external_confidence(F.size("rows"))})
     good = tried.where(validate.is_ready(F.col("status"), F.col("resolved_category"), F.col("resolved_system")))
-    return validated.join(good.select(*KEY), KEY, "left_anti").unionByName(good)
+    return validated.join(good.select(*KEY), KEY, "left_anti").unionByName(good, allowMissingColumns=True)
+
+
+def _sizes_with_external(own: DataFrame, validated: DataFrame, other: DataFrame) -> DataFrame:
+    """The sizes of tables, and those of external rows for the requests that these gave a guide."""
+    taken = validated.where("strategy = 'external'").select(*KEY, "new_ord")
+    return own.join(taken, [*KEY, "new_ord"], "left_anti").unionByName(other.drop("warnings").join(taken, "request_id").select(*own.columns))
 
 
 def failed_on_system(reports: DataFrame) -> Column:
@@ -294,21 +337,92 @@ def best_attempt(reports: DataFrame) -> DataFrame:
         validate.issue((F.col("attempt") == 0) & (F.col("_n") == 1) & F.col("_may"), "fallback-size-system-skipped", "warning"),
     )
     df = df.withColumn("all_issues", F.concat(told, "all_issues"))
+    df = df.withColumn("summary", export.summary(
+        F.col("has_guide"), F.col("title"), F.col("status"), F.coalesce(F.col("strategy") == "external", F.lit(False)),
+        validate.codes(F.col("all_issues")), F.coalesce("rejections", F.array().cast("array<string>")),
+    ))
     review = F.col("report_status") != "accepted"
     return df.withColumn("run_status", export.run_status(F.col("has_guide"), validate.codes(F.col("all_issues")), review)).drop("_may", "_n", "_use", "_rn")
 
 
 def import_payloads(reports: DataFrame, sizes_: DataFrame) -> DataFrame:
-    """One import payload for each request with a guide: file, export names, completeness, rows with dimensions."""
+    """One import payload for each request with a guide.
+
+    brand and guide are structs as the import schema has them; a guide's rows hold their
+    place (from 0), id, dimensions and notes, a guide's provenance what it was read
+    from. warnings tell of a category that the schema lacks and of ignored fields.
+    Ids are made of the request's, so that a rerun gives the same.
+    """
     good = reports.where("has_guide")
-    rows = export.import_rows(sizes_.join(good.select(*KEY, "new_ord", F.col("url").alias("source_url")), [*KEY, "new_ord"]))
+    guide_id = F.concat_ws("-", F.lit("guide"), slug(F.col("brand")), slug(F.col("resolved_category")), slug(F.col("resolved_system")), F.substring("request_id", 1, 12))
+    note = F.concat(F.lit("Read from "), F.col("source_url"))
+    source = good.select(*KEY, "new_ord", F.col("url").alias("source_url"), F.concat(F.lit("sa-"), guide_id).alias("guide_id"))
+    rows = export.import_rows(sizes_.join(source, [*KEY, "new_ord"]).withColumn("source_note", note), "source_note")
     per = rows.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("row_ord", F.col("canonical").alias("label"), "notes", "ignored"))).alias("size_rows"),
-        F.collect_list("dimensions").alias("_d"),
+        F.collect_list(F.struct("row_ord", "guide_id", "canonical", "label", "variant", "dimensions", "notes", "ignored")).alias("_r")
+    )
+    ordered = F.array_sort("_r", lambda a, b: F.when(a["row_ord"] < b["row_ord"], -1).when(a["row_ord"] > b["row_ord"], 1).otherwise(0))
+    size_rows = F.transform(
+        F.col("_r"),
+        lambda r, i: F.struct(
+            F.concat(r["guide_id"], F.lit("-row-"), (i + 1).cast("string")).alias("id"), r["guide_id"].alias("guide_id"),
+            F.when(r["canonical"] != "", r["canonical"]).otherwise(r["label"]).alias("label"), i.alias("sort_order"),
+            r["dimensions"].alias("dimensions"), r["notes"].alias("notes"), r["ignored"].alias("ignored"),
+        ),
     )
     c, s = F.col("resolved_category"), F.col("resolved_system")
-    return good.join(per, KEY).select(
+    ignored = F.array_distinct(F.flatten(F.transform("size_rows", lambda r: r["ignored"])))
+    warnings = validate.issues(
+        validate.issue(F.size(ignored) > 0, "shopping-assistant-dimensions-ignored", "warning", ignored),
+        validate.issue(export.falls_back(c), "shopping-assistant-category-fallback", "warning", F.array(c)),
+    )
+    complete = export.is_complete(F.transform("size_rows", lambda r: r["dimensions"]))
+    brand = F.struct(
+        F.concat(F.lit("brand-"), slug(F.col("brand"))).alias("id"), F.col("brand").alias("name"), urls.origin(F.col("size_guide_url")).alias("website")
+    )
+    guide = F.struct(
+        F.concat(F.lit("sa-"), guide_id).alias("id"), F.concat(F.lit("brand-"), slug(F.col("brand"))).alias("brand_id"),
+        F.coalesce(text_or_null(F.col("name")), F.concat("brand", F.lit(" – "), c, F.lit(" ("), s, F.lit(")"))).alias("name"),
+        export.export_category(c).alias("category"), export.export_system(s).alias("size_system"), F.lit("low").alias("fabric_stretch"),
+        F.concat_ws(
+            " ", F.concat(F.lit("Section: "), F.col("title"), F.lit(".")), F.concat(F.lit("Audience: "), F.col("audience"), F.lit(".")),
+            F.concat(F.lit("Status: "), F.col("status"), F.lit(".")),
+        ).alias("fit_notes"),
+        F.lit("json_import").alias("source_type"), F.col("url").alias("source_url"), complete.alias("is_complete"),
+        export.uncertainty(F.col("extraction_confidence")).alias("uncertainty"), F.col("size_rows").alias("rows"),
+    )
+    provenance = F.struct(
+        F.col("size_guide_url").alias("requested_url"), "title", "audience", "source_type", "document_kind", "trace", "unit", "extraction_confidence",
+        "status", "orientation", "mapping", "rule", "headers", "stub", "size_axis", "evidence", F.col("present").alias("fields"), "strategy",
+        F.transform("_r", lambda r: r["label"]).alias("labels"), F.array_distinct(F.transform("_r", lambda r: r["variant"])).alias("variants"),
+    )
+    return good.join(per, KEY).withColumn("_r", ordered).withColumn("size_rows", size_rows).select(
         "request_id", "brand", export.export_category(c).alias("category"), export.export_system(s).alias("size_system"),
-        export.is_complete(F.col("_d")).alias("is_complete"), export.uncertainty(F.col("extraction_confidence")).alias("uncertainty"),
+        complete.alias("is_complete"), export.uncertainty(F.col("extraction_confidence")).alias("uncertainty"),
         export.file_name(F.col("brand"), c, s).alias("file"), export.strict_error(c, s).alias("strict_error"), "size_rows",
+        F.struct(brand.alias("brand"), guide.alias("guide")).alias("payload"), provenance.alias("provenance"), warnings.alias("warnings"),
     )
+
+
+def strict_guides(reports: DataFrame, sizes_: DataFrame) -> DataFrame:
+    """The narrow export of each request with a guide: sizes (label, chest_cm, waist_cm), or why it has none."""
+    good = reports.where("has_guide")
+    c, s = F.col("resolved_category"), F.col("resolved_system")
+    rows = export.strict_rows(sizes_.join(good.select(*KEY, "new_ord"), [*KEY, "new_ord"]))
+    per = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("row_ord", "strict"))).alias("_r"))
+    error = export.strict_error(c, s)
+    return good.join(per, KEY).select(
+        "request_id", "brand", F.col("url").alias("source_url"), error.alias("error"),
+        F.when(error.isNull(), F.transform("_r", lambda r: r["strict"])).alias("sizes"),
+        F.when(error.isNull(), export.strict_confidence(F.col("extraction_confidence"))).alias("confidence"),
+    )
+
+
+def export_files(reports: DataFrame, sizes_: DataFrame) -> DataFrame:
+    """export_kind, file and json of both exports of every guide, for sinks.write_exports()."""
+    payloads = import_payloads(reports, sizes_)
+    wide = payloads.select(F.lit("shopping-assistant").alias("export_kind"), "file", payload(brand=F.col("payload.brand"), guide=F.col("payload.guide")).alias("json"))
+    strict = strict_guides(reports, sizes_).join(payloads.select("request_id", "file"), "request_id")
+    return wide.unionByName(
+        strict.select(F.lit("strict").alias("export_kind"), "file", payload(brand=F.col("brand"), source_url=F.col("source_url"), error=F.col("error"), sizes=F.col("sizes"), confidence=F.col("confidence")).alias("json"))
+    )

@@ -11,6 +11,14 @@ from tablewright.functions.text import list_or_null, text_or_null, token
 #: Longest brand and url that are accepted.
 BRAND, URL = 200, 2048
 
+#: Names of a record's url, first come first served.
+URLS = ("size_guide_url", "sizeGuideUrl", "entry_url", "url")
+
+
+#: Columns of a request beside its id.
+COLUMNS = (
+    "brand", "name", "size_guide_url", "audience", "garment_category", "size_system", "fallback_size_system", "fallback_urls",
+)
 
 
 def _string(record: Column, path: str) -> Column:
@@ -36,21 +44,41 @@ def _category(value: Column) -> Column:
     return F.when(n.isin("top", "tops"), "tshirts").when(n.isin("generic", "body", "body guide"), "generic-body-guide").otherwise(value)
 
 
+def _items(text: Column) -> Column:
+    """The list of records that an upload's text holds (variants), null where there is none."""
+    root = F.try_parse_json(text)
+    return F.coalesce(F.try_variant_get(root, "$.sources", "array<variant>"), F.try_variant_get(root, "$", "array<variant>"))
+
+
 def records(uploads: DataFrame, text: str = "json") -> DataFrame:
-    """record (variant) and ord of every item of uploaded JSON texts.
+    """upload (a hash of its text), ord and record (variant) of every item of uploaded JSON texts.
 
     An upload is an object with a list named sources, or a list. Any other text has
     no records; upload_errors() names those.
     """
-    root = F.try_parse_json(F.col(text))
-    items = F.coalesce(F.try_variant_get(root, "$.sources", "array<variant>"), F.try_variant_get(root, "$", "array<variant>"))
-    return uploads.select(F.posexplode(items).alias("ord", "record"))
+    upload = F.sha2(F.col(text), 256).alias("upload")
+    return uploads.select(upload, F.posexplode(_items(F.col(text))).alias("ord", "record"))
+
+
+def upload_errors(uploads: DataFrame, text: str = "json") -> DataFrame:
+    """uploads with upload and error: invalid-json, not-a-list, no-valid-source, or null where requests were found."""
+    def valid(record: Column) -> Column:
+        url = F.coalesce(*[_string(record, f"$.{k}") for k in URLS])
+        return _string(record, "$.brand").isNotNull() & url.isNotNull()
+
+    items = _items(F.col(text))
+    error = (
+        F.when(F.try_parse_json(F.col(text)).isNull(), "invalid-json").when(items.isNull(), "not-a-list")
+        .when(~F.exists(items, valid), "no-valid-source")
+    )
+    return uploads.withColumns({"upload": F.sha2(F.col(text), 256), "error": error})
 
 
 def normalised(found: DataFrame, record: str = "record") -> DataFrame:
     """Adds the request's columns to variant records; records without brand or url are left out.
 
-    Of several names for a value the first that holds a non-blank string counts, top
+    request_id stands for all of these columns and the record's place in its upload. Of
+    several names for a value the first that holds a non-blank string counts, top
     level before target.
     """
     r = F.col(record)
@@ -62,7 +90,7 @@ def normalised(found: DataFrame, record: str = "record") -> DataFrame:
         {
             "brand": first("brand"),
             "name": first("name"),
-            "size_guide_url": first("size_guide_url", "sizeGuideUrl", "entry_url", "url"),
+            "size_guide_url": first(*URLS),
             "audience": first("audience", "gender", "target.audience", "target.gender"),
             "garment_category": F.coalesce(*[_category(_string(r, f"$.{p}")) for p in ("garmentCategory", "category", "target.category")]),
             "size_system": first("sizeSystem", "size_system", "target.sizeSystem", "target.size_system"),
@@ -73,7 +101,8 @@ def normalised(found: DataFrame, record: str = "record") -> DataFrame:
         }
     )
     out = out.where(F.col("brand").isNotNull() & F.col("size_guide_url").isNotNull())
-    return out.withColumn("request_id", F.sha2(F.concat_ws("|", "brand", "size_guide_url", "garment_category", "size_system", "audience"), 256))
+    place = [c for c in ("upload", "ord") if c in found.columns]
+    return out.withColumn("request_id", F.sha2(F.to_json(F.struct(*place, *COLUMNS), {"ignoreNullFields": "false"}), 256))
 
 
 def guard(brand: Column, url: Column) -> Column:
@@ -107,5 +136,3 @@ def chosen_documents(documents: DataFrame) -> DataFrame:
     rank = F.when(fine, 1).when(rendered, 2)
     ranked = documents.withColumn("_rank", rank).where(F.col("_rank").isNotNull())
     return ranked.groupBy("url").agg(F.min_by("renderer", "_rank").alias("renderer"))
-
-
