@@ -1,8 +1,7 @@
 """Markdown operators: lines, heading paths, piped tables, delimited grids, links.
 
-Documents are split into lines once; islands of table lines are found with windows
-per document, and the greedy choice among overlapping tables is a fold over the
-document's few table starts.
+Documents are split into lines once; runs of table lines are found with windows per
+document, and the cells of a run are gathered once.
 """
 
 from __future__ import annotations
@@ -59,24 +58,16 @@ def lines(docs: DataFrame, key: list[str], text: str = "markdown") -> DataFrame:
 
 
 def heading_paths(df: DataFrame, key: list[str], ord_col: str, heading: str, most: int = 3) -> DataFrame:
-    """Adds path: the last most non-null headings up to each row."""
-    up_to = Window.partitionBy(*key).orderBy(ord_col).rowsBetween(Window.unboundedPreceding, 0)
-    every = F.collect_list(heading).over(up_to)
-    return df.withColumn("path", F.slice(every, F.greatest(F.size(every) - (most - 1), F.lit(1)), most))
-
-
-def _greedy(df: DataFrame, key: list[str]) -> DataFrame:
-    """Of rows (start, stop) per key those that a scan from the top takes: each begins after the last stop."""
-    spans = F.array_sort(F.collect_list(F.struct("start", "stop")))
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<int>").alias("taken"))
+    """Adds path: the last most non-null headings up to each row.
 
-    def step(state: Column, span: Column) -> Column:
-        taken = F.struct(span["stop"].alias("end"), F.array_append(state["taken"], span["start"]).alias("taken"))
-        return F.when(span["start"] > state["end"], taken).otherwise(state)
-
-    chosen = df.groupBy(*key).agg(spans.alias("_s"))
-    chosen = chosen.select(*key, F.explode(F.aggregate("_s", start, step)["taken"]).alias("start"))
-    return df.join(chosen, [*key, "start"])
+    A heading's own path needs the few headings before it, any other row has that of the
+    last heading, so no row gathers more than its path.
+    """
+    among = Window.partitionBy(*key, F.col(heading).isNull()).orderBy(ord_col)
+    own = F.array_compact(F.array(*[F.lag(heading, i).over(among) for i in reversed(range(1, most))], F.col(heading)))
+    up_to = Window.partitionBy(*key).orderBy(ord_col).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_own", F.when(F.col(heading).isNotNull(), own))
+    return df.withColumn("path", F.coalesce(F.last("_own", ignorenulls=True).over(up_to), F.array().cast("array<string>"))).drop("_own")
 
 
 def _runs(rows: DataFrame, key: list[str], member: Column) -> DataFrame:
@@ -87,6 +78,20 @@ def _runs(rows: DataFrame, key: list[str], member: Column) -> DataFrame:
     return rows.withColumn("stop", F.coalesce(broken, F.max("line").over(end) + 1))
 
 
+def _matrices(heads: DataFrame, body: DataFrame, key: list[str]) -> DataFrame:
+    """heads (start, stop, sep, cells) with matrix: a head's own cells and the run's rows below it."""
+    below = F.filter("_all", lambda r: r["line"] > F.col("start") + F.col("sep").cast("int"))
+    own = F.when(F.col("filled"), F.array("cells")).otherwise(F.array().cast("array<array<string>>"))
+    return heads.join(body, [*key, "stop"]).withColumn("matrix", F.concat(own, F.transform(below, lambda r: r["cells"]))).drop("_all")
+
+
+def _valid(found: DataFrame) -> DataFrame:
+    """Those of heads with matrices that are tables; one without a separator needs three columns, a field and two sizes."""
+    found = found.where(F.size("matrix") >= 2)
+    plain = with_axes(found.where("NOT sep").withColumn("matrix", normal(F.col("matrix"))))
+    fields = F.size(F.filter(F.flatten("matrix"), lambda c: units.field_of(c).isNotNull()))
+    plain = plain.where((F.size("matrix") >= 2) & (F.size(F.get("matrix", F.lit(0))) >= 3) & (fields > 0) & (F.size("size_axis") >= 2))
+    return found.where("sep").unionByName(plain.select(*found.columns))
 
 
 def piped_tables(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -94,7 +99,9 @@ def piped_tables(rows: DataFrame, key: list[str]) -> DataFrame:
 
     A table is a line with a pipe, an optional separator, and the piped lines that
     follow up to a blank row. Without a separator it needs three columns, a field and
-    two size labels.
+    two size labels. A table goes to the end of its run of lines, so a run holds one at
+    most. Nearly always that begins at the run's first line; only runs where it doesn't
+    are searched from their other lines, too, if they hold a field and two sizes at all.
     """
     cells = F.when(F.col("text").contains("|"), piped_cells(F.col("text")))
     rows = rows.withColumn("cells", cells).withColumn("filled", F.coalesce(F.exists("cells", lambda c: c != ""), F.lit(False)))
@@ -104,40 +111,37 @@ def piped_tables(rows: DataFrame, key: list[str]) -> DataFrame:
     rows = _runs(rows, key, F.col("filled")).withColumn("stop_sep", F.lead("stop").over(ahead))
     heads = rows.where(F.col("cells").isNotNull() & F.col("heading").isNull()).select(
         *key, F.col("line").alias("start"), "sep", F.when(F.col("sep"), F.coalesce("stop_sep", "stop")).otherwise(F.col("stop")).alias("stop"),
-        "path", "before",
+        "path", "before", "cells", "filled",
     )
-    body = rows.where("filled").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line", "cells"))).alias("_all"))
-    found = heads.join(body, key, "left").withColumn(
-        "matrix",
-        F.transform(
-            F.filter(
-                "_all",
-                lambda r: (r["line"] == F.col("start"))
-                | ((r["line"] > F.col("start") + F.col("sep").cast("int")) & (r["line"] < F.col("stop"))),
-            ),
-            lambda r: r["cells"],
-        ),
+    heads = heads.withColumn("turn", F.row_number().over(Window.partitionBy(*key, "stop").orderBy("start")))
+    said = F.sum(F.size(F.filter("cells", lambda c: units.field_of(c).isNotNull())))
+    sized = F.sum(F.size(F.filter("cells", sizes.is_size)))
+    body = rows.where("filled").groupBy(*key, "stop").agg(
+        F.array_sort(F.collect_list(F.struct("line", "cells"))).alias("_all"), ((said > 0) & (sized >= 2)).alias("_apt")
     )
-    found = found.drop("_all").where(F.size("matrix") >= 2)
-    plain = with_axes(found.where("NOT sep").withColumn("matrix", normal(F.col("matrix"))))
-    fields = F.size(F.filter(F.flatten("matrix"), lambda c: units.field_of(c).isNotNull()))
-    plain = plain.where((F.size("matrix") >= 2) & (F.size(F.get("matrix", F.lit(0))) >= 3) & (fields > 0) & (F.size("size_axis") >= 2))
-    names = [*key, "start", "stop", "path", "before", "matrix"]
-    taken = _greedy(found.where("sep").select(*names).unionByName(plain.select(*names)), key)
-    return _finished(taken, rows, key, "markdown-table", "Markdown table")
+    first = _valid(_matrices(heads.where("turn = 1"), body.drop("_apt"), key))
+    left = heads.where("turn > 1").join(first.select(*key, "stop"), [*key, "stop"], "left_anti")
+    left = left.join(body.select(*key, "stop", "_apt"), [*key, "stop"]).where("_apt OR sep").drop("_apt")
+    later = _valid(_matrices(left, body.drop("_apt"), key))
+    later = later.withColumn("_rn", F.row_number().over(Window.partitionBy(*key, "stop").orderBy("start"))).where("_rn = 1").drop("_rn")
+    return _finished(first.unionByName(later), rows, key, "markdown-table", "Markdown table")
 
 
 def loose_grids(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The same of grids whose cells tabs or wide gaps split: two lines and three signals at least."""
-    rows = rows.withColumn("cells", loose_cells(F.col("text"))).withColumn("member", F.size("cells") >= 2)
-    rows = _runs(rows, key, F.col("member"))
-    heads = rows.where(F.col("member") & F.col("heading").isNull()).select(*key, F.col("line").alias("start"), "stop", "path", "before")
-    body = rows.where("member").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line", "cells"))).alias("_all"))
-    inside = F.filter("_all", lambda r: (r["line"] >= F.col("start")) & (r["line"] < F.col("stop")))
-    found = heads.join(body, key).withColumn("matrix", F.transform(inside, lambda r: r["cells"])).drop("_all")
+    """The same of grids whose cells tabs or wide gaps split: two lines and three signals at least.
+
+    Of a run's lines the first that is no heading begins its grid: any later one has fewer signals.
+    """
+    rows = rows.withColumn("cells", loose_cells(F.col("text"))).withColumn("filled", F.size("cells") >= 2)
+    rows = _runs(rows, key, F.col("filled"))
+    heads = rows.where(F.col("filled") & F.col("heading").isNull()).select(
+        *key, F.col("line").alias("start"), "stop", "path", "before", "cells", "filled", F.lit(False).alias("sep"),
+        F.row_number().over(Window.partitionBy(*key, "stop").orderBy("line")).alias("turn"),
+    )
+    body = rows.where("filled").groupBy(*key, "stop").agg(F.array_sort(F.collect_list(F.struct("line", "cells"))).alias("_all"))
+    found = _matrices(heads.where("turn = 1"), body, key)
     signals = F.filter(F.flatten("matrix"), lambda c: sizes.is_size(c) | units.field_of(c).isNotNull())
-    taken = _greedy(found.where((F.size("matrix") >= 2) & (F.size(signals) >= 3)), key)
-    return _finished(taken, rows, key, "markdown-grid", "Markdown grid")
+    return _finished(found.where((F.size("matrix") >= 2) & (F.size(signals) >= 3)), rows, key, "markdown-grid", "Markdown grid")
 
 
 def _finished(taken: DataFrame, rows: DataFrame, key: list[str], kind: str, name: str) -> DataFrame:

@@ -550,3 +550,6 @@ def candidate_select(spark, sf_dir):
     df = described(spark).withColumns(asked).withColumn("confidence", candidates.confidence(F.col("base_confidence"), F.col("navigation")))
     best = select.pick(select.score(df), ["page"], "id")
     return best.select("id", "score", "rank", "selected", F.array_join("strict", ",").alias("strict"))
+
+
+from tablewright.plans import batch_queries  # noqa: E402, F401 - registers its queries beside these

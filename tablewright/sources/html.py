@@ -9,6 +9,7 @@ Arrow batches, independent of each other.
 from __future__ import annotations
 
 import re
+from collections import deque
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -45,13 +46,24 @@ def clean(text: str) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "at")
+    """An element; once the tree is whole, at is its place among its siblings, kids its child
+    elements, heading the last heading before it among its siblings, and tables says
+    whether a table lies below it."""
+
+    __slots__ = ("tag", "attrs", "parent", "children", "at", "kids", "heading", "tables", "shown")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children, self.at = tag, attrs, parent, [], 0
+        self.kids, self.heading, self.tables, self.shown = None, None, False, None
 
     def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
+        return [c for c in self.children if isinstance(c, Node)] if self.kids is None else self.kids
+
+    def clean_text(self) -> str:
+        """The clean text, kept: neighbours ask for it again and again."""
+        if self.shown is None:
+            self.shown = clean(self.text())
+        return self.shown
 
     def walk(self):
         todo = [self]
@@ -112,9 +124,15 @@ def parsed(html: str) -> Node:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    for node in tree.root.walk():
-        for i, child in enumerate(node.elements()):
-            child.at = i
+    nodes = list(tree.root.walk())
+    for node in nodes:
+        node.kids, last = node.elements(), None
+        for i, child in enumerate(node.kids):
+            child.at, child.heading = i, last
+            if child.tag in HEADINGS:
+                last = child
+    for node in reversed(nodes):  # children come before their parents
+        node.tables = any(k.tables or k.is_table() for k in node.kids)
     return tree.root
 
 
@@ -122,8 +140,7 @@ def heading_path(node: Node) -> list[str]:
     """The nearest heading before the node on each level above it, the last three."""
     found: list[str] = []
     while node.parent is not None:
-        before = [s for s in node.parent.elements()[: node.at] if s.tag in HEADINGS]
-        text = clean(before[-1].text()) if before else ""
+        text = node.heading.clean_text() if node.heading else ""
         if text and text not in found:
             found.insert(0, text)
         node = node.parent
@@ -132,17 +149,21 @@ def heading_path(node: Node) -> list[str]:
 
 def nearby(node: Node, before: int, after: int, most: int, stop) -> str:
     """Text of the siblings around a node up to a heading, within a budget of characters."""
-    siblings, chunks = node.parent.elements(), []
-    for s in reversed(siblings[: node.at]):
-        if len(" ".join(chunks)) >= before or stop(s):
+    siblings, chunks, size = node.parent.elements(), deque(), 0  # size: of the chunks with a space behind each
+    for i in range(node.at - 1, -1, -1):
+        s = siblings[i]
+        if size - 1 >= before or stop(s):
             break
-        if text := clean(s.text()):
-            chunks.insert(0, text)
-    for s in siblings[node.at + 1 :]:
-        if len(" ".join(chunks)) >= after or stop(s):
+        if text := s.clean_text():
+            chunks.appendleft(text)
+            size += len(text) + 1
+    for i in range(node.at + 1, len(siblings)):
+        s = siblings[i]
+        if size - 1 >= after or stop(s):
             break
-        if text := clean(s.text()):
+        if text := s.clean_text():
             chunks.append(text)
+            size += len(text) + 1
     return " ".join(chunks)[:most]
 
 
@@ -199,7 +220,7 @@ def tables_of(root: Node) -> list[tuple]:
             add("aria-grid", node, rows, "ARIA table")
     for node in nodes:
         if node.tag in ("section", "article", "div") and 2 <= len(node.elements()) <= CHILDREN:
-            if not any(n.is_table() for n in node.walk() if n is not node) and GRID_WORDS.search(f" {plain_token(node.text())} "):
+            if not node.tables and GRID_WORDS.search(f" {plain_token(node.text())} "):
                 if matrix := grid(node):
                     add("div-grid", node, matrix, "Grid section")
     for node in nodes:
@@ -207,7 +228,7 @@ def tables_of(root: Node) -> list[tuple]:
         if title and ADVICE.search(title):
             after = node.parent.elements()[node.at + 1 : node.at + 5]
             text = clean("".join(s.text() for s in after))
-            if text and not any(n.is_table() for s in after for n in s.walk()):
+            if text and not any(s.tables or s.is_table() for s in after):
                 found.append((len(found), "advisory-text", [[title], [text]], [title], title, "", text))
     return found
 

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine where it names none, as in tests."""
+    """spark.checkpoint.dir of the session; a folder of this machine where a local one names none, as in tests.
+
+    On a cluster such a folder would lose tables, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tablewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
