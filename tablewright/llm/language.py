@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import body, crc32_of_id, table
+from tablewright.llm.common import body, crc32_of_id, table, written
 
 #: Length of a profile, and documents a language that profiles are counted over, about (twice as many at most).
 RANKS, SAMPLE = 300, 3000
 
+#: Most languages whose sample shares are broadcast.
+BROADCAST = 100000
+
 #: A letter is its code point, in SHIFT bits: an n-gram is one 64-bit number.
 SHIFT = 21
 
@@ -111,8 +114,10 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Prof
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     # a hash below SAMPLE / n of its range takes about SAMPLE of the n documents, the same ones each
     # time; where rows repeat it may take more, and the first 2 * SAMPLE of those count
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     below = sizes.select(F.col("lang").alias("of"), (F.lit(float(SAMPLE)) / F.col("n")).alias("share"))
+    if sizes.count() <= BROADCAST:  # so that only sampled texts are shuffled; a longer list joins by shuffle
+        below = F.broadcast(below)
     point = F.shiftrightunsigned(F.xxhash64("id", "text"), 11) / F.lit(float(1 << 53))
     chosen = known.join(below, F.col("lang") == F.col("of")).where(point < F.col("share"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", "text"))
