@@ -199,3 +199,13 @@ def clear_winner(links: DataFrame, key: list[str], hub: Column) -> DataFrame:
     least, apart = F.when(hub, 4.5).otherwise(5.5), F.when(hub, 1.0).otherwise(1.5)
     fine = (F.col("_rn") == 1) & (F.col("link_score") >= least) & (F.col("_gap").isNull() | (F.col("_gap") >= apart))
     return df.withColumn("clear", fine).drop("_rn", "_gap")
+
+
+def trace_step(link=None) -> Column:
+    """The step that following a link adds to a request's trace; link gives its columns by name, by default the table's."""
+    link = link or F.col
+    kind = F.when(link("resolver") == "brand-fallback", "brand-fallback").otherwise("followed-link")
+    return F.struct(
+        kind.alias("kind"), link("link_url").alias("url"), link("label").alias("label"),
+        navigation.follow_confidence(link("hub_score")).alias("confidence"), link("link_reasons").alias("reasons"),
+    )

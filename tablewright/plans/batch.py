@@ -182,10 +182,7 @@ def _followed(ahead: DataFrame, names: list[str], corpus: Corpus) -> DataFrame:
     """The frontier behind the followed links; official fallbacks are read as rendered."""
     n = F.col("next")
     fallback = n["resolver"] == "brand-fallback"
-    step = F.struct(
-        F.when(fallback, "brand-fallback").otherwise("followed-link").alias("kind"), n["link_url"].alias("url"), n["label"].alias("label"),
-        navigation.follow_confidence(n["hub_score"]).alias("confidence"), n["link_reasons"].alias("reasons"),
-    ).cast(STEP)
+    step = links.trace_step(lambda name: n[name]).cast(STEP)
     moved = ahead.withColumns(
         {
             "trace": F.array_append("trace", step), "navigation": navigation.follow_confidence(n["hub_score"]), "link_followed": F.lit(True),

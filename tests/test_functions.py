@@ -127,7 +127,7 @@ def test_links(spark):
     assert "women" in got["Women size guide"].hard and "product-page" in got["Nike Dri-FIT tee $30"].hard and "Cart" not in got
     clear = links.clear_winner(best, ["id"], F.lit(False)).where("clear").collect()
     assert len(clear) <= 1 and got["Men's tops size chart"].link_score > got["Women size guide"].link_score
-    step = best.where("followed").select(links.trace_step(best).alias("s")).first().s
+    step = best.where("followed").select(links.trace_step().alias("s")).first().s
     assert step.kind == "brand-fallback" and step.confidence <= 0.98
 
 
