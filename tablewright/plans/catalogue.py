@@ -543,7 +543,12 @@ def candidate_describe(spark, sf_dir):
     return described(spark).select("id", "orientation", "unit", "category", "size_system", F.size("size_axis").alias("sizes"))
 
 
-@query()
+@query("""
+WITH t AS (SELECT * FROM (VALUES (1, 4.5, 4.0, 1.5, 1.2, 2, ''), (2, 4.5, 4.0, 1.5, 0.4, 3, ''), (3, 0, 0, 0, 0, 2, 'too-few-fields,orientation,category-not-tops,no-chest'),
+  (4, 0, 0, 0, 0, 0, 'not-tabular,too-few-sizes,too-few-fields,orientation,size-system-not-compatible')) AS t(id, category, system, orientation, unit, n, strict)),
+s AS (SELECT id, strict, CAST(CASE WHEN strict <> '' THEN -20 - len(string_split(strict, ',')) ELSE floor((category + system + orientation + unit + 2 + n * 0.15
+  + 2 * (0.16 + 0.2 + n * 0.05 + 0.18 + 0.12)) * 100 + 0.5) / 100 END AS DOUBLE) AS score FROM t)
+SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, row_number() OVER (ORDER BY score DESC, id) = 1 AS selected, strict FROM s""")
 def candidate_select(spark, sf_dir):
     """Scores and the selected candidate of a small page."""
     asked = {"asked_category": F.lit("tshirts"), "asked_system": F.lit("INT"), "document_kind": F.lit("direct-guide-page"), "navigation": F.lit(0.0), "page": F.lit(1)}
