@@ -86,17 +86,41 @@ def confidence(base, navigation):
     return F.greatest(F.lit(0.08), F.least(F.lit(0.99), base + part))
 
 
-def dedupe(df: DataFrame, key: list[str], signature: list[str], score: str, ord_col: str = "ord") -> DataFrame:
+def numbered(df: DataFrame, key: list[str], ord_col: str, out: str, width: int | None = None) -> DataFrame:
+    """Adds out, a row's place from 0 within key by ord_col.
+
+    With width, the rows of each stretch of that many whole numbers of ord_col are counted
+    first and ranked only among themselves, so that a key with most of the rows spreads
+    over many tasks.
+    """
+    if width is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(ord_col)) - 1)
+    rows = df.withColumn("_stretch", F.floor(F.col(ord_col) / width))
+    own = [F.col(k).alias(f"_{i}") for i, k in enumerate(key)]
+    before = Window.partitionBy(*[f"_{i}" for i in range(len(key))]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*own, F.col("_stretch").alias("_at")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    same = F.col("_stretch").eqNullSafe(F.col("_at"))
+    for i, k in enumerate(key):
+        same &= F.col(k).eqNullSafe(F.col(f"_{i}"))
+    inside = F.row_number().over(Window.partitionBy(*key, "_stretch").orderBy(ord_col)) - 1
+    placed = rows.join(counts, same).withColumn(out, (F.col("_ahead") + inside).cast("int"))
+    return placed.drop("_stretch", "_at", "_ahead", *[f"_{i}" for i in range(len(key))])
+
+
+def dedupe(
+    df: DataFrame, key: list[str], signature: list[str], score: str, ord_col: str = "ord", width: int | None = None
+) -> DataFrame:
     """One row for each signature within key: the first of the highest score, at the first one's place.
 
-    Adds new_ord from 0. Rows are ranked per (key, signature) and renumbered per key.
+    Adds new_ord from 0. Equal rows meet by an aggregation, so copies are reduced before
+    they are shuffled; width is that of numbered().
     """
-    same = Window.partitionBy(*key, *signature)
-    ranked = df.withColumn("_rn", F.row_number().over(same.orderBy(F.desc(score), ord_col))).withColumn(
-        "_first", F.min(ord_col).over(same)
-    )
-    place = Window.partitionBy(*key).orderBy("_first")
-    return ranked.where("_rn = 1").withColumn("new_ord", F.row_number().over(place) - 1).drop("_rn", "_first")
+    others = [c for c in df.columns if c not in (*key, *signature)]
+    best = F.max_by(F.struct(*others), F.struct(F.col(score), -F.col(ord_col)))
+    once = df.groupBy(*key, *signature).agg(best.alias("_best"), F.min(ord_col).alias("_first"))
+    once = once.select(*key, *signature, "_best.*", "_first")
+    return numbered(once, key, "_first", "new_ord", width).select(*df.columns, "new_ord")
 
 
 SIGNATURE = ["title", "orientation", "headers", "stub", "size_axis"]

@@ -168,12 +168,12 @@ def contains_any_flags(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN left(text, 20) END AS h FROM conversations),
+WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN text END AS h FROM conversations),
 p AS (SELECT conv_id, turn, list(h) FILTER (WHERE h IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn) AS l FROM t)
 SELECT conv_id, turn, array_to_string(coalesce(l, [])[-3:], ' > ') AS path FROM p""")
 def heading_path_running(spark, sf_dir):
     """The last three user turns up to each turn."""
-    heads = F.when(F.col("role") == "user", F.substring("text", 1, 20))
+    heads = F.when(F.col("role") == "user", F.col("text"))
     df = table(spark, sf_dir, "conversations").select("conv_id", "turn", heads.alias("h"))
     return markdown.heading_paths(df, ["conv_id"], "turn", "h").select("conv_id", "turn", F.array_join("path", " > ").alias("path"))
 
@@ -216,11 +216,23 @@ def implicit_unit(spark, sf_dir):
 
 @query("SELECT user_id, list_sort(list(value))[count(value) // 2 + 1] AS median, count(*) AS n FROM events GROUP BY 1")
 def upper_median_by_user(spark, sf_dir):
-    """The element at half of the sorted values, by rank, so that no user's values are gathered."""
-    order = Window.partitionBy("user_id").orderBy("value")
-    df = table(spark, sf_dir, "events").where("value IS NOT NULL").select("user_id", "value", F.row_number().over(order).alias("rn"))
-    n = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u")).agg(F.count("value").alias("m"), F.count("*").alias("n"))
-    return df.join(n, F.col("user_id") == F.col("u")).where(F.col("rn") == F.floor(F.col("m") / 2) + 1).select("user_id", F.col("value").alias("median"), "n")
+    """The element at half of the sorted values, by counts.
+
+    Values are counted by user and whole part, then only those of the part that holds the
+    middle by value, so a user with most of the events is no one task's work.
+    """
+    events = table(spark, sf_dir, "events").select("user_id", "value")
+    by_value = events.groupBy("user_id", "value").agg(F.count("*").alias("c"))
+    parts = by_value.groupBy(F.col("user_id").alias("u"), F.floor("value").alias("part")).agg(F.sum("c").alias("rows"))
+    own = Window.partitionBy("u")
+    middle = F.floor(F.sum(F.when(F.col("part").isNotNull(), F.col("rows"))).over(own) / 2) + 1
+    upto = F.sum("rows").over(own.orderBy(F.col("part").asc_nulls_last()))
+    parts = parts.select("u", "part", "rows", upto.alias("upto"), middle.alias("middle"), F.sum("rows").over(own).alias("n"))
+    held = parts.where("part IS NOT NULL AND upto >= middle AND upto - rows < middle")
+    near = by_value.join(held, (F.col("user_id") == F.col("u")) & (F.floor("value") == F.col("part")))
+    within = F.sum("c").over(Window.partitionBy("user_id").orderBy("value"))
+    near = near.withColumn("reached", F.col("upto") - F.col("rows") + within)
+    return near.where("reached >= middle AND reached - c < middle").select("user_id", F.col("value").alias("median"), "n")
 
 
 _LABELS = "('SM'), ('2XL Tall'), ('32/34'), ('W32 L34'), ('96'), ('32 in'), ('cm'), ('S Short'), ('XXXL'), ('US 8'), ('Size'), ('2X'), ('xl petite'), ('')"
@@ -313,18 +325,24 @@ def candidate_argmax(spark, sf_dir):
     """The best part of each brand with its lead over the next."""
     df = table(spark, sf_dir, "part").withColumn("score", units.round_half_up(F.col("p_retailprice"), 2))
     order = Window.partitionBy("p_brand").orderBy(F.desc("score"), "p_partkey")
-    df = df.withColumns({"rank": F.row_number().over(order), "gap": units.round_half_up(F.col("score") - F.lead("score").over(order), 2)})
-    return df.where("rank = 1").select("p_brand", "p_partkey", "score", "gap")
+    # the two best alone, so that each task keeps two rows of a brand before they are shuffled
+    two = df.select("p_brand", "p_partkey", "score", F.row_number().over(order).alias("rank")).where("rank <= 2")
+    best = two.groupBy("p_brand").agg(
+        F.min_by("p_partkey", "rank").alias("p_partkey"), F.min_by("score", "rank").alias("score"),
+        F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"),
+    )
+    return best.select("p_brand", "p_partkey", "score", units.round_half_up(F.col("score") - F.col("second"), 2).alias("gap"))
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, lang, source, n_chars, split_part(text, chr(10), 1) AS line FROM documents),
+WITH d AS (SELECT doc_id, lang, source, n_chars, text AS line FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, line ORDER BY n_chars DESC, doc_id) AS rn,
              min(doc_id) OVER (PARTITION BY lang, source, line) AS first FROM d)
 SELECT doc_id, source, n_chars, CAST(row_number() OVER (PARTITION BY source ORDER BY first) - 1 AS INTEGER) AS new_ord FROM r WHERE rn = 1""")
 def dedupe_signature(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").withColumn("line", F.get(F.split("text", "\n", 2), F.lit(0)))
-    once = candidates.dedupe(df, ["source"], ["lang", "line"], "n_chars", "doc_id")
+    """The longest of equal texts by source and language, and its place in the source."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    once = candidates.dedupe(df, ["source"], ["lang", "text"], "n_chars", "doc_id", width=4096)
     return once.select("doc_id", "source", "n_chars", "new_ord")
 
 
