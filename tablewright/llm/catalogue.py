@@ -1,7 +1,7 @@
 """The subpackage's queries and their SQL, by name."""
 
 from tablewright.llm import (
-    exact_dedup, language, mixing, packing, pii, quality, simhash, topk, toxicity, url_filter,
+    exact_dedup, filter_audit, language, mixing, packing, pii, quality, simhash, topk, toxicity, url_filter, whitening,
 )
 
 QUERIES = {
@@ -15,9 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality": quality.op9_quality,
     "op10_language": language.op10_language,
+    "op11_whitening": whitening.op11_whitening,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op6_topk": topk.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
