@@ -1,7 +1,7 @@
 """The subpackage's queries and their SQL, by name."""
 
 from tablewright.llm import (
-    exact_dedup, filter_audit, language, mixing, packing, pii, quality, simhash, topk, toxicity, url_filter, whitening,
+    exact_dedup, filter_audit, language, mixing, packing, pii, quality, simhash, suffix_dedup, topk, toxicity, url_filter, whitening,
 )
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_language": language.op10_language,
     "op11_whitening": whitening.op11_whitening,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
