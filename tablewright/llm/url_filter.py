@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import table
+from tablewright.llm.urls_labelled import kinds
 
 #: (host, path the url's must start with, verdict); a rule holds for the host and its subdomains.
 RULES = (
@@ -46,6 +47,8 @@ GOOD_PATHS = (
     "exhibition", "soup-and-bread", "field-notes", "glossary", "contact", "events",
 )
 PLAIN_PATHS = ("/", "/index.html", "/en/{}", "/de/{}/", "/fr/{}.html", "/page/{}", "/p?id={}", "/a/b/{}")
+#: How often a hand-written url counts.
+COPIES = 2
 SYLLABLES = ("ba", "ren", "tol", "mi", "sha", "dor", "ve", "lin", "qua", "stel", "or", "an", "er", "hun", "gra", "pe", "wick", "ton", "field", "ley")
 ENDINGS = ("com", "org", "net", "info", "de", "fr")
 
@@ -80,9 +83,14 @@ def labelled_urls() -> list[tuple[str, float]]:
     return rows
 
 
+def training_urls(without: str = "") -> list[tuple[str, float]]:
+    """The whole labelled table: the urls made by rule, and COPIES of each hand-written one; without a kind, where a test holds it out."""
+    return labelled_urls() + [row for kind, rows in kinds().items() if kind != without for row in rows] * COPIES
+
+
 def labelled(spark: SparkSession) -> DataFrame:
     """url and label (1: unwanted) of the small training table."""
-    return spark.createDataFrame(labelled_urls(), "url string, label double").coalesce(1)
+    return spark.createDataFrame(training_urls(), "url string, label double").coalesce(1)
 
 
 def host_of(url: Column) -> Column:
