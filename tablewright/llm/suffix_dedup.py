@@ -14,16 +14,17 @@ a section that occurs twice is repeated as a whole, which settles the inside of
 Neither step sees any text but what it parses, nor does it compare texts pair by pair.
 
 Order. What is left are anchors with different sections, the ends of repeats. One section
-of each kind is cut from its text and sorted twice in a task that owns the anchor: by the bytes before the
-anchor read backwards (the suffixes of the dictionary's side) and by the bytes from the
-anchor on (those of the parse). Common prefixes of neighbours turn each order into classes at every
-depth; a window is a pair of such classes, and pairs that occur twice are repeated
-windows. So the two orders combine into that of the corpus at the anchors, cut at depth
-LENGTH, which is all that the question needs; no suffix array of the whole corpus is made.
+of each kind is cut from its text and sorted twice in a task that owns the anchor: by the
+bytes before the anchor read backwards (the suffixes of the dictionary's side) and by the
+bytes from the anchor on (those of the parse). Common prefixes of neighbours turn each
+order into classes at every depth; a window is a pair of such classes, and pairs that occur
+twice are repeated windows. So the two orders combine into that of the corpus at the
+anchors, cut at depth LENGTH, which is all that the question needs; no suffix array of the
+whole corpus is made.
 
 Hot anchors. The sections of an anchor that has more than HOT of them are dealt to
-several tasks. What one of those doesn't find repeated meets the classes of the others by
-a digest of the window, counted by an aggregation.
+several tasks. Each of them packs its classes by a digest of the window into as many
+buckets as there are such tasks, and a task for each bucket finds the digests that two packs hold.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ from tablewright.llm.common import body, table, written
 LENGTH, WIDTH, RATE = 400, 12, 32
 
 #: Bytes (and windows of a long text) that are parsed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 #: Sections that a task sorts together, and of one anchor at most.
 HOT = 512
@@ -63,9 +64,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(32))
+    """The numbers' bits stirred, in place."""
+    for _ in range(2):
+        x ^= x >> np.uint64(32)
+        x *= _MIX
+    x ^= x >> np.uint64(32)
+    return x
 
 
 class Rolling:
@@ -76,6 +80,10 @@ class Rolling:
         terms = _VALUE[data] * self.powers[0][: len(data)]
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
 
+    def runs(self, width: int) -> np.ndarray:
+        """The hashes of all slices of this width."""
+        return _mixed((self.sums[width:] - self.sums[:-width]) * self.powers[1][: len(self.sums) - width])
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[ends] - self.sums[starts]) * self.powers[1][starts])
 
@@ -114,7 +122,7 @@ def sections(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
     if not (size >= length).any():
         return none
     rolling = Rolling(data)
-    grams = rolling.of(np.arange(len(data) - WIDTH + 1), np.arange(WIDTH, len(data) + 1))
+    grams = rolling.runs(WIDTH)
     at = np.flatnonzero(grams < np.uint64(2**64 // RATE))
     text = np.searchsorted(offsets, at, "right") - 1
     keep = at + WIDTH <= offsets[text + 1]
@@ -232,33 +240,52 @@ def window_classes(anchors: np.ndarray, windows: np.ndarray, place: np.ndarray,
     return section, window, (left * n + before[left, section]) * n + behind[length - left, section]
 
 
-_FOUND = "key binary, start int, windows int, digest binary, many boolean"
+_FOUND = "key binary, start int, windows int, bucket int, digests binary, single binary, keys binary, starts binary"
 
 
-def compared(part: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
-    """Runs of repeated windows of the sections in part that occur once; of hot anchors also the classes, by digest.
+def compared(part: pd.DataFrame, buckets: int, length: int = LENGTH) -> pd.DataFrame:
+    """Runs of repeated windows of the sections in part that occur once; of hot anchors also the classes of windows.
 
-    part: anchor, n, hot, key, start, windows, place and text. A row of the result with a
-    digest names a class of windows, and one window where it holds no other (many is false).
+    part: anchor, n, hot, key, start, windows, place and text. A row with a bucket packs the
+    classes whose digests fall in it: digest, whether it is a single window, and that
+    window's key and start.
     """
     part = part.sort_values(["anchor", "key", "start"]).reset_index(drop=True)
     texts = list(part["text"])
     windows, place = part["windows"].to_numpy(int), part["place"].to_numpy(int)
     section, window, named = window_classes(part["anchor"].to_numpy(), windows, place, texts, length)
     _, first, of, count = np.unique(named, return_index=True, return_inverse=True, return_counts=True)
-    n = part["n"].to_numpy()
+    n, keys, start = part["n"].to_numpy(), part["key"].to_numpy(), part["start"].to_numpy(int)
     again = (count[of] > 1) & (n[section] == 1)
     edge = np.flatnonzero(again & ~np.append(False, again[:-1] & (section[1:] == section[:-1])))
     stop = np.flatnonzero(again & ~np.append(again[1:] & (section[1:] == section[:-1]), False))
-    keys, start = part["key"].to_numpy(), part["start"].to_numpy(int)
-    out = [pd.DataFrame({"key": keys[section[edge]], "start": start[section[edge]] + window[edge], "windows": stop - edge + 1, "digest": None, "many": True})]
-    hot = part["hot"].to_numpy(bool)
-    one = first[hot[section[first]]]
+    rows = [
+        (keys[s], int(start[s] + w), int(m), None, None, None, None, None)
+        for s, w, m in zip(section[edge].tolist(), window[edge].tolist(), (stop - edge + 1).tolist(), strict=True)
+    ]
+    one = first[part["hot"].to_numpy(bool)[section[first]]]
     if len(one):
         cut = [hashlib.blake2b(texts[s][w : w + length], digest_size=16).digest() for s, w in zip(section[one].tolist(), window[one].tolist(), strict=True)]
-        many = (count[of[one]] > 1) | (n[section[one]] > 1)
-        out.append(pd.DataFrame({"key": keys[section[one]], "start": start[section[one]] + window[one], "windows": 1, "digest": cut, "many": many}))
-    return pd.concat(out, ignore_index=True)
+        single = ((count[of[one]] == 1) & (n[section[one]] == 1)).astype(np.uint8)
+        at = (start[section[one]] + window[one]).astype(np.int32)
+        bucket = np.frombuffer(b"".join(cut), np.uint32)[::4] % np.uint32(buckets)
+        for b, own in pd.Series(np.arange(len(one))).groupby(bucket):
+            own = own.to_numpy()
+            packed = b"".join(cut[i] for i in own), single[own].tobytes(), b"".join(keys[section[one[i]]] for i in own), at[own].tobytes()
+            rows.append((None, None, None, int(b), *packed))
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in _FOUND.split(", ")])
+    return out.astype({c: "Int64" for c in ("start", "windows", "bucket")})
+
+
+def met(part: pd.DataFrame) -> pd.DataFrame:
+    """key, start and windows (1) of the single windows whose class another task holds, too; part packs the classes of a bucket."""
+    digest, key = (np.frombuffer(b"".join(part[c]), "V16") for c in ("digests", "keys"))
+    single, start = np.frombuffer(b"".join(part["single"]), bool), np.frombuffer(b"".join(part["starts"]), np.int32)
+    words = digest.view(np.uint64).reshape(-1, 2)
+    order = np.lexsort((words[:, 1], words[:, 0]))
+    same = (words[order][1:] == words[order][:-1]).all(1)
+    own = order[(np.append(False, same) | np.append(same, False)) & single[order]]
+    return pd.DataFrame({"key": [key[i].tobytes() for i in own], "start": start[own], "windows": 1})
 
 
 def covered(ranges, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -329,12 +356,12 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot:
     cuts = touched.where(F.col("cuts").isNotNull()).select("key", "text", "cuts")
     cuts = cuts.mapInPandas(snippets, "anchor long, n long, hot boolean, deal long, key binary, start int, windows int, place int, text binary")
     task = F.when(F.col("hot"), F.xxhash64("anchor", "deal")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-    found = written(cuts.groupBy(task.alias("task")).applyInPandas(lambda part: compared(part, length), _FOUND), "repeats-found")
+    found = cuts.groupBy(task.alias("task")).applyInPandas(lambda part: compared(part, groups, length), _FOUND)
+    found = written(found, "repeats-found")
 
-    left = found.where(F.col("digest").isNotNull())
-    twice = left.groupBy(F.col("digest").alias("d")).agg(F.count("*").alias("c")).where("c > 1").select("d")
-    met = left.where("NOT many").join(twice, F.col("digest") == F.col("d")).select("key", "start", "windows")
-    more = found.where(F.col("digest").isNull()).select("key", "start", "windows").unionByName(met)
+    across = found.where(F.col("bucket").isNotNull()).select("bucket", "digests", "single", "keys", "starts")
+    across = across.groupBy("bucket").applyInPandas(met, "key binary, start int, windows int")
+    more = found.where(F.col("bucket").isNull()).select("key", "start", "windows").unionByName(across)
     more = more.groupBy("key").agg(F.collect_list(F.struct("start", "windows")).alias("more")).withColumnRenamed("key", "k")
     none = F.array().cast("array<struct<start:int,windows:int>>")
     settled = touched.where(F.col("cuts").isNull()).select("key", "text", F.col("sure").alias("ranges"))
