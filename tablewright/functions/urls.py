@@ -109,35 +109,51 @@ def is_allowed(url: Column) -> Column:
     return scheme(url).isin("http", "https") & (host(url) != "") & ~host(url).rlike(PRIVATE)
 
 
+def without_dots(url: Column) -> Column:
+    """An absolute url, without query and fragment, whose path holds no dot segments.
+
+    The path's segments are folded into a stack: a single dot adds nothing, a double one
+    takes the last away, and none where the stack is empty; either at the end leaves an
+    empty last segment. An escaped dot counts as one.
+    """
+    site = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)/", 1)
+    segments = F.split(F.substr(url, F.length(site) + 2), "/")
+    single, double = r"(?i)^(?:\.|%2e)$", r"(?i)^(?:\.|%2e){2}$"
+
+    def step(stack: Column, segment: Column) -> Column:
+        shorter = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))
+        return F.when(segment.rlike(single), stack).when(segment.rlike(double), shorter).otherwise(F.array_append(stack, segment))
+
+    stack = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ends = F.element_at(segments, -1).rlike(r"(?i)^(?:\.|%2e){1,2}$")
+    path = F.array_join(F.when(ends, F.array_append(stack, F.lit(""))).otherwise(stack), "/")
+    return F.when((site != "") & url.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)"), F.concat(site, F.lit("/"), path)).otherwise(url)
+
+
 def resolved(base: Column, href: Column) -> Column:
     """An href as an absolute url; null for none, a fragment alone or a script.
 
     Covers absolute, scheme-relative, host-relative, query and path-relative forms
-    and removes dot segments.
+    and removes dot segments, however many there are.
     """
     own = F.trim(href)
     site = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
-    folder = F.regexp_replace(path(base), "[^/]*$", "")
+    here = F.when(path(base) == "", "/").otherwise(path(base))
+    folder = F.regexp_replace(here, "[^/]*$", "")
     joined = (
         F.when(own.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), own)
         .when(own.startswith("//"), F.concat(_part(base, 1), F.lit(":"), own))
         .when(own.startswith("/"), F.concat(site, own))
-        .when(own.startswith("?"), F.concat(site, path(base), own))
+        .when(own.startswith("?"), F.concat(site, here, own))
         .otherwise(F.concat(site, folder, own))
     )
 
-    def without_dots(head: Column, times: int = 4) -> Column:
-        if not times:
-            return head
-        step = F.regexp_replace(F.regexp_replace(head, r"/\./", "/"), r"(?<![:/])/(?!\.\./)[^/]+/\.\./", "/")
-        return without_dots(step, times - 1)
-
     def with_path(url: Column) -> Column:
         return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+$"), F.concat(url, F.lit("/"))).otherwise(url)
 
     def of(joined: Column) -> Column:
         head, tail = F.regexp_extract(joined, r"^([^?#]*)", 1), F.regexp_extract(joined, r"^[^?#]*(.*)$", 1)
-        return let(F.concat(without_dots(head), tail), with_path)
+        return let(F.concat(let(head, without_dots), tail), with_path)
 
     def absolute(url: Column) -> Column:
         return F.when(host(url) != "", url)

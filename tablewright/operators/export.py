@@ -145,3 +145,13 @@ def status_counts(results: DataFrame, status: str = "run_status") -> DataFrame:
         F.count_if(s == "done").alias("accepted"), F.count_if(s == "review").alias("review"),
         F.count_if(s == "error").alias("error"), F.count_if(s.isin("pending", "running")).alias("waiting"),
     )
+
+
+def status_rollup(results: DataFrame, brand: str = "brand", system: str = "size_system", status: str = "run_status") -> DataFrame:
+    """requests by brand, system and status with the totals of each, of both and of all, in one pass.
+
+    level tells which columns a total leaves out (a bit each: 4 brand, 2 system, 1 status),
+    so that a null of the data isn't taken for one.
+    """
+    b, y, s = (F.col(c) for c in (brand, system, status))
+    return results.groupingSets([[b, y, s], [b, s], [y, s], [s], []], b, y, s).agg(F.count("*").alias("requests"), F.grouping_id().alias("level"))

@@ -163,5 +163,5 @@ def links(rows: DataFrame, key: list[str]) -> DataFrame:
         F.posexplode(parts).alias("at", "link"),
     )
     return found.where("link.image = ''").select(
-        *key, (F.col("line") * 1000 + F.col("at")).alias("ord"), F.col("link.href").alias("href"), clean(F.col("link.label")).alias("label"), "heading_path", "nearby"
+        *key, (F.col("line").cast("long") * 10**6 + F.col("at")).alias("ord"), F.col("link.href").alias("href"), clean(F.col("link.label")).alias("label"), "heading_path", "nearby"
     )

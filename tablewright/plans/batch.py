@@ -17,9 +17,9 @@ from pyspark.sql.window import Window
 from tablewright.domain import FIELDS
 from tablewright.functions import categories, navigation, sizes, urls
 from tablewright.functions.text import slug, text_or_null
-from tablewright.operators import candidates, export, links, markdown, matrix, select, validate
+from tablewright.operators import candidates, export, links, markdown, matrix, redirects, select, validate, versions
 from tablewright.sources import html as pages
-from tablewright.sources.requests import chosen_documents, guard
+from tablewright.sources.requests import COLUMNS, chosen_documents, guard
 from tablewright.sources.shared import written
 from tablewright.sources.sinks import payload
 
@@ -37,14 +37,23 @@ class Corpus:
     tables: DataFrame
     links: DataFrame
     chosen: DataFrame
+    failed: DataFrame
 
 
-def read_corpus(documents: DataFrame) -> Corpus:
+def read_corpus(documents: DataFrame, moment=None, steps: DataFrame | None = None) -> Corpus:
     """Parse documents (url, renderer, source_url, html, markdown) once.
 
-    A document without markdown gets it from its html. Nulls count as empty.
+    A document without markdown gets it from its html. Nulls count as empty. Of several
+    versions of a document one is read (versions.one_version, at moment); one whose fetch
+    failed isn't parsed. steps (url, to) are redirects: links of a page resolve against
+    where its url ends, and a url without a document stands for the one it leads to.
     """
-    docs = documents.withColumns({c: F.coalesce(c, F.lit("")) for c in ("html", "markdown")})
+    names = ["url", "renderer", "source_url", "html", "markdown"]
+    if steps is not None:
+        documents = redirects.with_final_urls(documents, steps)
+    docs = versions.one_version(documents, moment)
+    failed = written(docs.where("failure IS NOT NULL").select("url", "renderer", "failure"), "failed")
+    docs = docs.where("failure IS NULL").select(*names).withColumns({c: F.coalesce(c, F.lit("")) for c in ("html", "markdown")})
     docs = written(pages.with_markdown(docs), "documents")
     parsed = written(pages.parse(docs), "parsed").withColumnRenamed("url", "doc_url")
     keyed = docs.select(F.col("url").alias("doc_url"), "renderer", F.coalesce("source_url", "url").alias("url"), "html", "markdown")
@@ -72,13 +81,18 @@ def read_corpus(documents: DataFrame) -> Corpus:
     place = Window.partitionBy(*DOC, "kind").orderBy("ord")
     described = described.withColumn("_rn", F.row_number().over(place)).where(f"kind <> 'div-grid' OR _rn <= {pages.GRIDS}")
     kind_no = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for k, i in order.items()])
-    described = described.withColumn("ord", kind_no * 100000 + F.col("_rn")).drop("_rn")
+    described = described.withColumn("ord", (kind_no.cast("long") * 10**9 + F.col("_rn"))).drop("_rn")
     tables = candidates.dedupe(described, DOC, candidates.SIGNATURE, "base_confidence")
 
-    from_html = parsed.select(*DOC, F.explode("links").alias("l")).select(*DOC, "l.*")
-    from_md = markdown.links(lines, DOC).withColumn("ord", F.col("ord") + 10**6)
+    from_html = parsed.select(*DOC, F.explode("links").alias("l")).select(*DOC, "l.*").withColumn("ord", F.col("ord").cast("long"))
+    from_md = markdown.links(lines, DOC).withColumn("ord", F.col("ord") + 10**16)
     found = from_html.unionByName(from_md).withColumn("resolver", F.lit("generic"))
-    return Corpus(written(facts, "facts"), written(tables, "tables"), written(found, "raw-links"), written(chosen_documents(docs), "chosen"))
+    chosen = chosen_documents(docs).select("url", F.col("url").alias("doc_url"), "renderer")
+    if steps is not None:
+        ends = redirects.final_urls(steps).where("final_url IS NOT NULL").select(F.col("url").alias("from"), F.col("final_url").alias("end"))
+        led = ends.join(chosen, F.col("end") == F.col("url")).select(F.col("from").alias("url"), "doc_url", "renderer")
+        chosen = chosen.unionByName(led.join(chosen.select("url"), "url", "left_anti"))
+    return Corpus(written(facts, "facts"), written(tables, "tables"), written(found, "raw-links"), written(chosen, "chosen"), failed)
 
 
 def attempts(requests: DataFrame) -> DataFrame:
@@ -105,7 +119,7 @@ def look(frontier: DataFrame, corpus: Corpus, hop: int) -> tuple[DataFrame, Data
     """Classify the frontier's documents: (frontier with kind and the link to follow, scored candidates)."""
     here = frontier.join(corpus.facts, DOC)
     raw = corpus.links.join(here.select(*KEY, *DOC, "url", "asked_category", "asked_system"), DOC)
-    known = links.official(here, [*KEY, *DOC, "url", "asked_category", "asked_system"]).withColumn("ord", F.col("ord") + 2 * 10**6)
+    known = links.official(here, [*KEY, *DOC, "url", "asked_category", "asked_system"]).withColumn("ord", F.col("ord") + 2 * 10**16)
     scored = links.best_per_url(links.score(raw.unionByName(known.select(*raw.columns))), KEY)
     chosen = written(links.follow(scored, KEY, F.lit(hop >= 1)), "links")
     per_page = chosen.groupBy(*KEY).agg(
@@ -146,6 +160,7 @@ def walk(frontier: DataFrame, corpus: Corpus) -> tuple[list[DataFrame], list[Dat
     """
     done, found = [], []
     rendered = corpus.facts.where("renderer = 'rendered'").select("doc_url").distinct()
+    lost_refetch = corpus.failed.where("renderer = 'rendered'").select(F.col("url").alias("doc_url"), F.col("failure").alias("refetch_failure"))
     for hop in range(HOPS + 1):
         rows, cands = [], []
         for turn in (0, 1):
@@ -157,6 +172,8 @@ def walk(frontier: DataFrame, corpus: Corpus) -> tuple[list[DataFrame], list[Dat
             stuck = F.when(hub, F.lit(hop >= HOPS) | F.col("next").isNull() | (F.lit(hop == 0) & concrete)).otherwise(~F.col("has_selected"))
             again = F.lit(turn == 0) & (F.col("renderer") != "rendered") & (F.lit(hop > 0) | direct) & stuck & ~F.col("gone")
             here = written(here.withColumn("_again", again), "walked")
+            if turn == 0:
+                here = here.join(lost_refetch, "doc_url", "left").withColumn("refetch_failure", F.when(F.col("_again"), F.col("refetch_failure")))
             retry = here.where("_again").join(rendered, "doc_url", "left_semi") if turn == 0 else here.limit(0)
             stay = here.join(retry.select(*KEY), KEY, "left_anti") if turn == 0 else here
             rows.append(stay)
@@ -189,9 +206,10 @@ def _followed(ahead: DataFrame, names: list[str], corpus: Corpus) -> DataFrame:
             "doc_url": n["link_url"], "_as": F.when(fallback, "rendered"),
         }
     ).drop("renderer")
-    chosen = corpus.chosen.toDF("doc_url", "renderer")
+    chosen = corpus.chosen.toDF("doc_url", "_doc", "renderer")
     ready = corpus.facts.where("renderer = 'rendered'").select("doc_url", "renderer")
-    first = moved.where("_as IS NULL").join(chosen, "doc_url").unionByName(moved.where("_as IS NOT NULL").join(ready, "doc_url"))
+    own = moved.where("_as IS NULL").join(chosen, "doc_url").withColumn("doc_url", F.col("_doc")).drop("_doc")
+    first = own.unionByName(moved.where("_as IS NOT NULL").join(ready, "doc_url"))
     return written(first.select(*names), "frontier")
 
 
@@ -213,7 +231,9 @@ def _rows(cands: DataFrame, external: DataFrame | None) -> tuple[DataFrame, Data
     return written(validate.validate(made).withColumn("strategy", export.strategy(F.col("kind"))), "validated"), own
 
 
-def resolve(requests: DataFrame, documents: DataFrame, external: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def resolve(
+    requests: DataFrame, documents: DataFrame, external: DataFrame | None = None, moment=None, steps: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(reports, sizes) of normalised requests against documents.
 
     A report holds status, issues (code, severity, details), document kind, hops,
@@ -222,12 +242,20 @@ def resolve(requests: DataFrame, documents: DataFrame, external: DataFrame | Non
     the guard bars are reported without being walked. external rows (request_id,
     row_ord, label, and optionally canonical, variant, warnings and <field>_low and
     <field>_high) of another extraction count where the table's own extraction isn't
-    ready and no issue forbids it; then they are the sizes, too.
+    ready and no issue forbids it; then they are the sizes, too. Documents may come in
+    versions (fetched_at, status, content_type; moment chooses) and with redirects (steps);
+    see read_corpus(). A request whose page's fetch failed is a server-error that names
+    why, and so is, as rendered-refetch-failed, a second look that had to fail. Of requests
+    with the same request_id the first by all their columns counts.
     """
-    corpus = read_corpus(documents)
+    corpus = read_corpus(documents, moment, steps)
+    names = [c for c in requests.columns if c in ("request_id", *COLUMNS)]
+    requests = requests.groupBy("request_id").agg(F.min(F.struct(*[c for c in names if c != "request_id"])).alias("_r")).select("request_id", "_r.*")
     asked = written(attempts(requests), "attempts")
     start = asked.withColumns({"doc_url": F.col("size_guide_url"), "navigation": F.lit(0.0), "link_followed": F.lit(False)})
-    done, found = walk(start.where("barred IS NULL").drop("barred").join(corpus.chosen.toDF("doc_url", "renderer"), "doc_url"), corpus)
+    chosen = corpus.chosen.toDF("doc_url", "_doc", "renderer")
+    open_ = start.where("barred IS NULL").drop("barred").join(chosen, "doc_url").withColumn("doc_url", F.col("_doc")).drop("_doc")
+    done, found = walk(open_, corpus)
     final = _all(done)
     chosen = _all(found).where("selected")
     validated, own = _rows(chosen, external)
@@ -241,11 +269,14 @@ def resolve(requests: DataFrame, documents: DataFrame, external: DataFrame | Non
     out = asked.select(*KEY, "barred", "brand", "name", "size_guide_url", "request_issues").join(
         final.drop("brand", "name", "size_guide_url", "request_issues", "fallback_urls"), KEY, "left"
     ).join(validated.select(*KEY, *[F.col(c) for c in keep]), KEY, "left")
+    lost = corpus.failed.groupBy(F.col("url").alias("lost_url")).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "renderer", "failure"))).alias("lost"))
+    out = out.join(lost, F.col("size_guide_url") == F.col("lost_url"), "left").drop("lost_url")
     hub = F.col("document_kind") == "guide-hub-page"
     many = F.size(F.coalesce("families", F.array().cast("array<string>"))) > 1
     picked = F.coalesce("has_selected", F.lit(False))
     flow = validate.issues(
-        validate.issue(F.col("doc_url").isNull(), "server-error", details=F.array_compact(F.array("barred"))),
+        validate.issue(F.col("doc_url").isNull(), "server-error", details=F.coalesce(F.when(F.col("barred").isNull(), F.col("lost")), F.array_compact(F.array("barred")))),
+        validate.issue(F.col("refetch_failure").isNotNull() & ~picked, "rendered-refetch-failed", details=F.array_compact(F.array("refetch_failure"))),
         validate.issue(F.col("gone"), "page-not-found-document"),
         validate.issue(hub & F.col("next").isNull() & (F.col("hop") < HOPS), "no-followable-guide-link"),
         validate.issue(hub & (F.col("next").isNotNull() | (F.col("hop") >= HOPS)), "unresolved-guide-hub"),

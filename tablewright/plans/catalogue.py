@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.functions import categories, navigation, sizes, text, units, urls
-from tablewright.operators import candidates, export, markdown, matrix, select, validate
+from tablewright.operators import candidates, export, markdown, matrix, phrases, select, validate
 from tablewright.sources import requests
 
 QUERIES: dict = {}
@@ -160,13 +162,33 @@ SELECT doc_id, CASE WHEN regexp_matches(n, ' (?:kid|kids|child|children|junior|b
   WHEN trim(n) <> '' THEN 'standard' ELSE 'unknown' END AS variant,
   regexp_matches(n, ' (?:the|les|der|los) ') AS has_article FROM d""")
 def contains_any_flags(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", categories.audience_of(t).alias("audience"), sizes.fit_variant(t).alias("variant"),
-        text.has_any(text.token(t), ("the", "les", "der", "los")).alias("has_article"),
+    """The audience and fit that a text names, and whether it has an article, from one pass over the phrase index."""
+    docs = table(spark, sf_dir, "documents")
+    index = phrases.lists(
+        spark, kids=categories.KID_WORDS, unisex=["unisex"], women=[*categories.WOMEN_WORDS, "lady", "ladies"], men=categories.MEN_WORDS,
+        tall=["tall", "long"], petite=["petite"], regular=["regular"], article=["the", "les", "der", "los"],
+    )
+    found = phrases.found_lists(docs, index, "doc_id", "text").select(F.col("id"), "lists")
+    named = lambda *names: reduce(lambda c, n: c.when(F.array_contains("lists", n), n), names, F.when(F.lit(False), ""))
+    rest = F.when(F.col("text").rlike("[A-Za-z0-9]") | (text.token(F.col("text")) != ""), "standard").otherwise("unknown")
+    return docs.join(found, F.col("doc_id") == F.col("id"), "left").select(
+        "doc_id", F.coalesce(named("kids", "unisex", "women", "men"), F.lit("unknown")).alias("audience"),
+        F.coalesce(named("tall", "petite", "regular"), rest).alias("variant"),
+        F.coalesce(F.array_contains("lists", "article"), F.lit(False)).alias("has_article"),
     )
 
 
+@query(r"""
+WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+p AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+l AS (SELECT 'of' AS list, 'of the' AS phrase UNION ALL SELECT 'of', 'of' UNION ALL SELECT 'und', 'und die' UNION ALL SELECT 'und', 'de la' UNION ALL SELECT 'and', 'and the')
+SELECT doc_id, list, phrase, count(*) AS times FROM p JOIN l ON phrase = a OR phrase = a || ' ' || b GROUP BY ALL""")
+def phrase_matches(spark, sf_dir):
+    """How often each text holds the phrases of some lists, one of them within another."""
+    index = phrases.lists(spark, of=["of the", "Of", "of"], und=["und die", "dé la"], **{"and": ["and   the!"]}, none=["?"])
+    return phrases.matches(table(spark, sf_dir, "documents"), index, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 @query(r"""
 WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN text END AS h FROM conversations),
 p AS (SELECT conv_id, turn, list(h) FILTER (WHERE h IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn) AS l FROM t)
@@ -575,4 +597,4 @@ def candidate_select(spark, sf_dir):
     return best.select("id", "score", "rank", "selected", F.array_join("strict", ",").alias("strict"))
 
 
-from tablewright.plans import batch_queries  # noqa: E402, F401 - registers its queries beside these
+from tablewright.plans import batch_queries, fetch_queries, page_queries  # noqa: E402, F401 - register their queries beside these

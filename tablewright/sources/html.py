@@ -1,22 +1,27 @@
 """HTML pass: one walk over each document gives its raw tables, links and text.
 
-This is the only Python in the reference part: a tree is needed for headings before
-an element, siblings and descendants. It extracts structure alone; what a table or a
-link is gets decided by column expressions afterwards. Documents are parsed once, in
-Arrow batches, independent of each other.
+A tree is needed for headings before an element, siblings and descendants. It extracts
+structure alone; what a table or a link is gets decided by column expressions
+afterwards. Documents are parsed once, in Arrow batches, independent of each other.
+
+An element's text is a slice of the page's: one tour of the tree writes the text down
+and gives every element where its own begins and ends. Whether a slice holds a gate word,
+a gap or enough letters is answered from sorted places, so deep nesting costs no more
+than its depth; text is only built where it goes into the result.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import deque
+from functools import cached_property, lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tablewright.functions.text import plain_token
-
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset(("script", "style", "noscript", "template"))
 #: Tags that end an open element of the same group.
@@ -31,7 +36,7 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 # fixed values: caps of the grid scan and words that gate it
 GRIDS, CHILDREN, CELLS = 18, 20, 12
-GRID_WORDS = re.compile(r" (?:size|fit|guide|chart|chest|waist|hips|inseam|xxs|xs|xl) ")
+GRID_WORDS = "size|fit|guide|chart|chest|waist|hips|inseam|xxs|xs|xl"
 ADVICE = re.compile(r"(?i)size|taille|fit|measure|guide")
 
 SCHEMA = (
@@ -45,25 +50,107 @@ def clean(text: str) -> str:
     return " ".join(text.split())
 
 
+_WHITE = np.array([chr(c).isspace() for c in range(0x3002)])
+_GATE = re.compile(f"(?<![a-z0-9])(?:{GRID_WORDS})(?![a-z0-9])")
+_GATE_HERE = re.compile(f"(?:{GRID_WORDS})(?![a-z0-9])")
+_GATE_END = re.compile(f"(?:^|[^a-z0-9])(?:{GRID_WORDS})$")
+#: Letters that a gate word and the one before it take.
+_GATE_MOST = max(map(len, GRID_WORDS.split("|"))) + 1
+
+
+class Text:
+    """A page's text, and answers about its slices."""
+
+    def __init__(self, text: str):
+        self.text, self.gates = text, None
+
+    @cached_property
+    def solid(self) -> np.ndarray:
+        """Places of all characters but white space."""
+        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.flatnonzero(~_WHITE[np.minimum(codes, len(_WHITE) - 1)])
+
+    @cached_property
+    def gaps(self) -> np.ndarray:
+        """Which of solid a tab or more than one white space follows."""
+        wide = np.flatnonzero(np.diff(self.solid) > 1)
+        own = [k for k in wide.tolist() if self.solid[k + 1] - self.solid[k] > 2 or self.text[self.solid[k] + 1] == "\t"]
+        return np.array(own, int)
+
+    def letters(self, a: int, b: int) -> int:
+        """How many characters of a slice aren't white space."""
+        return int(np.searchsorted(self.solid, b) - np.searchsorted(self.solid, a))
+
+    def clean(self, a: int, b: int, most: int = 0) -> str:
+        """A slice's clean text; with most, at least so much of its begin."""
+        n = most + 200 if most else b - a
+        while True:
+            found = clean(self.text[a : min(a + n, b)])
+            if a + n >= b or len(found) > most + 1:
+                return found
+            n *= 2
+
+    def has_gap(self, a: int, b: int) -> bool:
+        """Whether a tab or two white spaces stand between the letters of a slice."""
+        i, j = np.searchsorted(self.solid, (a, b))
+        if j - i < 2:
+            return False
+        return bool(np.searchsorted(self.gaps, j - 1) > np.searchsorted(self.gaps, i))
+
+    def has_gate(self, a: int, b: int) -> bool:
+        """Whether a slice holds one of GRID_WORDS as a whole word, without regard to accents."""
+        if self.gates is None:
+            self._fold()
+        if self.place is not None:
+            a, b = int(self.place[a]), int(self.place[b])
+        k = np.searchsorted(self.gates[0], a)
+        if k < len(self.gates[0]) and self.gates[1][k] <= b:
+            return True
+        # words that the slice's ends set free from longer ones
+        return bool(_GATE_HERE.match(self.low, a, b) or _GATE_END.search(self.low[max(a, b - _GATE_MOST) : b]))
+
+    def _fold(self) -> None:
+        """The folded text, with where each character of the text begins in it, and its gate words."""
+        self.place, letters = None, {ord(c): _folded(c) for c in set(self.text)}
+        self.low = self.text.translate(letters)
+        if any(len(x) != 1 for x in letters.values()):
+            self.place = np.concatenate([[0], np.cumsum([len(letters[ord(c)]) for c in self.text])])
+        found = [m.span() for m in _GATE.finditer(self.low)]
+        self.gates = np.array([f[0] for f in found], int), np.array([f[1] for f in found], int)
+
+
+@lru_cache(1 << 14)
+def _folded(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c.lower()) if not "̀" <= x <= "ͯ")
+
+
 class Node:
     """An element; once the tree is whole, at is its place among its siblings, kids its child
     elements, heading the last heading before it among its siblings, and tables says
-    whether a table lies below it."""
+    whether a table lies below it. whole and bare are the page's text, with and without RAW,
+    and where the element's part of it begins and ends."""
 
-    __slots__ = ("tag", "attrs", "parent", "children", "at", "kids", "heading", "tables", "shown")
+    __slots__ = ("tag", "attrs", "parent", "children", "at", "kids", "heading", "tables", "whole", "bare", "short", "_clean")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children, self.at = tag, attrs, parent, [], 0
-        self.kids, self.heading, self.tables, self.shown = None, None, False, None
+        self.kids, self.heading, self.tables, self.short, self._clean = None, None, False, None, None
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)] if self.kids is None else self.kids
 
-    def clean_text(self) -> str:
-        """The clean text, kept: neighbours ask for it again and again."""
-        if self.shown is None:
-            self.shown = clean(self.text())
-        return self.shown
+    def clean_text(self, most: int = 0) -> str:
+        """The clean text; with most, at least so much of its begin."""
+        text, a, b = self.whole
+        if most:
+            return text.clean(a, b, most)
+        if self._clean is None:
+            self._clean = text.clean(a, b)
+        return self._clean
+
+    def blank(self) -> bool:
+        text, a, b = self.whole
+        return not text.letters(a, b)
 
     def walk(self):
         todo = [self]
@@ -120,6 +207,31 @@ class Tree(HTMLParser):
         self.open.children.append(data)
 
 
+def _toured(root: Node) -> None:
+    """Write the texts below root down and tell every element where its own are."""
+    whole, bare, at = [], [], [0, 0]
+    todo: list = [(root, False)]
+    open_: dict[Node, tuple[int, int]] = {}
+    while todo:
+        node, raw = todo.pop()
+        if isinstance(node, str):
+            whole.append(node)
+            at[0] += len(node)
+            if not raw:
+                bare.append(node)
+                at[1] += len(node)
+        elif node in open_:
+            node.whole, node.bare = (open_[node][0], at[0]), (open_.pop(node)[1], at[1])
+        else:
+            open_[node] = at[0], at[1]
+            raw = raw or node.tag in RAW
+            todo.append((node, raw))
+            todo.extend((c, raw) for c in reversed(node.children))
+    texts = Text("".join(whole)), Text("".join(bare))
+    for node in root.walk():
+        node.whole, node.bare = (texts[0], *node.whole), (texts[1], *node.bare)
+
+
 def parsed(html: str) -> Node:
     tree = Tree()
     tree.feed(html)
@@ -133,48 +245,54 @@ def parsed(html: str) -> Node:
                 last = child
     for node in reversed(nodes):  # children come before their parents
         node.tables = any(k.tables or k.is_table() for k in node.kids)
+    _toured(tree.root)
     return tree.root
 
 
 def heading_path(node: Node) -> list[str]:
     """The nearest heading before the node on each level above it, the last three."""
     found: list[str] = []
-    while node.parent is not None:
+    while node.parent is not None and len(found) < 3:
         text = node.heading.clean_text() if node.heading else ""
         if text and text not in found:
             found.insert(0, text)
         node = node.parent
-    return found[-3:]
+    return found
 
 
 def nearby(node: Node, before: int, after: int, most: int, stop) -> str:
     """Text of the siblings around a node up to a heading, within a budget of characters."""
     siblings, chunks, size = node.parent.elements(), deque(), 0  # size: of the chunks with a space behind each
+    enough = max(before, after, most) + 1
     for i in range(node.at - 1, -1, -1):
         s = siblings[i]
         if size - 1 >= before or stop(s):
             break
-        if text := s.clean_text():
+        if text := s.clean_text(enough):
             chunks.appendleft(text)
             size += len(text) + 1
     for i in range(node.at + 1, len(siblings)):
         s = siblings[i]
         if size - 1 >= after or stop(s):
             break
-        if text := s.clean_text():
+        if text := s.clean_text(enough):
             chunks.append(text)
             size += len(text) + 1
     return " ".join(chunks)[:most]
 
 
 def subheading(node: Node) -> str:
-    texts = (clean(s.text()) for s in node.parent.elements() if s.tag in ("p", "strong", "span", "div"))
-    return next((t for t in texts if 0 < len(t) <= 140), "")
+    """The first short text among a node's siblings, kept with their parent."""
+    parent = node.parent
+    if parent.short is None:
+        short = (s for s in parent.elements() if s.tag in ("p", "strong", "span", "div") and 0 < s.whole[0].letters(*s.whole[1:]) <= 140)
+        parent.short = next((t for t in (s.clean_text() for s in short) if len(t) <= 140), "")
+    return parent.short
 
 
 def rows_of(node: Node, row, cell) -> list[list[str]]:
     """Texts of the cells in the rows below a node, nested rows included."""
-    return [[clean(c.text()) for c in r.walk() if c is not r and cell(c)] for r in node.walk() if r is not node and row(r)]
+    return [[c.clean_text() for c in r.walk() if c is not r and cell(c)] for r in node.walk() if r is not node and row(r)]
 
 
 def loose_row(text: str) -> list[str]:
@@ -187,14 +305,20 @@ def loose_row(text: str) -> list[str]:
 
 def grid(node: Node) -> list[list[str]]:
     """Rows of a container whose children look like rows; empty where they don't."""
-    rows = []
+    found = []
     for child in [c for c in node.elements() if c.tag not in RAW][:CHILDREN]:
         own = [c for c in child.elements() if c.tag not in RAW]
-        row = [t for t in (clean(c.text()) for c in own) if t][:CELLS] if len(own) >= 2 else loose_row(child.text())
-        if len(row) >= 2:
-            rows.append(row)
-    width = max(map(len, rows), default=0)
-    return rows if len(rows) >= 2 and width >= 2 else []
+        if len(own) >= 2:
+            cells = [c for c in own if not c.blank()][:CELLS]
+            found.append((len(cells), cells))
+        elif child.whole[0].has_gap(*child.whole[1:]):
+            text, a, b = child.whole
+            row = loose_row(text.text[a:b])
+            found.append((len(row), row))
+    found = [(n, row) for n, row in found if n >= 2]
+    if len(found) < 2:
+        return []
+    return [[c if isinstance(c, str) else c.clean_text() for c in row] for _, row in found]
 
 
 def _stop_at_table(node: Node) -> bool:
@@ -220,15 +344,16 @@ def tables_of(root: Node) -> list[tuple]:
             add("aria-grid", node, rows, "ARIA table")
     for node in nodes:
         if node.tag in ("section", "article", "div") and 2 <= len(node.elements()) <= CHILDREN:
-            if not node.tables and GRID_WORDS.search(f" {plain_token(node.text())} "):
+            if not node.tables and node.whole[0].has_gate(*node.whole[1:]):
                 if matrix := grid(node):
                     add("div-grid", node, matrix, "Grid section")
     for node in nodes:
-        title = clean(node.text()) if node.tag in ("h1", "h2", "h3", "h4") else ""
+        title = node.clean_text() if node.tag in ("h1", "h2", "h3", "h4") else ""
         if title and ADVICE.search(title):
             after = node.parent.elements()[node.at + 1 : node.at + 5]
-            text = clean("".join(s.text() for s in after))
-            if text and not any(s.tables or s.is_table() for s in after):
+            open_ = not any(s.tables or s.is_table() for s in after)
+            text = clean("".join(s.whole[0].text[s.whole[1] : s.whole[2]] for s in after)) if open_ else ""
+            if text:
                 found.append((len(found), "advisory-text", [[title], [text]], [title], title, "", text))
     return found
 
@@ -241,7 +366,8 @@ def links_of(root: Node) -> list[tuple]:
     for node in root.walk():
         if node.tag == "a" and "href" in node.attrs:
             given = clean(node.attrs.get("aria-label", "")) or clean(node.attrs.get("title", ""))
-            label = clean(node.text(RAW)) or given
+            text, a, b = node.bare
+            label = text.clean(a, b, 180) or given
             if len(label) > 180 or _SCRIPT.search(label):
                 label = given
             if label and not label.startswith("!["):

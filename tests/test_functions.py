@@ -1,10 +1,12 @@
 """Column functions and operators on values worked out by hand."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import categories, navigation, sizes, text, units, urls
-from tablewright.operators import candidates, export, links, markdown, matrix, select, validate
+from tablewright.operators import candidates, export, links, markdown, matrix, phrases, select, validate
 from tablewright.sources import html, requests, sinks
 
 
@@ -160,3 +162,37 @@ def test_uploads(spark):
     got = requests.normalised(requests.records(spark.createDataFrame([(x,) for x in raw], "json string"))).collect()
     assert [(r.brand, r.size_guide_url, r.audience, r.garment_category, r.fallback_urls) for r in got] == [("A", "u", "men", "generic-body-guide", ["x"])]
     assert column(spark, ["http://a.b/", "ftp://a", "http://[::1]/", "http://a." + "x" * 2100], lambda c: requests.guard(F.lit("b"), c)) == [None, "url-scheme", "url-forbidden-host", "url-too-long"]
+
+
+def test_nested_sections_cost_their_depth():
+    deep = "<div>" * 3000 + "<p>Size</p><p>guide</p>" + "</div><p>x size</p>" * 3000
+    began = time.perf_counter()
+    root = html.parsed(deep)
+    assert html.tables_of(root) == [] and html.links_of(root) == []
+    assert time.perf_counter() - began < 3
+
+
+def test_gate_words_at_the_ends_of_elements():
+    root = html.parsed("<div>re<b>size</b>d <i>s\u00efze</i> <u>in</u>seam <s>Cha</s>rt</div>")
+    by = {n.tag: n.whole[0].has_gate(*n.whole[1:]) for n in root.walk() if n.tag}
+    assert by == {"div": True, "b": True, "i": True, "u": False, "s": False}
+    assert not html.parsed("<div>resized</div>").whole[0].has_gate(0, 7)
+
+
+def test_phrases_equal_looking_for_each(spark):
+    texts = ["The size of the size chart", "of", "", None, "size-of-the", "THE SÏZE of", "chart of the the"]
+    lists = {"a": ["size of the", "size"], "b": ["of", "the the", "of the"], "c": ["!", "chart of nothing"]}
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {(r.id, r.list, r.phrase): r.times for r in phrases.matches(df, phrases.lists(spark, **lists), "i", "t").collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        words = text.plain_token(t or "").split()
+        for name, own in lists.items():
+            for p in own:
+                w = text.plain_token(p).split()
+                n = sum(words[k : k + len(w)] == w for k in range(len(words) - len(w) + 1)) if w else 0
+                if n:
+                    want[(i, name, p)] = n
+    assert got == want
+    found = {r.id: r.lists for r in phrases.found_lists(df, phrases.lists(spark, **lists), "i", "t").collect()}
+    assert found[0] == ["a", "b"] and 2 not in found and 3 not in found
