@@ -1,11 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations.
 
 The words of each source are laid end to end in a shuffled document order and cut
-into blocks of equally many words; only a source whose target would be fewer than
-LEAST_SLOTS such blocks gets smaller ones. Slot i of the mix has the golden-ratio
-point frac(i * phi); the source whose stretch of the cumulated targets (in blocks)
+into blocks of BLOCK words, the same for all sources. Slot i of the mix has the golden-ratio
+point frac(i * phi), taken in whole numbers of 1 / 2**64, so that it neither overflows
+nor comes round; the source whose stretch of the cumulated targets (in blocks)
 holds the point gets the slot. The r-th slot of a source takes its block r, beginning
-anew after the last, so a source is repeated evenly and never more than CAP times.
+anew after the last, so a source is repeated evenly and never more than CAP times. Slots
+beyond a source's target are dropped, the few that points left it short of are appended,
+and its last slot takes a part of a block, so targets are met to the word.
 
 At scale: the text is read once and never shuffled; ids, sizes and slots are all
 that moves. A source with most of the rows is spread by buckets of its shuffled
@@ -25,17 +27,14 @@ from tablewright.llm.common import fresh, running_start, running_sums, table, wo
 #: Weights of the sources in order, repeating, and the most often that a source may be taken.
 WEIGHTS, CAP = (5, 2, 1), 3
 
-#: Most words of a block, slots of a mix of smaller blocks, and fewest slots of a source.
-BLOCK_MOST, SLOTS, LEAST_SLOTS = 1024, 65536, 256
+#: Words of a block.
+BLOCK = 64
 
 #: Rows of one (group, bucket) of the running sums, about.
 ROWS = 4096
 
-#: Fractional part of the golden ratio, times 2**32, rounded to the next odd number: exact in a long.
-GOLDEN, TURN = 2654435769, 1 << 32
-
-#: Parts of a slot in which the sources' stretches are whole numbers.
-PARTS = 1 << 20
+#: Fractional part of the golden ratio, times 2**64, rounded to the next odd number.
+GOLDEN, TURN = 11400714819323198485, 1 << 64
 
 #: Cells of the unit interval in which points and the sources' stretches are matched.
 CELLS = 4096
@@ -68,6 +67,12 @@ def by_source() -> list[Column]:
     return [F.col("source").isNull(), F.col("source").cast("binary")]
 
 
+def point(slot: Column) -> Column:
+    """The point of a slot in the unit interval; the product has 38 digits at most, up to slot 10**18."""
+    whole = slot.cast("decimal(18,0)") * F.lit(str(GOLDEN)).cast("decimal(20,0)") + F.lit(str(TURN // 2)).cast("decimal(20,0)")
+    return (whole % F.lit(str(TURN)).cast("decimal(20,0)")).cast("double") / float(TURN)
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights=WEIGHTS, cap: int = CAP, seed: int = 0,
@@ -90,58 +95,54 @@ def mix(
         ),
         "mix-rows",
     )
-    n, total = rows.agg(F.count("*"), F.sum("size")).first()
-    most = max(1, min(BLOCK_MOST, (total or 0) // SLOTS))
-    own = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("target") / LEAST_SLOTS)))
-    goal = targets(rows, weights, cap).withColumn("block_size", own.cast("long"))
-    goal = goal.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block_size")))
-    goal = written(
-        goal.withColumn("slots", F.coalesce(F.col("target") * F.col("blocks") / F.nullif("source_size", F.lit(0)), F.lit(0.0))),
-        "mix-targets",
-    )
-    goal = goal.withColumn("parts", F.floor(F.col("slots") * PARTS).cast("long"))
-    n_parts = goal.agg(F.sum("parts")).first()[0] or 0
-    n_slots = n_parts / PARTS
+    n = rows.count()
+    # a source's words are whole rounds over its blocks and a rest, of which the last slot takes a part of a block
+    size, words = F.col("source_size"), F.least(F.floor(F.col("target") + 0.5), cap * F.col("source_size"))
+    goal = targets(rows, weights, cap).withColumns({"blocks": F.ceil(size / BLOCK), "words": words})
+    rest = F.coalesce(F.col("words") % F.nullif("source_size", F.lit(0)), F.lit(0))
+    rounds = F.coalesce(F.expr("words div nullif(source_size, 0)"), F.lit(0))
+    goal = goal.withColumns({"rest": rest, "slots": rounds * F.col("blocks") + F.ceil(rest / BLOCK)})
+    goal = written(goal.withColumn("last", F.when(F.col("rest") % BLOCK != 0, F.col("rest") % BLOCK)), "mix-targets")
+    n_slots = goal.agg(F.sum("slots")).first()[0] or 0
 
     # the shuffled order of each source, cut into blocks
     bits = max(0, math.ceil(math.log2(max(1, n / ROWS))))
     part = F.shiftright("key", 64 - bits) if bits else F.lit(0)
     laid = running_start(rows.where("size > 0"), "source", ["key", "row_id"], F.col("size"), part, "start")
-    sized = goal.select(F.col("source").alias("of"), F.col("block_size").alias("block_words"))
-    laid = laid.join(sized, F.col("source").eqNullSafe(F.col("of")))
-    end, block = F.col("start") + F.col("size"), F.col("block_words")
+    end, block = F.col("start") + F.col("size"), F.lit(BLOCK).cast("long")
     inside = laid.withColumn(
         "block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block)))
     ).select(
-        "row_id", "source", "block",
-        (F.least(end, (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)).alias("words"),
+        "row_id", "source", "block", (F.greatest("start", F.col("block") * block) - F.col("block") * block).alias("from"),
+        (F.least(end, (F.col("block") + 1) * block) - F.col("block") * block).alias("to"),
     )
 
     # slots: points through the cumulated targets, ranked within the source
-    stretch = running_sums(goal.where("parts > 0").select("source", "blocks", "parts"), by_source(), low=F.col("parts"))
-    ends = {"low": F.col("low") / F.lit(max(n_parts, 1)), "high": (F.col("low") + F.col("parts")) / F.lit(max(n_parts, 1))}
-    stretch = stretch.select("source", "blocks", *[c.alias(k) for k, c in ends.items()])
+    stretch = running_sums(goal.where("slots > 0").select("source", "blocks", "slots", "last"), by_source(), low=F.col("slots"))
+    ends = {"low": F.col("low") / F.lit(max(n_slots, 1)), "high": (F.col("low") + F.col("slots")) / F.lit(max(n_slots, 1))}
+    stretch = stretch.select("source", "blocks", "slots", "last", *[c.alias(k) for k, c in ends.items()])
     cells = F.sequence(F.floor(F.col("low") * CELLS), F.floor(F.col("high") * CELLS))
     stretch = stretch.withColumn("cell", F.explode(cells))
-    slots = spark.range(0, math.ceil(n_slots)).select(
-        F.col("id").alias("slot"), (((F.col("id") * GOLDEN + TURN // 2) % TURN) / TURN).alias("point")
-    )
+    slots = spark.range(0, n_slots).select(F.col("id").alias("slot"), point(F.col("id")).alias("point"))
     dealt = slots.withColumn("at", F.floor(F.col("point") * CELLS)).join(
         stretch, (F.col("at") == F.col("cell")) & (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))
     )
     dealt = running_start(dealt, "source", ["slot"], F.lit(1), F.floor(F.col("slot") / ROWS), "rank")
-    blocks = F.col("blocks")
-    taken_blocks = (
-        dealt.where(F.col("rank") < cap * blocks)
-        .withColumn("block", F.col("rank") % blocks)
-        .groupBy(F.col("source").alias("of"), F.col("block").alias("no"))
-        .agg(F.count("*").alias("times"))
+    # points fall near their number: a source's surplus slots are dropped, the few that it lacks come after all others
+    held = dealt.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("held"))
+    facts = ["source", "blocks", "slots", "last"]
+    lacking = goal.select(*facts).join(held, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    lacking = lacking.where("held < slots").select(*facts, F.explode(F.sequence(F.col("held"), F.col("slots") - 1)).alias("rank"))
+    slots = dealt.where("rank < slots").select(*facts, "rank").unionByName(lacking)
+    part = F.when(F.col("rank") == F.col("slots") - 1, F.col("last"))
+    taken_blocks = slots.groupBy(F.col("source").alias("of"), (F.col("rank") % F.col("blocks")).alias("no")).agg(
+        F.count_if(part.isNull()).alias("times"), F.max(part).alias("part")
     )
-
+    words = (F.col("to") - F.col("from")) * F.col("times") + F.greatest(F.lit(0), F.least("to", F.coalesce("part", F.lit(0))) - F.col("from"))
     taken = (
         inside.join(taken_blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("no")))
         .groupBy(F.col("row_id").alias("row"))
-        .agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        .agg(F.sum(words).alias("taken"))
     )
     return (
         rows.join(taken, F.col("row_id") == F.col("row"), "left")

@@ -147,30 +147,39 @@ def plain_mix(rows, key):
     for r in rows:
         sizes[r[2]] += words[r[0]]
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    target, most = plain_targets(sizes), max(1, min(mixing.BLOCK_MOST, sum(sizes.values()) // mixing.SLOTS))
-    block = {s: max(1, min(most, int(target[s] / mixing.LEAST_SLOTS))) for s in order}
-    blocks = {s: -(-sizes[s] // block[s]) for s in order}
-    parts = {s: int(target[s] * blocks[s] / sizes[s] * mixing.PARTS) if sizes[s] else 0 for s in order}
-    total, times = sum(parts.values()), defaultdict(int)
-    rank = defaultdict(int)
-    for i in range(-(-total // mixing.PARTS)):
-        point, low = ((i * mixing.GOLDEN + mixing.TURN // 2) % mixing.TURN) / mixing.TURN, 0
-        for s in order:
-            if low / total <= point < (low + parts[s]) / total:
-                if rank[s] < 3 * blocks[s]:
-                    times[s, rank[s] % blocks[s]] += 1
-                rank[s] += 1
-            low += parts[s]
+    target, size = plain_targets(sizes), mixing.BLOCK
+    goal = {s: min(int(target[s] + 0.5), 3 * sizes[s]) for s in order}
+    blocks = {s: -(-sizes[s] // size) for s in order}
+    rest = {s: goal[s] % sizes[s] if sizes[s] else 0 for s in order}
+    slots = {s: (goal[s] // sizes[s] if sizes[s] else 0) * blocks[s] + -(-rest[s] // size) for s in order}
+    total, use, rank = sum(slots.values()), defaultdict(list), defaultdict(int)
+    points = [((i * mixing.GOLDEN + mixing.TURN // 2) % mixing.TURN) / mixing.TURN for i in range(total)]
+    dealt, low = [], 0
+    for s in order:
+        dealt += [s for p in points if low / total <= p < (low + slots[s]) / total]
+        low += slots[s]
+    for s in dealt + [s for s in order for _ in range(slots[s])]:
+        if rank[s] < slots[s]:
+            use[s, rank[s] % blocks[s]].append(rest[s] % size or size if rank[s] == slots[s] - 1 else size)
+            rank[s] += 1
     taken = {}
     for s in order:
         at = 0
         for r in sorted((r for r in rows if r[2] == s), key=lambda r: key[r[0]]):
             n = words[r[0]]
-            taken[r[0]] = sum(times[s, (at + w) // block[s]] for w in range(n))
+            taken[r[0]] = sum(sum((at + w) % size < part for part in use[s, (at + w) // size]) for w in range(n))
             at += n
     return taken
 
 
+@pytest.mark.parametrize("first", [0, 2**32 - 3, 10**11, 10**17])
+def test_points_of_far_slots_are_exact_and_even(spark, first):
+    ids = range(first, first + 2000)
+    got = [r.p for r in spark.range(first, first + 2000).select("id", mixing.point(F.col("id")).alias("p")).orderBy("id").collect()]
+    assert got == [((i * mixing.GOLDEN + mixing.TURN // 2) % mixing.TURN) / mixing.TURN for i in ids]
+    assert all(abs(sum(p < x for p in got) / len(got) - x) < 0.005 for x in (0.1, 0.25, 0.5, 0.77)) and len(set(got)) == len(got)
+
+
 def test_mix_follows_the_plain_schedule(frame):
     rows = [(i, "w " * (1 + i * 7 % 50) if i % 11 else None, ("a", "b", None, "d")[min(3, i % 9)]) for i in range(90)]
     docs = frame([(i, t, None, s, 0, None, 0) for i, t, s in rows], DOCS)
