@@ -2,7 +2,7 @@
 
 The key of a document is the 64-bit hash of its normalised text. A directory of
 2**g slots, one for each value of the first g bits, leads to buckets: a bucket that
-holds more than ``capacity`` keys is split on its next bit, and the directory doubles
+holds more than ``capacity`` keys, or BYTES of text, is split on its next bit, and the directory doubles
 when the split bucket was as deep as the directory. So a bucket's depth is the first
 at which its keys fit, and the directory's depth that of its deepest bucket.
 
@@ -30,8 +30,8 @@ from pyspark.sql.window import Window
 
 from tablewright.llm.common import SPACE, body, fresh, table, written
 
-#: Keys that a bucket may hold before it is split; bits beyond the even split that splitting may use.
-CAPACITY, SPARE_BITS = 16384, 4
+#: Keys, and bytes of all their texts, that a bucket may hold before it is split; bits beyond the even split that splitting may use.
+CAPACITY, BYTES, SPARE_BITS = 16384, 32 << 20, 4
 
 #: A text with more than 1/HOT of all rows (and HOT_LEAST rows) is split among several tasks.
 HOT, HOT_LEAST = 1024, 4096
@@ -50,20 +50,24 @@ def slot(hashed: Column, bits: int) -> Column:
     return F.shiftrightunsigned(hashed, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def directory(hashes: DataFrame, n: int, capacity: int) -> tuple[DataFrame, int]:
+def directory(hashes: DataFrame, n: int, capacity: int, total: int = 0) -> tuple[DataFrame, int]:
     """(slots, depth): the bucket and local depth of each slot that leads to a key, and the directory's depth.
 
-    hashes are the n distinct keys (column hash). They are counted by leaves, their
+    hashes are the n distinct keys (column hash), with the bytes of text that meet at
+    each (column bytes, total in all; none if it is absent). They are counted by leaves, their
     first bits up to the deepest split; the keys below every possible bucket are sums
     of leaves, and a leaf belongs to the first bucket on its way down that fits. A
     bucket is named by its first leaf, so names survive doubling. A leaf that holds
-    more than capacity, as only an uneven hash makes it, stays one bucket.
+    more than capacity, as an uneven hash or one very long text makes it, stays one bucket.
     """
-    bits = min(40, max(0, math.ceil(math.log2(max(n, 1) / capacity))) + SPARE_BITS)
-    leaves = hashes.groupBy(slot(F.col("hash"), bits).alias("leaf")).agg(F.count("*").alias("keys"))
+    bits = min(40, max(0, math.ceil(math.log2(max(n / capacity, total / BYTES, 1)))) + SPARE_BITS)
+    if "bytes" not in hashes.columns:
+        hashes = hashes.withColumn("bytes", F.lit(0))
+    leaves = hashes.groupBy(slot(F.col("hash"), bits).alias("leaf")).agg(F.count("*").alias("keys"), F.sum("bytes").alias("bytes"))
     ways = leaves.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(bits))))
     ways = ways.withColumn("first", F.expr(f"(leaf >> ({bits} - depth)) << ({bits} - depth)"))
-    fitting = ways.groupBy("depth", "first").agg(F.sum("keys").alias("held")).where((F.col("held") <= capacity) | (F.col("depth") == bits))
+    fitting = ways.groupBy("depth", "first").agg(F.sum("keys").alias("held"), F.sum("bytes").alias("bytes"))
+    fitting = fitting.where(((F.col("held") <= capacity) & (F.col("bytes") <= BYTES)) | (F.col("depth") == bits)).drop("bytes")
     own = ways.join(fitting, ["depth", "first"]).groupBy("leaf").agg(F.min(F.struct("depth", "first")).alias("b"))
     leaves = written(own.select("leaf", F.col("b.first").alias("bucket"), F.col("b.depth").alias("local_depth")), "dedup-leaves")
     depth = leaves.agg(F.max("local_depth")).first()[0] or 0
@@ -93,29 +97,30 @@ def index_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, hot_lea
         text.select(
             F.monotonically_increasing_id().alias("row_id"), "doc_id", F.length("text").cast("long").alias("n_chars"), norm.alias("norm"),
         ).select(
-            "row_id", "doc_id", "n_chars", F.xxhash64("norm").alias("hash"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
+            "row_id", "doc_id", "n_chars", F.octet_length("norm").alias("n_bytes"), F.xxhash64("norm").alias("hash"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
         ),
         "dedup-keys",
     )
-    counts = written(keys.groupBy("hash").agg(F.count("*").alias("rows")), "dedup-counts")
+    counts = written(keys.groupBy("hash").agg(F.count("*").alias("rows"), F.max("n_bytes").cast("long").alias("n_bytes")), "dedup-counts")
     n, distinct = counts.agg(F.sum("rows"), F.count("*")).first()
-    slots, depth = directory(counts, distinct, capacity)
     share = max(hot_least, (n or 0) // HOT)
+    weighed = counts.select("hash", (F.least("rows", F.lit(share)) * F.col("n_bytes")).alias("bytes"))  # of a hot text, those of one salt
+    slots, depth = directory(weighed, distinct, capacity, weighed.agg(F.sum("bytes")).first()[0] or 0)
     hot = counts.where(F.col("rows") > share).select(F.col("hash").alias("hot"), F.ceil(F.col("rows") / share).alias("salts"))
 
     def routed(rows: DataFrame) -> DataFrame:
-        """rows with the bucket of their hash, and a salt, which is 0 but for hot texts."""
+        """rows with the bucket of their hash, and a salt, which is 0 but for hot texts and comes from the row's number at the scan."""
         rows = rows.join(slots.select("slot", "bucket"), slot(F.col("hash"), depth) == F.col("slot")).drop("slot")
         rows = rows.join(F.broadcast(hot), F.col("hash") == F.col("hot"), "left")
-        salt = F.when(F.col("salts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("salts"))).otherwise(0)
+        salt = F.when(F.col("salts").isNotNull(), F.pmod(F.col("row_id"), F.col("salts"))).otherwise(0)
         return rows.withColumn("salt", salt).drop("hot", "salts")
 
     rank = F.coalesce(
         F.lit(9223372036854775807).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)") + 1, F.lit(0)
     )
     unit = F.expr(f"{_UNIT}BD")
-    rows = text.select("doc_id", F.length("text").alias("n_chars"), norm.alias("norm")).select(
-        F.xxhash64("norm").alias("hash"), "norm", (F.col("n_chars").cast("decimal(10,0)") * unit + rank).alias("best")
+    rows = text.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.length("text").alias("n_chars"), norm.alias("norm")).select(
+        "row_id", F.xxhash64("norm").alias("hash"), "norm", (F.col("n_chars").cast("decimal(10,0)") * unit + rank).alias("best")
     )
     owned = written(
         routed(rows)
@@ -167,15 +172,14 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A repeated row (same id, equal text) stays once, in its longest form.
     """
-    ids = fresh("kept_id", docs.columns)
-    sha, rn = fresh("text_key", docs.columns), fresh("copy_no", docs.columns)
+    ids, sha, own, rn = (fresh(x, docs.columns) for x in ("kept_id", "text_key", "kept_key", "copy_no"))
     kept = (
         exact_dedup(docs, id_col, text_col)
         .where("kept")
-        .select(F.col("doc_id").alias(ids), F.col("text_sha256").alias(f"{sha}_k"))
+        .select(F.col("doc_id").alias(ids), F.col("text_sha256").alias(own))
     )
     keyed = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    found = keyed.join(kept, F.col(id_col).eqNullSafe(F.col(ids)) & (F.col(sha) == F.col(f"{sha}_k")), "left_semi")
+    found = keyed.join(kept, F.col(id_col).eqNullSafe(F.col(ids)) & (F.col(sha) == F.col(own)), "left_semi")
     turn = Window.partitionBy(id_col, sha).orderBy(F.length(text_col).desc())
     return found.withColumn(rn, F.row_number().over(turn)).where(F.col(rn) == 1).select(*docs.columns)
 

@@ -79,6 +79,9 @@ def test_directory_doubles_until_buckets_fit(spark, n, capacity):
 
 
 def test_directory_of_nothing(spark):
+    heavy = hashed(spark, 100).withColumn("bytes", F.lit(exact_dedup.BYTES // 10))
+    found = exact_dedup.directory(heavy, 100, 10**6, 10 * exact_dedup.BYTES)[0].select("bucket").distinct().count()
+    assert found >= 10  # few keys, split by the bytes that meet at them
     slots, depth = exact_dedup.directory(hashed(spark, 0), 0, 4)
     assert slots.collect() == [] and depth == 0
 
@@ -251,6 +254,13 @@ def test_url_verdicts_follow_the_rules(frame, spark):
     assert url_filter.url_verdicts(frame([], "page_id long, url string")).collect() == []
 
 
+def test_dedup_documents_with_names_of_its_own(frame):
+    rows = [(1, "a b", "l", "s", 1, "x", "y"), (2, "ab", "l", "s", 1, "x", "y")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, text_key string, text_key_k string"
+    got = exact_dedup.dedup_documents(frame(rows, schema)).collect()
+    assert [r.doc_id for r in got] == [1]
+
+
 def auc(scores, labels):
     pairs = [(p > q) + 0.5 * (p == q) for p, v in zip(scores, labels, strict=True) if v for q, w in zip(scores, labels, strict=True) if not w]
     return sum(pairs) / len(pairs)
