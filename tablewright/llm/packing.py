@@ -117,12 +117,19 @@ class Bins:
         self.room[other] -= moved
 
     def sums(self, b: int, most: int) -> dict[int, list[int]]:
-        """At most most of the items of b, none too, by the sum of their lengths."""
-        n, own = self.lengths, self.items[b]
+        """At most most (1 or 2) of the items of b, none too, by the sum of their lengths.
+
+        Items of one length are alike, and different lengths that fit a bin together
+        are few, so full bins of small items cost no more than others.
+        """
+        own: dict[int, list[int]] = {}
+        for i in self.items[b]:
+            own.setdefault(int(self.lengths[i]), []).append(i)
         found: dict[int, list[int]] = {0: []}
         if most > 1:
-            found.update((n[i] + n[j], [i, j]) for x, i in enumerate(own) for j in own[x + 1 :])
-        found.update((n[i], [i]) for i in own)
+            found.update((2 * n, same[:2]) for n, same in own.items() if len(same) > 1)
+            found.update((n + m, [own[n][0], own[m][0]]) for x, n in enumerate(own) for m in list(own)[x + 1 :])
+        found.update((n, same[:1]) for n, same in own.items())
         return found
 
     def gains(self, b: int, most: int) -> np.ndarray:
@@ -133,7 +140,7 @@ class Bins:
         at = np.minimum(np.searchsorted(takes, given - self.room[b]), len(takes) - 1)
         return np.maximum(given - takes[at], 0) * (takes[at] >= given - self.room[b])
 
-    def improve(self, most: int = 24) -> None:
+    def improve(self) -> None:
         """Take each bin, the emptiest first, as donor and trade with bins that are at
         least as full, again and again until no trade is left or no packing could have
         fewer bins.
@@ -142,11 +149,10 @@ class Bins:
         fuller bin fuller, so the sum of squared fills grows and the search ends. Of all
         trades of a donor the one that leaves least room is made. What each bin could
         gain from each length is kept in a table, and only the two bins of a trade are
-        computed anew. Bins with over most items don't trade; best fit has left them
-        full or nearly so.
+        computed anew.
         """
         least, left = self.least(), sum(map(bool, self.items))
-        bins = [b for b, r in enumerate(self.room) if r and self.items[b] and len(self.items[b]) <= most]
+        bins = [b for b, r in enumerate(self.room) if r and self.items[b]]
         if left <= least or len(bins) < 2:
             return
         room = np.array([self.room[b] for b in bins])
@@ -156,7 +162,7 @@ class Bins:
             b = bins[x]
             room[x] = self.room[b]
             for k in (0, 1):
-                trading = self.items[b] and self.room[b] and len(self.items[b]) <= most
+                trading = self.items[b] and self.room[b]
                 gain[k, x] = self.gains(b, k + 1) if trading else 0
 
         for x in range(len(bins)):
@@ -166,7 +172,7 @@ class Bins:
             going = False
             for donor in np.argsort(-room, kind="stable").tolist():
                 d = bins[donor]
-                while self.room[d] and self.items[d] and len(self.items[d]) <= most:
+                while self.room[d] and self.items[d]:
                     fuller = np.flatnonzero((room <= room[donor]) & (room > 0))
                     fuller = fuller[fuller != donor]
                     best = None
