@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablewright.domain import FIELDS
@@ -147,6 +147,15 @@ def status_counts(results: DataFrame, status: str = "run_status") -> DataFrame:
     )
 
 
+def observed(results: DataFrame, status: str = "run_status") -> tuple[DataFrame, Observation]:
+    """results, and status_counts() of them that come by the way when they are written or collected."""
+    s, seen = F.col(status), Observation("runs")
+    return results.observe(
+        seen, F.count_if(s == "done").alias("accepted"), F.count_if(s == "review").alias("review"),
+        F.count_if(s == "error").alias("error"), F.count_if(s.isin("pending", "running")).alias("waiting"),
+    ), seen
+
+
 def status_rollup(results: DataFrame, brand: str = "brand", system: str = "size_system", status: str = "run_status") -> DataFrame:
     """requests by brand, system and status with the totals of each, of both and of all, in one pass.
 

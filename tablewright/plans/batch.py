@@ -1,7 +1,7 @@
 """The whole plan: requests and documents in, guides and reports out, set by set.
 
 Documents are parsed and described once, whatever the number of requests. Requests
-walk from their page over at most HOPS links; each hop is one round of joins over all
+walk from their page over at most HOPS links, equal questions as one; each hop is one round of joins over all
 requests at once, and its tables are written to the shared folder, so that plans stay
 small. Both attempts (the size system asked for, and the fallback) run side by side.
 """
@@ -18,6 +18,7 @@ from tablewright.domain import FIELDS
 from tablewright.functions import categories, navigation, sizes, urls
 from tablewright.functions.text import slug, text_or_null
 from tablewright.operators import candidates, export, links, markdown, matrix, redirects, select, validate, versions
+from tablewright.sources import files
 from tablewright.sources import html as pages
 from tablewright.sources.requests import COLUMNS, chosen_documents, guard
 from tablewright.sources.shared import written
@@ -26,6 +27,8 @@ from tablewright.sources.sinks import payload
 HOPS = 2
 DOC = ["doc_url", "renderer"]
 KEY = ["request_id", "attempt"]
+#: What of an attempt decides its answer; brand, name and issues of the request don't.
+QUESTION = ["size_guide_url", "fallback_urls", "asked_category", "asked_system", "asked_audience"]
 STEP = "struct<kind:string,url:string,label:string,confidence:double,reasons:array<string>>"
 
 
@@ -52,10 +55,14 @@ def read_corpus(documents: DataFrame, moment=None, steps: DataFrame | None = Non
     if steps is not None:
         documents = redirects.with_final_urls(documents, steps)
     docs = versions.one_version(documents, moment)
-    failed = written(docs.where("failure IS NOT NULL").select("url", "renderer", "failure"), "failed")
+    failed = written(docs.where("failure IS NOT NULL").select("url", "renderer", "failure"), "failed")  # the reject channel of fetch and parser
     docs = docs.where("failure IS NULL").select(*names).withColumns({c: F.coalesce(c, F.lit("")) for c in ("html", "markdown")})
     docs = written(pages.with_markdown(docs), "documents")
-    parsed = written(pages.parse(docs), "parsed").withColumnRenamed("url", "doc_url")
+    every = written(pages.parse(docs), "parsed")
+    broken = every.where("error IS NOT NULL").select("url", "renderer", F.concat(F.lit("parse-error "), "error").alias("failure"))
+    failed = failed.unionByName(broken)
+    parsed = every.where("error IS NULL").drop("error").withColumnRenamed("url", "doc_url")
+    docs = docs.join(broken.select("url", "renderer"), ["url", "renderer"], "left_anti")
     keyed = docs.select(F.col("url").alias("doc_url"), "renderer", F.coalesce("source_url", "url").alias("url"), "html", "markdown")
     lines = written(markdown.lines(keyed, DOC), "lines")
 
@@ -115,6 +122,22 @@ def attempts(requests: DataFrame) -> DataFrame:
     )
 
 
+def questions(asked: DataFrame) -> DataFrame:
+    """The frontier that the attempts begin with: one row for all attempts that ask the same of the same page.
+
+    Requests of a popular page are many, what they ask is little: links are scored and
+    candidates chosen once for each question, which stands in for a request until answered().
+    """
+    same = [F.first(c).alias(c) for c in (*QUESTION, "trace")]
+    one = asked.where("barred IS NULL").groupBy("question").agg(*same).withColumnRenamed("question", "request_id")
+    return one.withColumns({"attempt": F.lit(0), "doc_url": F.col("size_guide_url"), "navigation": F.lit(0.0), "link_followed": F.lit(False)})
+
+
+def answered(found: DataFrame, of: DataFrame) -> DataFrame:
+    """What was found for questions, for each attempt that asked them; of holds question, request, attempt and first step."""
+    return found.join(of, F.col("request_id") == F.col("_q")).drop(*KEY, "_q").withColumnsRenamed({f"_{k}": k for k in KEY})
+
+
 def look(frontier: DataFrame, corpus: Corpus, hop: int) -> tuple[DataFrame, DataFrame]:
     """Classify the frontier's documents: (frontier with kind and the link to follow, scored candidates)."""
     here = frontier.join(corpus.facts, DOC)
@@ -251,14 +274,15 @@ def resolve(
     corpus = read_corpus(documents, moment, steps)
     names = [c for c in requests.columns if c in ("request_id", *COLUMNS)]
     requests = requests.groupBy("request_id").agg(F.min(F.struct(*[c for c in names if c != "request_id"])).alias("_r")).select("request_id", "_r.*")
-    asked = written(attempts(requests), "attempts")
-    start = asked.withColumns({"doc_url": F.col("size_guide_url"), "navigation": F.lit(0.0), "link_followed": F.lit(False)})
+    asked = attempts(requests).withColumn("question", F.sha2(F.to_json(F.struct(*QUESTION), {"ignoreNullFields": "false"}), 256))
+    asked = written(asked, "attempts")
     chosen = corpus.chosen.toDF("doc_url", "_doc", "renderer")
-    open_ = start.where("barred IS NULL").drop("barred").join(chosen, "doc_url").withColumn("doc_url", F.col("_doc")).drop("_doc")
-    done, found = walk(open_, corpus)
-    final = _all(done)
-    chosen = _all(found).where("selected")
-    validated, own = _rows(chosen, external)
+    done, found = walk(questions(asked).join(chosen, "doc_url").withColumn("doc_url", F.col("_doc")).drop("_doc"), corpus)
+    final, picked = _all(done), _all(found).where("selected")
+    validated, own = _rows(picked, external)
+    of = asked.where("barred IS NULL").select(F.col("question").alias("_q"), *[F.col(k).alias(f"_{k}") for k in KEY], F.get("trace", F.lit(0)).alias("_first"))
+    final = answered(final, of).withColumn("trace", F.concat(F.array("_first"), F.slice("trace", F.lit(2), F.size("trace")))).drop("_first")
+    validated, own = (answered(df, of).drop("_first") for df in (validated, own))
     if external is not None:
         other = external_sizes(external)
         validated = written(_with_external(validated, other), "validated")
@@ -446,11 +470,17 @@ def strict_guides(reports: DataFrame, sizes_: DataFrame) -> DataFrame:
     )
 
 
-def export_files(reports: DataFrame, sizes_: DataFrame) -> DataFrame:
-    """export_kind, file and json of both exports of every guide, for sinks.write_exports()."""
+def export_files(reports: DataFrame, sizes_: DataFrame, pretty: bool = False) -> DataFrame:
+    """export_kind, file and json of both exports of every guide, for sinks.write_exports() and write_guides()."""
     payloads = import_payloads(reports, sizes_)
-    wide = payloads.select(F.lit("shopping-assistant").alias("export_kind"), "file", payload(brand=F.col("payload.brand"), guide=F.col("payload.guide")).alias("json"))
+    wide = payloads.select(F.lit("shopping-assistant").alias("export_kind"), "file", payload(pretty, brand=F.col("payload.brand"), guide=F.col("payload.guide")).alias("json"))
     strict = strict_guides(reports, sizes_).join(payloads.select("request_id", "file"), "request_id")
     return wide.unionByName(
-        strict.select(F.lit("strict").alias("export_kind"), "file", payload(brand=F.col("brand"), source_url=F.col("source_url"), error=F.col("error"), sizes=F.col("sizes"), confidence=F.col("confidence")).alias("json"))
+        strict.select(F.lit("strict").alias("export_kind"), "file", payload(pretty, brand=F.col("brand"), source_url=F.col("source_url"), error=F.col("error"), sizes=F.col("sizes"), confidence=F.col("confidence")).alias("json"))
     )
+
+
+def write_guides(reports: DataFrame, sizes_: DataFrame, path: str, form: str = "files") -> None:
+    """A pretty file for each guide and export below path, or with form zip archives of both folders (files.write_files)."""
+    made = export_files(reports, sizes_, pretty=True)
+    files.write_files(made.select(F.col("export_kind").alias("folder"), "file", F.col("json").alias("text")), path, form)

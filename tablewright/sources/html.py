@@ -42,7 +42,7 @@ ADVICE = re.compile(r"(?i)size|taille|fit|measure|guide")
 SCHEMA = (
     "url string, renderer string, n_tables int, body string, "
     "tables array<struct<ord:int,kind:string,matrix:array<array<string>>,heading_path:array<string>,title:string,subheading:string,nearby:string>>, "
-    "links array<struct<ord:int,href:string,label:string,heading_path:array<string>,nearby:string>>"
+    "links array<struct<ord:int,href:string,label:string,heading_path:array<string>,nearby:string>>, error string"
 )
 
 
@@ -377,20 +377,26 @@ def links_of(root: Node) -> list[tuple]:
 
 
 def parse(documents: DataFrame) -> DataFrame:
-    """url, renderer, n_tables, body, tables and links of documents (url, renderer, html).
+    """url, renderer, n_tables, body, tables, links and error of documents (url, renderer, html).
 
-    A null or broken html gives empty lists. The whole html is parsed.
+    A null html gives empty lists. The whole html is parsed. A document that makes the
+    parser raise has what it raised as its error and nothing else; the others don't suffer.
     """
 
+    def read(html: str) -> tuple:
+        root = parsed(html)
+        nodes = [n for n in root.walk() if n.is_table()]
+        return len(nodes), clean(root.text(frozenset(("head", *RAW)))), tables_of(root), links_of(root), None
+
     def run(batches):
         for part in batches:
             rows = []
             for url, renderer, html in zip(part["url"], part["renderer"], part["html"], strict=True):
-                root = parsed(html or "")
-                nodes = [n for n in root.walk() if n.is_table()]
-                body = clean(root.text(frozenset(("head", *RAW))))
-                rows.append((url, renderer, len(nodes), body, tables_of(root), links_of(root)))
-            yield pd.DataFrame(rows, columns=["url", "renderer", "n_tables", "body", "tables", "links"])
+                try:
+                    rows.append((url, renderer, *read(html or "")))
+                except Exception as e:  # the page is at fault, and named
+                    rows.append((url, renderer, 0, "", [], [], f"{type(e).__name__}: {e}"[:300]))
+            yield pd.DataFrame(rows, columns=["url", "renderer", "n_tables", "body", "tables", "links", "error"])
 
     return documents.select("url", "renderer", "html").mapInPandas(run, SCHEMA)
 
@@ -413,13 +419,19 @@ def to_markdown(html: str) -> str:
 
 
 def with_markdown(documents: DataFrame) -> DataFrame:
-    """documents with markdown filled in from the html where it is missing."""
+    """documents with markdown filled in from the html where it is missing; empty where that can't be parsed."""
     names = documents.columns
 
+    def made(html: str) -> str:
+        try:
+            return to_markdown(html)
+        except Exception:  # parse() names the error
+            return ""
+
     def run(batches):
         for part in batches:
             blank = part["markdown"].isna() | (part["markdown"] == "")
-            part.loc[blank, "markdown"] = part.loc[blank, "html"].map(to_markdown)
+            part.loc[blank, "markdown"] = part.loc[blank, "html"].map(made)
             yield part[names]
 
     return documents.mapInPandas(run, documents.schema)

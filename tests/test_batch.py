@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators import export
 from tablewright.plans import batch
-from tablewright.sources import requests, sinks
+from tablewright.sources import files, requests, sinks
 from tablewright.streaming.requests import run_uploads, stream_uploads
 
 TOPS = "\n".join(
@@ -133,6 +133,34 @@ def test_strict_guides_and_files(resolved, spark, tmp_path):
     assert shown[resolved[2]["H"].request_id] == ["chest", "sleeve"]
 
 
+def test_a_file_a_guide_and_an_archive(resolved, spark, tmp_path):
+    reports, own, _ = resolved
+    want = {(r.export_kind, r.file): r.json for r in batch.export_files(reports, own, pretty=True).collect()}
+    assert len(want) == 6 and all("\n" in x for x in want.values())
+    for form in ("files", "zip"):
+        path = str(tmp_path / form)
+        batch.write_guides(reports, own, path, form)
+        got = files.read_files(spark, path).collect()
+        assert len(got) == 6 and {(r.folder, r.file): r.text for r in got} == want
+    (tmp_path / "zip" / "half.zip").write_bytes(b"PK")
+    assert files.read_files(spark, str(tmp_path / "zip")).count() == 6
+
+
+def test_failed_and_repeated_tasks_leave_no_files(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.range(40).repartition(4).select(F.lit("f").alias("folder"), F.lit("x.json").alias("file"), F.col("id").cast("string").alias("text"))
+    with pytest.raises(Exception, match="USER_RAISED_EXCEPTION"):
+        files.write_files(rows.withColumn("text", F.when(F.col("text") == "33", F.raise_error(F.lit("no"))).otherwise(F.col("text"))), path)
+    assert files.parts_of(path) == [] and files.read_files(spark, path).collect() == []
+    writer = files.FilesWriter(path, "files")
+    some = rows.limit(5).collect()
+    writer.write(iter(some[:3]))  # an attempt that was lost after it wrote
+    writer.commit([writer.write(iter(some)), writer.write(iter([])), None])
+    assert sorted(r.text for r in files.read_files(spark, path).collect()) == sorted(r.text for r in some)
+    files.write_files(rows, path)  # 40 files of one name: numbered, none lost
+    assert files.read_files(spark, path).count() == 45
+
+
 def test_near_equal_requests_stay_apart(spark):
     base = {"brand": "A", "url": "http://a.com/tops"}
     asked = [base, {**base, "category": "tshirts"}, {**base, "sizeSystem": "tshirts"}, {**base, "category": "tshirts", "fallbackSizeSystem": "INT"}, {**base, "name": "x"}, base]

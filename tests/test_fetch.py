@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import urls
-from tablewright.operators import redirects, versions
+from tablewright.operators import export, redirects, versions
 from tablewright.plans import batch
 from tests.test_batch import TOPS
 
@@ -116,16 +116,38 @@ def test_failed_repeated_and_redirected_documents(spark):
         ("http://a.com/tops", "rendered", None, "", TOPS, 200), ("http://a.com/tops", "rendered", None, "", TOPS + "\n", 200),
         ("http://b.com/size-guide/mens-tops", "static", None, dead_end, "", 200), ("http://b.com/size-guide/mens-tops", "rendered", None, "", "", 502),
         ("http://c.com/tops", "static", None, "", "", 500), ("http://e.com/new/tops", "rendered", None, "", TOPS, 200),
+        ("http://f.com/tops", "static", None, "<h1>Tops size guide</h1><![xyz[ 1 ]]>", "", 200),
     ]
     docs = spark.createDataFrame(rows, MADE + ", status int")
     steps = spark.createDataFrame([("http://d.com/old", "http://e.com/mid"), ("http://e.com/mid", "http://e.com/new/tops")], "url string, to string")
     pairs = [("A", "http://a.com/tops"), ("A", "http://a.com/tops"), ("B", "http://b.com/size-guide/mens-tops"), ("C", "http://c.com/tops"), ("D", "http://d.com/old")]
+    pairs += [("F", "http://f.com/tops"), ("G", "http://a.com/tops"), ("H", "http://a.com/tops")]
     reports, sizes = batch.resolve(asked(spark, pairs), docs, steps=steps)
     by = {r.request_id: r for r in reports.collect()}
     codes = {k: [i.code for i in r.all_issues] for k, r in by.items()}
-    assert len(by) == 4 and by["A"].has_guide and by["A"].n_candidates == 1
+    assert len(by) == 7 and by["A"].has_guide and by["A"].n_candidates == 1
     assert sizes.where("request_id = 'A'").count() == 7
     assert "rendered-refetch-failed" in codes["B"] and not by["B"].has_guide
     assert [i.details for i in by["B"].all_issues if i.code == "rendered-refetch-failed"] == [["http-status 502"]]
     assert codes["C"] == ["server-error"] and by["C"].all_issues[0].details == ["static http-status 500"] and by["C"].run_status == "error"
     assert by["D"].has_guide and by["D"].doc_url == "http://e.com/new/tops"
+    # a page that the parser can't take is told of, and the others are read
+    assert codes["F"] == ["server-error"] and by["F"].all_issues[0].details[0].startswith("static parse-error AssertionError")
+    # equal questions have equal answers, each with its own request in the trace
+    for k in "GH":
+        assert by[k].has_guide and by[k].trace[0].label == k and by[k].score == by["A"].score
+    assert sizes.where("request_id = 'G'").count() == 7
+    seen, counts = export.observed(reports)
+    seen.write.format("noop").mode("overwrite").save()
+    assert counts.get == export.status_counts(reports).first().asDict() == {"accepted": 4, "review": counts.get["review"], "error": counts.get["error"], "waiting": 0}
+
+
+def test_links_are_scored_once_for_equal_questions(spark):
+    hub = '<html><body><h1>Help</h1><a href="/size-guide/men-tops">Men\'s tops size guide</a></body></html>'
+    docs = spark.createDataFrame([("http://b.com/help", "static", None, hub, ""), ("http://b.com/size-guide/men-tops", "rendered", None, "", TOPS)], MADE)
+    pairs = [(f"r{i}", "http://b.com/help") for i in range(300)]
+    ask = batch.attempts(asked(spark, pairs)).withColumn("question", F.lit("same"))
+    assert batch.questions(ask).count() == 1
+    reports, sizes = batch.resolve(asked(spark, pairs), docs)
+    assert reports.where("has_guide AND hop = 1").count() == 300 and sizes.count() == 2100
+    assert reports.select("trace").distinct().count() == 300
