@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from tablewright.domain import FIELDS
 from tablewright.functions import categories, navigation, sizes, urls
 from tablewright.functions.text import slug, text_or_null
-from tablewright.operators import candidates, export, links, markdown, matrix, redirects, select, validate, versions
+from tablewright.operators import candidates, export, links, markdown, matrix, outbox, redirects, select, validate, versions
 from tablewright.sources import files
 from tablewright.sources import html as pages
 from tablewright.sources.requests import COLUMNS, chosen_documents, guard
@@ -255,8 +255,9 @@ def _rows(cands: DataFrame, external: DataFrame | None) -> tuple[DataFrame, Data
 
 
 def resolve(
-    requests: DataFrame, documents: DataFrame, external: DataFrame | None = None, moment=None, steps: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
+    requests: DataFrame, documents: DataFrame, external: DataFrame | None = None, moment=None, steps: DataFrame | None = None,
+    inbox: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(reports, sizes) of normalised requests against documents.
 
     A report holds status, issues (code, severity, details), document kind, hops,
@@ -269,7 +270,9 @@ def resolve(
     versions (fetched_at, status, content_type; moment chooses) and with redirects (steps);
     see read_corpus(). A request whose page's fetch failed is a server-error that names
     why, and so is, as rendered-refetch-failed, a second look that had to fail. Of requests
-    with the same request_id the first by all their columns counts.
+    with the same request_id the first by all their columns counts. With an inbox (see
+    operators/outbox.py) reports say what was asked of another extraction and how it
+    answered, and its rows are the external ones; outbox.pending() of the reports is what is left to ask.
     """
     corpus = read_corpus(documents, moment, steps)
     names = [c for c in requests.columns if c in ("request_id", *COLUMNS)]
@@ -283,6 +286,14 @@ def resolve(
     of = asked.where("barred IS NULL").select(F.col("question").alias("_q"), *[F.col(k).alias(f"_{k}") for k in KEY], F.get("trace", F.lit(0)).alias("_first"))
     final = answered(final, of).withColumn("trace", F.concat(F.array("_first"), F.slice("trace", F.lit(2), F.size("trace")))).drop("_first")
     validated, own = (answered(df, of).drop("_first") for df in (validated, own))
+    told = None
+    if inbox is not None:
+        validated = written(validated, "validated")
+        asks = outbox.asks(validated, KEY)
+        first = asks.groupBy("request_id").agg(F.min("attempt").alias("attempt"))  # one answer a request
+        answered_rows, told = outbox.answers(written(asks.join(first, KEY), "asks"), inbox, KEY)
+        given = answered_rows.drop("attempt")
+        external = given if external is None else external.unionByName(given, allowMissingColumns=True)
     if external is not None:
         other = external_sizes(external)
         validated = written(_with_external(validated, other), "validated")
@@ -295,6 +306,10 @@ def resolve(
     ).join(validated.select(*KEY, *[F.col(c) for c in keep]), KEY, "left")
     lost = corpus.failed.groupBy(F.col("url").alias("lost_url")).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "renderer", "failure"))).alias("lost"))
     out = out.join(lost, F.col("size_guide_url") == F.col("lost_url"), "left").drop("lost_url")
+    if told is not None:
+        out = out.join(told, KEY, "left")
+    else:
+        out = out.withColumn("external_outcome", F.lit(None).cast("string")).withColumn("external_message", F.lit(None).cast("string"))
     hub = F.col("document_kind") == "guide-hub-page"
     many = F.size(F.coalesce("families", F.array().cast("array<string>"))) > 1
     picked = F.coalesce("has_selected", F.lit(False))
@@ -311,6 +326,7 @@ def resolve(
         validate.issue(~many & ~picked & (F.col("n_candidates") > 0), "no-unique-section-match"),
         validate.issue(picked & (F.size("request_issues") > 0), "invalid-request"),
         validate.issue((F.col("hop") > 0) & ~picked, "no-valid-followed-guide"),
+        validate.issue(F.col("external_outcome") == "error", "llm-fallback-error", "warning", F.array_compact(F.array("external_message"))),
         validate.issue(F.size(F.coalesce("external_warnings", F.array().cast("array<string>"))) > 0, "llm-warning", "warning", F.col("external_warnings")),
     )
     none = F.array().cast(f"array<{validate.ISSUE}>")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import export
+from tablewright.operators import export, outbox
 from tablewright.plans import batch
 from tablewright.sources import files, requests, sinks
 from tablewright.streaming.requests import run_uploads, stream_uploads
@@ -161,6 +161,35 @@ def test_failed_and_repeated_tasks_leave_no_files(spark, tmp_path):
     assert files.read_files(spark, path).count() == 45
 
 
+def test_outbox_and_inbox(spark):
+    """Equal sections are asked once; answers count with allowed fields only; a rerun asks what is left."""
+    docs = spark.createDataFrame(
+        [(f"http://{h}.com/tops", "rendered", None, "", EMPTY) for h in ("h", "i")] + [("http://j.com/tops", "rendered", None, "", EMPTY.replace("| S |", "| XL |"))],
+        "url string, renderer string, source_url string, html string, markdown string",
+    )
+    ask = [{"brand": b, "url": f"http://{h}.com/tops", "category": "tshirts", "sizeSystem": "INT"} for b, h in (("H", "h"), ("H2", "h"), ("I", "i"), ("J", "j"))]
+    asked = requests.normalised(requests.records(spark.createDataFrame([(json.dumps(ask),)], "json string")))
+    reports, _ = batch.resolve(asked, docs, inbox=spark.createDataFrame([], outbox.INBOX))
+    left = outbox.pending(reports, spark.createDataFrame([], outbox.INBOX)).collect()
+    assert len(left) == 2 and all(r.fields == ["chest", "waist", "hips", "height", "sleeve", "neck", "shoulder"] for r in left)
+    assert {r.brand: r.external_outcome for r in reports.collect()} == dict.fromkeys(("H", "H2", "I", "J"), "pending")
+    keys = {r.brand: r.external_key for r in reports.collect()}
+    assert keys["H"] == keys["H2"] == keys["I"] != keys["J"]
+    none = dict.fromkeys(c.split()[0] for c in outbox.INBOX.split(", "))
+    rows = [{**none, "key": keys["H"], "status": "ok", "row_ord": i, "label": s, "chest_low": 80.0 + i, "footLength_low": 9.0} for i, s in enumerate("SM")]
+    rows.append({**none, "key": keys["J"], "status": "error", "message": "upstream 502"})
+    inbox = spark.createDataFrame([tuple(r.values()) for r in rows], outbox.INBOX)
+    reports, own = batch.resolve(asked, docs, inbox=inbox)
+    by = {r.brand: r for r in reports.collect()}
+    assert outbox.pending(reports, inbox).collect() == []
+    for b in ("H", "H2", "I"):
+        assert by[b].has_guide and by[b].strategy == "external" and by[b].external_outcome == "rows" and by[b].present == ["chest"]
+        got = own.where(F.col("request_id") == by[b].request_id).collect()
+        assert {(r.label, r.chest_low, r.footLength_low) for r in got} == {("S", 80.0, None), ("M", 81.0, None)}
+    assert not by["J"].has_guide and by["J"].external_outcome == "error"
+    assert [(i.severity, i.details) for i in by["J"].all_issues if i.code == "llm-fallback-error"] == [("warning", ["upstream 502"])]
+
+
 def test_near_equal_requests_stay_apart(spark):
     base = {"brand": "A", "url": "http://a.com/tops"}
     asked = [base, {**base, "category": "tshirts"}, {**base, "sizeSystem": "tshirts"}, {**base, "category": "tshirts", "fallbackSizeSystem": "INT"}, {**base, "name": "x"}, base]
