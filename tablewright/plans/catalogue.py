@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,26 @@ def values(spark: SparkSession, rows: str, names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
 
 
+def numbered(rows: str) -> tuple[str, int]:
+    """The rows of a VALUES list with their number before them, and how many there are."""
+    found = re.split(r"\),\s*\(", rows.strip()[1:-1])
+    return ", ".join(f"({i}, {x})" for i, x in enumerate(found)), len(found)
+
+
+def picked(spark: SparkSession, sf_dir: str, rows: str, names: str) -> DataFrame:
+    """Every part with the row of a VALUES list that its key picks, so that the list meets a whole table."""
+    listed, n = numbered(rows)
+    case = values(spark, listed, f"i, {names}")
+    keys = table(spark, sf_dir, "part").select("p_partkey")
+    return keys.join(case, F.col("p_partkey") % n == F.col("i")).drop("i")
+
+
+def picked_sql(rows: str, names: str) -> str:
+    """The same in SQL, as a table t."""
+    listed, n = numbered(rows)
+    return f"t AS (SELECT p_partkey, v.* EXCLUDE (i) FROM part JOIN (VALUES {listed}) AS v(i, {names}) ON p_partkey % {n} = v.i)"
+
+
 # ---- links and pages
 
 
@@ -100,12 +121,12 @@ _GUARD = """('http://example.com/a'), ('https://localhost/x'), ('http://10.1.2.3
 
 
 @query(f"""
-WITH t(url) AS (VALUES {_GUARD}), h AS (SELECT url, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM t)
-SELECT url, CASE WHEN host = '' THEN 'url-invalid' WHEN NOT regexp_matches(url, '^https?:') THEN 'url-scheme'
+WITH {picked_sql(_GUARD, "url")}, h AS (SELECT p_partkey, url, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM t)
+SELECT p_partkey, url, CASE WHEN host = '' THEN 'url-invalid' WHEN NOT regexp_matches(url, '^https?:') THEN 'url-scheme'
   WHEN host = 'localhost' OR host LIKE '%.internal' OR regexp_matches(host, '^(127|10|192\\.168|169\\.254|172\\.(1[6-9]|2[0-9]|3[01]))\\.')
   THEN 'url-forbidden-host' END AS reason FROM h""")
 def url_guard(spark, sf_dir):
-    return values(spark, _GUARD, "url").select("url", requests.guard(F.lit("brand"), F.col("url")).alias("reason"))
+    return picked(spark, sf_dir, _GUARD, "url").select("p_partkey", "url", requests.guard(F.lit("brand"), F.col("url")).alias("reason"))
 
 
 @query(r"""
@@ -217,11 +238,11 @@ _RANGES = """('32 1/2–34"', 32.5, 34.0), ('43–46 1/2"', 43.0, 46.5), ('88-96
 
 
 @query(f"""
-WITH t(raw, low, high) AS (VALUES {_RANGES}) SELECT raw, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high,
+WITH {picked_sql(_RANGES, "raw, low, high")} SELECT p_partkey, raw, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high,
 CASE WHEN raw LIKE '%"%' THEN 'in' WHEN regexp_matches(raw, '\\bcm') THEN 'cm' ELSE 'unknown' END AS unit FROM t""")
 def range_parse(spark, sf_dir):
-    df = values(spark, _RANGES, "raw, a, b").select("raw", units.value_range(F.col("raw")).alias("r"), units.unit_of(F.col("raw")).alias("unit"))
-    return df.select("raw", "r.low", "r.high", "unit")
+    df = picked(spark, sf_dir, _RANGES, "raw, a, b").select("p_partkey", "raw", units.value_range(F.col("raw")).alias("r"), units.unit_of(F.col("raw")).alias("unit"))
+    return df.select("p_partkey", "raw", "r.low", "r.high", "unit")
 
 
 @query("""
@@ -261,16 +282,16 @@ _LABELS = "('SM'), ('2XL Tall'), ('32/34'), ('W32 L34'), ('96'), ('32 in'), ('cm
 
 
 @query(rf"""
-WITH t(label) AS (VALUES {_LABELS}), n AS (SELECT label, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS n FROM t),
-u AS (SELECT label, n, upper(trim(regexp_replace(regexp_replace(n, '\b(tall|petite|regular|long|short)\b', '', 'g'), ' +', ' ', 'g'))) AS s FROM n)
-SELECT label, n <> '' AND (regexp_matches(n, '^(xxs|xs|s|sm|m|md|l|lg|xl|xxl|2xl|xxxl|3xl|4xl|5xl)( tall| petite| regular| short| long)?$')
+WITH {picked_sql(_LABELS, "label")}, n AS (SELECT p_partkey, label, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS n FROM t),
+u AS (SELECT p_partkey, label, n, upper(trim(regexp_replace(regexp_replace(n, '\b(tall|petite|regular|long|short)\b', '', 'g'), ' +', ' ', 'g'))) AS s FROM n)
+SELECT p_partkey, label, n <> '' AND (regexp_matches(n, '^(xxs|xs|s|sm|m|md|l|lg|xl|xxl|2xl|xxxl|3xl|4xl|5xl)( tall| petite| regular| short| long)?$')
   OR regexp_matches(n, '^[0-9]{{2,3}}( tall| petite| regular| short| long)?$') OR regexp_matches(n, '^w[0-9]+\s*l[0-9]+$')
   OR (regexp_matches(n, '^[0-9]+\s*[a-z]{{0,2}}$') AND n NOT LIKE '%cm%')) AS is_size,
   CASE s WHEN 'SM' THEN 'S' WHEN 'MD' THEN 'M' WHEN 'LG' THEN 'L' WHEN '2XL' THEN 'XXL' WHEN 'XXXL' THEN '3XL' WHEN '' THEN upper(label) ELSE s END AS canonical
 FROM u""")
 def size_label_canon(spark, sf_dir):
     label = F.col("label")
-    return values(spark, _LABELS, "label").select("label", sizes.is_size(label).alias("is_size"), sizes.canonical(label).alias("canonical"))
+    return picked(spark, sf_dir, _LABELS, "label").select("p_partkey", "label", sizes.is_size(label).alias("is_size"), sizes.canonical(label).alias("canonical"))
 
 
 # ---- matrices
@@ -485,17 +506,17 @@ _EXPORT = "('Ann & Co', 'tshirts', 'INT', 80.0, 84.5, 24.25), ('Élan', 'shoes',
 
 
 @query(f"""
-WITH t(brand, category, system, low, high, foot) AS (VALUES {_EXPORT})
-SELECT brand, CASE category WHEN 'tshirts' THEN 'tshirt' WHEN 'shoes' THEN 'socks' ELSE 'tshirt' END AS export_category,
+WITH {picked_sql(_EXPORT, "brand, category, system, low, high, foot")}
+SELECT p_partkey, brand, CASE category WHEN 'tshirts' THEN 'tshirt' WHEN 'shoes' THEN 'socks' ELSE 'tshirt' END AS export_category,
   CASE system WHEN 'BRA' THEN 'INT' ELSE system END AS export_system, CAST(coalesce(high, low) AS DOUBLE) AS scalar,
   floor(CAST(foot AS DOUBLE) * 10 + 0.5) AS foot_mm,
   regexp_replace(regexp_replace(strip_accents(lower(brand)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '_' || category || '_' ||
   replace(lower(system), '_', '-') || '.json' AS file FROM t""")
 def export_rows(spark, sf_dir):
-    df = values(spark, _EXPORT, "brand, category, system, low, high, foot")
+    df = picked(spark, sf_dir, _EXPORT, "brand, category, system, low, high, foot")
     c = {n: F.col(n).cast("double") for n in ("low", "high", "foot")}
     return df.select(
-        "brand", export.export_category(F.col("category")).alias("export_category"), export.export_system(F.col("system")).alias("export_system"),
+        "p_partkey", "brand", export.export_category(F.col("category")).alias("export_category"), export.export_system(F.col("system")).alias("export_system"),
         export.scalar(c["low"], c["high"]).alias("scalar"), units.mm(c["foot"]).alias("foot_mm"),
         export.file_name(F.col("brand"), F.col("category"), F.col("system")).alias("file"),
     )
@@ -522,22 +543,30 @@ _UPLOAD = """('{"sources":[{"brand":" A ","url":"http://a.com","category":"Tops"
 
 
 @query("""
-SELECT * FROM (VALUES ('A', 'http://a.com', 'tshirts', 'INT', NULL), ('B', 'http://b.com', NULL, NULL, 'u1|u2'))
-  AS t(brand, size_guide_url, garment_category, size_system, fallbacks)""")
+SELECT brand || s_suppkey AS brand, size_guide_url, garment_category, size_system, fallbacks
+FROM supplier JOIN (VALUES (0, 'A', 'http://a.com', 'tshirts', 'INT', NULL), (1, 'B', 'http://b.com', NULL, NULL, 'u1|u2'))
+  AS t(i, brand, size_guide_url, garment_category, size_system, fallbacks) ON s_suppkey % 4 = i""")
 def upload_normalise(spark, sf_dir):
-    found = requests.normalised(requests.records(values(spark, _UPLOAD, "json")))
+    """The requests of an upload of each supplier, a good or a bad one by its key, which the brands carry."""
+    listed, n = numbered(_UPLOAD)
+    keys = table(spark, sf_dir, "supplier").select("s_suppkey")
+    text = keys.join(values(spark, listed, "i, json"), F.col("s_suppkey") % n == F.col("i"))
+    made = F.replace(F.col("json"), F.lit('" A "'), F.concat(F.lit('" A'), "s_suppkey", F.lit(' "')))
+    made = F.replace(made, F.lit('"B"'), F.concat(F.lit('"B'), "s_suppkey", F.lit('"')))
+    found = requests.normalised(requests.records(text.select(made.alias("json"))))
     return found.select("brand", "size_guide_url", "garment_category", "size_system", F.array_join("fallback_urls", "|").alias("fallbacks"))
 
 
 _ASKED = "('Tops', 'international', 'Mens'), ('polo', 'socks', 'x'), ('Slim jeans', 'usa', 'kids'), ('Trench coats', 'waist inseam', 'ladies'), (NULL, NULL, NULL)"
 
 
-@query("""
-SELECT * FROM (VALUES ('Tops', 'tshirts', 'INT', 'men'), ('polo', NULL, NULL, NULL), ('Slim jeans', 'jeans', 'US', 'kids'),
-  ('Trench coats', 'jackets', 'WAIST_INSEAM', 'women'), (NULL, NULL, NULL, NULL)) AS t(raw, category, system, audience)""")
+_MAPPED = "('Tops', 'tshirts', 'INT', 'men'), ('polo', NULL, NULL, NULL), ('Slim jeans', 'jeans', 'US', 'kids'), ('Trench coats', 'jackets', 'WAIST_INSEAM', 'women'), (NULL, NULL, NULL, NULL)"
+
+
+@query(f"""WITH {picked_sql(_MAPPED, "raw, category, system, audience")} SELECT * FROM t""")
 def request_mapping(spark, sf_dir):
-    return values(spark, _ASKED, "c, s, a").select(
-        F.col("c").alias("raw"), categories.asked_category(F.col("c")).alias("category"), categories.asked_system(F.col("s")).alias("system"),
+    return picked(spark, sf_dir, _ASKED, "c, s, a").select(
+        "p_partkey", F.col("c").alias("raw"), categories.asked_category(F.col("c")).alias("category"), categories.asked_system(F.col("s")).alias("system"),
         categories.asked_audience(F.col("a")).alias("audience"),
     )
 
@@ -546,12 +575,13 @@ _ATTEMPTS = "(1, 'primary', true), (1, 'fallback', true), (2, 'primary', false),
 
 
 @query(f"""
-WITH t(id, attempt, has_guide) AS (VALUES {_ATTEMPTS}),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY has_guide DESC, attempt = 'fallback') AS rn FROM t)
-SELECT id, attempt, has_guide FROM r WHERE rn = 1""")
+WITH t AS (SELECT s_suppkey, attempt, has_guide FROM supplier JOIN (VALUES {_ATTEMPTS}) AS v(id, attempt, has_guide) ON s_suppkey % 3 + 1 = id),
+r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY has_guide DESC, attempt = 'fallback') AS rn FROM t)
+SELECT s_suppkey, attempt, has_guide FROM r WHERE rn = 1""")
 def fallback_resolution(spark, sf_dir):
-    order = Window.partitionBy("id").orderBy(F.desc("has_guide"), F.col("attempt") == "fallback")
-    df = values(spark, _ATTEMPTS, "id, attempt, has_guide")
+    order = Window.partitionBy("s_suppkey").orderBy(F.desc("has_guide"), F.col("attempt") == "fallback")
+    keys = table(spark, sf_dir, "supplier").select("s_suppkey")
+    df = keys.join(values(spark, _ATTEMPTS, "id, attempt, has_guide"), F.col("s_suppkey") % 3 + 1 == F.col("id")).drop("id")
     return df.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
@@ -571,30 +601,40 @@ _TABLES = """(1, 'markdown-table', array(array('Size', 'Chest (cm)', 'Waist (cm)
 (4, 'advisory-text', array(array('Fit advice'), array('Measure your chest')), 'Fit advice')"""
 
 
-def described(spark: SparkSession) -> DataFrame:
-    t = spark.sql(f"SELECT *, array(title) AS heading_path, '' AS subheading, '' AS nearby FROM VALUES {_TABLES} AS t(id, kind, matrix, title)")
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate for each part, one of four kinds by its key."""
+    t = picked(spark, sf_dir, _TABLES, "id, kind, matrix, title").withColumns(
+        {"heading_path": F.array("title"), "subheading": F.lit(""), "nearby": F.lit("")}
+    )
     return candidates.describe(t)
 
 
-@query("""
-SELECT * FROM (VALUES (1, 'size-rows', 'cm', 'tops', 'INT', 2), (2, 'size-columns', 'in', 'tops', 'INT', 3),
-  (3, 'conversion-grid', 'unknown', 'unknown', 'US', 2), (4, 'unknown', 'unknown', 'generic-body-guide', 'UNKNOWN', 0)) AS t(id, orientation, unit, category, size_system, sizes)""")
+_DESCRIBED = """(1, 'size-rows', 'cm', 'tops', 'INT', 2), (2, 'size-columns', 'in', 'tops', 'INT', 3),
+(3, 'conversion-grid', 'unknown', 'unknown', 'US', 2), (4, 'unknown', 'unknown', 'generic-body-guide', 'UNKNOWN', 0)"""
+
+
+@query(f"""WITH {picked_sql(_DESCRIBED, "id, orientation, unit, category, size_system, sizes")} SELECT * FROM t""")
 def candidate_describe(spark, sf_dir):
-    return described(spark).select("id", "orientation", "unit", "category", "size_system", F.size("size_axis").alias("sizes"))
+    """What each kind of candidate is recognised as."""
+    return described(spark, sf_dir).select("p_partkey", "id", "orientation", "unit", "category", "size_system", F.size("size_axis").alias("sizes"))
 
 
-@query("""
-WITH t AS (SELECT * FROM (VALUES (1, 4.5, 4.0, 1.5, 1.2, 2, ''), (2, 4.5, 4.0, 1.5, 0.4, 3, ''), (3, 0, 0, 0, 0, 2, 'too-few-fields,orientation,category-not-tops,no-chest'),
-  (4, 0, 0, 0, 0, 0, 'not-tabular,too-few-sizes,too-few-fields,orientation,size-system-not-compatible')) AS t(id, category, system, orientation, unit, n, strict)),
-s AS (SELECT id, strict, CAST(CASE WHEN strict <> '' THEN -20 - len(string_split(strict, ',')) ELSE floor((category + system + orientation + unit + 2 + n * 0.15
+_POINTS = """(1, 4.5, 4.0, 1.5, 1.2, 2, ''), (2, 4.5, 4.0, 1.5, 0.4, 3, ''), (3, 0, 0, 0, 0, 2, 'too-few-fields,orientation,category-not-tops,no-chest'),
+(4, 0, 0, 0, 0, 0, 'not-tabular,too-few-sizes,too-few-fields,orientation,size-system-not-compatible')"""
+
+
+@query(f"""
+WITH {picked_sql(_POINTS, "id, category, system, orientation, unit, n, strict")},
+s AS (SELECT p_partkey, p_partkey // 4 AS page, id, strict, CAST(CASE WHEN strict <> '' THEN -20 - len(string_split(strict, ',')) ELSE floor((category + system + orientation + unit + 2 + n * 0.15
   + 2 * (0.16 + 0.2 + n * 0.05 + 0.18 + 0.12)) * 100 + 0.5) / 100 END AS DOUBLE) AS score FROM t)
-SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, row_number() OVER (ORDER BY score DESC, id) = 1 AS selected, strict FROM s""")
+SELECT p_partkey, id, score, CAST(row_number() OVER (PARTITION BY page ORDER BY score DESC, id) AS INTEGER) AS rank,
+  row_number() OVER (PARTITION BY page ORDER BY score DESC, id) = 1 AND score >= 4 AS selected, strict FROM s""")
 def candidate_select(spark, sf_dir):
-    """Scores and the selected candidate of a small page."""
-    asked = {"asked_category": F.lit("tshirts"), "asked_system": F.lit("INT"), "document_kind": F.lit("direct-guide-page"), "navigation": F.lit(0.0), "page": F.lit(1)}
-    df = described(spark).withColumns(asked).withColumn("confidence", candidates.confidence(F.col("base_confidence"), F.col("navigation")))
+    """Scores and the selected candidate of pages of four candidates."""
+    asked = {"asked_category": F.lit("tshirts"), "asked_system": F.lit("INT"), "document_kind": F.lit("direct-guide-page"), "navigation": F.lit(0.0), "page": F.floor(F.col("p_partkey") / 4)}
+    df = described(spark, sf_dir).withColumns(asked).withColumn("confidence", candidates.confidence(F.col("base_confidence"), F.col("navigation")))
     best = select.pick(select.score(df), ["page"], "id")
-    return best.select("id", "score", "rank", "selected", F.array_join("strict", ",").alias("strict"))
+    return best.select("p_partkey", "id", "score", "rank", "selected", F.array_join("strict", ",").alias("strict"))
 
 
 from tablewright.plans import batch_queries, fetch_queries, page_queries  # noqa: E402, F401 - register their queries beside these
