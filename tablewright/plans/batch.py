@@ -418,7 +418,8 @@ def import_payloads(reports: DataFrame, sizes_: DataFrame) -> DataFrame:
 
     brand and guide are structs as the import schema has them; a guide's rows hold their
     place (from 0), id, dimensions and notes, a guide's provenance what it was read
-    from. warnings tell of a category that the schema lacks and of ignored fields.
+    from. warnings tell of a fallback of the size system, of a category that the schema
+    lacks and of ignored fields.
     Ids are made of the request's, so that a rerun gives the same.
     """
     good = reports.where("has_guide")
@@ -440,6 +441,7 @@ def import_payloads(reports: DataFrame, sizes_: DataFrame) -> DataFrame:
     )
     c, s = F.col("resolved_category"), F.col("resolved_system")
     ignored = F.array_distinct(F.flatten(F.transform("size_rows", lambda r: r["ignored"])))
+    told = F.filter("all_issues", lambda i: i["code"].isin("fallback-size-system-used", "fallback-size-system-skipped"))
     warnings = validate.issues(
         validate.issue(F.size(ignored) > 0, "shopping-assistant-dimensions-ignored", "warning", ignored),
         validate.issue(export.falls_back(c), "shopping-assistant-category-fallback", "warning", F.array(c)),
@@ -468,7 +470,7 @@ def import_payloads(reports: DataFrame, sizes_: DataFrame) -> DataFrame:
         "request_id", "brand", export.export_category(c).alias("category"), export.export_system(s).alias("size_system"),
         complete.alias("is_complete"), export.uncertainty(F.col("extraction_confidence")).alias("uncertainty"),
         export.file_name(F.col("brand"), c, s).alias("file"), export.strict_error(c, s).alias("strict_error"), "size_rows",
-        F.struct(brand.alias("brand"), guide.alias("guide")).alias("payload"), provenance.alias("provenance"), warnings.alias("warnings"),
+        F.struct(brand.alias("brand"), guide.alias("guide")).alias("payload"), provenance.alias("provenance"), F.concat(told, warnings).alias("warnings"),
     )
 
 

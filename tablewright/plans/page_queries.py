@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.operators import links
 from tablewright.plans.catalogue import query, table
 from tablewright.sources import html
 
@@ -61,3 +62,32 @@ def html_link_context(spark, sf_dir):
     return found.select(
         F.col("url").cast("long").alias("s_suppkey"), "l.ord", "l.href", "l.label", F.array_join("l.heading_path", " > ").alias("path"), "l.nearby",
     )
+
+
+#: (href, label, reasons never to follow) of the links of a made page; a page has those whose number its own doesn't rule out.
+_LINKS = (
+    ("/size-guide/men-tops", "Men tops size guide", ""), ("/size-guide/women-tops", "Women tops size guide", "women"),
+    ("/size-guide/kids-tops", "Kids tops size guide", "kids"), ("/size-guide/men-shoes", "Men shoes size guide", "footwear"),
+    ("/size-guide/men-jeans", "Men jeans size guide", "bottoms"), ("http://other.org/size-guide/men-tops", "Men tops size guide", "off-brand"),
+    ("#size-guide-men-tops", "Men tops size guide", None), ("/help#size-guide-men", "Men tops size guide", "same-page"),
+    ("http://other.org/size-guide/women-shoes", "Women shoes size guide", "women,footwear,off-brand"),
+)
+_LISTED = ", ".join(f"({i}, '{label}', {'NULL' if hard is None else repr(hard)})" for i, (_, label, hard) in enumerate(_LINKS))
+
+
+@query(f"""
+WITH l AS (SELECT page_id, i, label, hard FROM pages, (VALUES {_LISTED}) AS v(i, label, hard) WHERE (page_id + i) % 4 <> 0 AND hard IS NOT NULL)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS new_ord, label, hard,
+  CAST(CASE WHEN hard = '' THEN 2 END AS INTEGER) AS pool, hard = '' AS followed FROM l""")
+def link_choice(spark, sf_dir):
+    """Which links of a page may never be followed and why, the pool of the others, and the one that is followed."""
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("href"), F.lit(t).alias("label")) for i, (h, t, _) in enumerate(_LINKS)])
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("http://shop"), "page_id", F.lit(".com/help")).alias("url"), F.explode(rows).alias("l"))
+    found = pages.select("page_id", "url", "l.*").where((F.col("page_id") + F.col("i")) % 4 != 0).withColumnRenamed("i", "ord").withColumns(
+        {
+            "heading_path": F.array().cast("array<string>"), "nearby": F.lit(""), "resolver": F.lit("generic"),
+            "asked_category": F.lit("tshirts"), "asked_system": F.lit("INT"),
+        }
+    )
+    best = links.follow(links.best_per_url(links.score(found), ["page_id"]), ["page_id"], F.lit(False))
+    return best.select("page_id", "new_ord", "label", F.array_join("hard", ",").alias("hard"), "pool", "followed")
