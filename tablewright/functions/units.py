@@ -147,20 +147,21 @@ def upper_median(values: Column) -> Column:
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
 
 
-def unit_of_values(values: Column) -> Column:
-    """cm or in from the size of body measures; unknown from fewer than two of them."""
+def in_range(value: Column) -> Column:
+    """Whether a number may be a body measure in either unit."""
+    return (value >= 10) & (value <= 260)
 
 
-    def of(own: Column) -> Column:
-        mid, top = upper_median(own), F.array_max(own)
-        return (
-            F.when(F.size(own) < 2, "unknown")
-            .when((top <= 80) & (mid < 60), "in")
-            .when((top >= 80) | (mid >= 65), "cm")
-            .otherwise("unknown")
-        )
+def unit_by_size(count: Column, top: Column, mid: Column) -> Column:
+    """cm or in from the greatest and the upper median of body measures; unknown from fewer than two of them."""
+    return (
+        F.when(count < 2, "unknown").when((top <= 80) & (mid < 60), "in").when((top >= 80) | (mid >= 65), "cm").otherwise("unknown")
+    )
+
 
-    return let(F.filter(values, lambda v: (v >= 10) & (v <= 260)), of)
+def unit_of_values(values: Column) -> Column:
+    """unit_by_size() of the body measures in an array."""
+    return let(F.filter(values, in_range), lambda own: unit_by_size(F.size(own), F.array_max(own), upper_median(own)))
 
 
 def implicit_unit(matrix: Column, fields: Column) -> Column:

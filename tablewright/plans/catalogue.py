@@ -250,11 +250,15 @@ WITH v AS (SELECT p_brand, list_sort(list(CAST(p_size AS DOUBLE) * 2) FILTER (WH
 SELECT p_brand, CASE WHEN len(l) < 2 THEN 'unknown' WHEN l[-1] <= 80 AND l[len(l) // 2 + 1] < 60 THEN 'in'
   WHEN l[-1] >= 80 OR l[len(l) // 2 + 1] >= 65 THEN 'cm' ELSE 'unknown' END AS unit, l[len(l) // 2 + 1] AS median FROM v""")
 def implicit_unit(spark, sf_dir):
-    v = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list(F.col("p_size").cast("double") * 2).alias("v"))
-    return v.select(
-        "p_brand", units.unit_of_values(F.col("v")).alias("unit"),
-        units.upper_median(F.filter("v", lambda x: (x >= 10) & (x <= 260))).alias("median"),
-    )
+    """The unit that a brand's measures are in by their size, from counts by value."""
+    parts = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size").cast("double") * 2).alias("v"))
+    own = Window.partitionBy("brand")
+    counts = parts.where(units.in_range(F.col("v"))).groupBy(F.col("p_brand").alias("brand"), "v").agg(F.count("*").alias("c"))
+    counts = counts.select("brand", "v", "c", F.sum("c").over(own.orderBy("v")).alias("upto"), F.sum("c").over(own).alias("n"), F.max("v").over(own).alias("top"))
+    mid = counts.where("upto > n div 2 AND upto - c <= n div 2")
+    return parts.select("p_brand").distinct().join(mid, F.col("p_brand") == F.col("brand"), "left").select(
+        "p_brand", F.coalesce(units.unit_by_size(F.col("n"), F.col("top"), F.col("v")), F.lit("unknown")).alias("unit"), F.col("v").alias("median")
+    )
 
 
 @query("SELECT user_id, list_sort(list(value))[count(value) // 2 + 1] AS median, count(*) AS n FROM events GROUP BY 1")
