@@ -207,8 +207,8 @@ class Tree(HTMLParser):
         self.open.children.append(data)
 
 
-def _toured(root: Node) -> None:
-    """Write the texts below root down and tell every element where its own are."""
+def _toured(root: Node, nodes: list[Node]) -> None:
+    """Write the texts below root down and tell every element, the nodes, where its own are."""
     whole, bare, at = [], [], [0, 0]
     todo: list = [(root, False)]
     open_: dict[Node, tuple[int, int]] = {}
@@ -228,7 +228,7 @@ def _toured(root: Node) -> None:
             todo.append((node, raw))
             todo.extend((c, raw) for c in reversed(node.children))
     texts = Text("".join(whole)), Text("".join(bare))
-    for node in root.walk():
+    for node in nodes:
         node.whole, node.bare = (texts[0], *node.whole), (texts[1], *node.bare)
 
 
@@ -245,7 +245,7 @@ def parsed(html: str) -> Node:
                 last = child
     for node in reversed(nodes):  # children come before their parents
         node.tables = any(k.tables or k.is_table() for k in node.kids)
-    _toured(tree.root)
+    _toured(tree.root, nodes)
     return tree.root
 
 
