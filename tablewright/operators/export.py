@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.domain import FIELDS
 from tablewright.functions.text import slug
-from tablewright.functions.units import mm, round_half_up
+from tablewright.functions.units import mm, round_half_up, shown_range
 
 # fixed values: names of the import schema
 CATEGORY_NAMES = {
@@ -164,3 +164,10 @@ def status_rollup(results: DataFrame, brand: str = "brand", system: str = "size_
     """
     b, y, s = (F.col(c) for c in (brand, system, status))
     return results.groupingSets([[b, y, s], [b, s], [y, s], [s], []], b, y, s).agg(F.count("*").alias("requests"), F.grouping_id().alias("level"))
+
+
+def shown_rows(wide: DataFrame) -> DataFrame:
+    """Adds shown to wide sizes: field and text of each measure that the size has, as a reader is shown it."""
+    ends = [(f, F.col(f"{f}_low"), F.col(f"{f}_high")) for f in FIELDS]
+    cells = [F.when(low.isNotNull() | high.isNotNull(), F.struct(F.lit(f).alias("field"), shown_range(low, high).alias("text"))) for f, low, high in ends]
+    return wide.withColumn("shown", F.array_compact(F.array(*cells)))

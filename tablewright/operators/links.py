@@ -20,32 +20,38 @@ LEAST, NEVER = 3.0, -99.0
 
 # fixed values: (part of the host, class of request, url, label) of known official guides, first match first
 OFFICIAL = (
-    ("nike.com", "shoe", "https://www.nike.com/size-fit/mens-footwear", "Nike shoes"),
-    ("nike.com", "waist-inseam", "https://www.nike.com/size-fit/mens-bottoms-numeric/", "Nike bottoms"),
-    ("nike.com", "bottom", "https://www.nike.com/size-fit/mens_bottoms_alpha", "Nike bottoms"),
-    ("nike.com", "top", "https://www.nike.com/size-fit/mens-tops-alpha", "Nike tops"),
-    ("adidas.", "shoe", "https://www.adidas.com/us/help/size_charts/men-shoes", "adidas shoes"),
-    ("adidas.", "bottom", "https://www.adidas.com/us/help/size_charts/men-pants_shorts", "adidas bottoms"),
-    ("adidas.", "any", "https://www.adidas.com/us/help/size_charts/men-shirts_tops", "adidas tops"),
-    ("puma.", "any", "https://eu.puma.com/de/en/size-charts.html", "PUMA sizes"),
-    ("reebok.", "top", "https://www.reebok.com/us/men-tops-size-chart", "Reebok tops"),
-    ("reebok.", "any", "https://www.reebok.com/us/size-chart-men", "Reebok sizes"),
-    ("underarmour.", "top", "https://www.underarmour.com/en-us/t/size-guide/mens-tops/", "Under Armour tops"),
-    ("underarmour.", "any", "https://www.underarmour.com/en-us/t/size-guide/mens/", "Under Armour sizes"),
-    ("newbalance.", "any", "https://www.newbalance.com/customercare-sizeguide-apparel.html", "New Balance apparel"),
-    ("patagonia.", "any", "https://www.patagonia.com/guides/size-fit/mens/", "Patagonia sizes"),
-    ("zara.", "any", "https://www.zara.com/fr/fr/help/size-guide-h38.html", "Zara sizes"),
-    ("tommy.com", "any", "https://usa.tommy.com/en/size-guide-men.html", "Tommy Hilfiger sizes"),
-    ("tommyhilfiger.", "any", "https://usa.tommy.com/en/size-guide-men.html", "Tommy Hilfiger sizes"),
-    ("calvinklein.", "any", "https://www.calvinklein.us/en/men-size-guide.html", "Calvin Klein sizes"),
-    ("columbia.", "any", "https://www.columbia.com/sizefit?isPage=true&r=1", "Columbia tops"),
-    ("thenorthface.", "any", "https://www.thenorthface.com/en-us/help/size-charts", "The North Face tops"),
-    ("lacoste.", "any", "https://www.lacoste.com/ca/fr/sizeguide/", "Lacoste sizes"),
+    ("nike.com", "shoe", "https://www.nike.com/size-fit/mens-footwear", "Nike guide officiel chaussures homme"),
+    ("nike.com", "waist-inseam", "https://www.nike.com/size-fit/mens-bottoms-numeric/", "Nike guide officiel bas homme"),
+    ("nike.com", "bottom", "https://www.nike.com/size-fit/mens_bottoms_alpha", "Nike guide officiel bas homme"),
+    ("nike.com", "top", "https://www.nike.com/size-fit/mens-tops-alpha", "Nike guide officiel hauts homme"),
+    ("adidas.", "shoe", "https://www.adidas.com/us/help/size_charts/men-shoes", "adidas guide officiel chaussures homme"),
+    ("adidas.", "bottom", "https://www.adidas.com/us/help/size_charts/men-pants_shorts", "adidas guide officiel bas homme"),
+    ("adidas.", "any", "https://www.adidas.com/us/help/size_charts/men-shirts_tops", "adidas guide officiel hauts homme"),
+    ("puma.", "any", "https://eu.puma.com/de/en/size-charts.html", "PUMA guide officiel tailles homme"),
+    ("reebok.", "top", "https://www.reebok.com/us/men-tops-size-chart", "Reebok guide officiel hauts homme"),
+    ("reebok.", "any", "https://www.reebok.com/us/size-chart-men", "Reebok guide officiel tailles homme"),
+    ("underarmour.", "top", "https://www.underarmour.com/en-us/t/size-guide/mens-tops/", "Under Armour guide officiel hauts homme"),
+    ("underarmour.", "any", "https://www.underarmour.com/en-us/t/size-guide/mens/", "Under Armour guide officiel tailles homme"),
+    ("newbalance.", "any", "https://www.newbalance.com/customercare-sizeguide-apparel.html", "New Balance guide officiel vêtements homme"),
+    ("patagonia.", "any", "https://www.patagonia.com/guides/size-fit/mens/", "Patagonia guide officiel tailles homme"),
+    ("zara.", "any", "https://www.zara.com/fr/fr/help/size-guide-h38.html", "Zara guide officiel tailles"),
+    ("tommy.com", "any", "https://usa.tommy.com/en/size-guide-men.html", "Tommy Hilfiger guide officiel tailles homme"),
+    ("tommyhilfiger.", "any", "https://usa.tommy.com/en/size-guide-men.html", "Tommy Hilfiger guide officiel tailles homme"),
+    ("calvinklein.", "any", "https://www.calvinklein.us/en/men-size-guide.html", "Calvin Klein guide officiel tailles homme"),
+    ("columbia.", "any", "https://www.columbia.com/sizefit?isPage=true&r=1", "Columbia guide officiel hauts homme"),
+    ("thenorthface.", "any", "https://www.thenorthface.com/en-us/help/size-charts", "The North Face guide officiel hauts homme"),
+    ("lacoste.", "any", "https://www.lacoste.com/ca/fr/sizeguide/", "Lacoste guide officiel tailles homme"),
 )
-#: A second guide that is offered beside the first.
-SECOND = {"newbalance.": ("https://www.newbalance.com/sizechart-apparel.html", "New Balance former apparel")}
-GIVEN, KNOWN = "Supplied fallback guide", "Known official guide"
-NEAR = "Official brand size guide. Guide des tailles officiel. Men's tops size chart."
+# fixed values: a second guide that is offered beside the first, label of supplied guides, heading and text around official ones
+SECOND = {"newbalance.": ("https://www.newbalance.com/sizechart-apparel.html", "New Balance ancien guide vêtements homme")}
+GIVEN = "Fallback guide fourni"
+KNOWN = "Guide officiel connu"
+NEAR = (
+    "Official brand size guide fallback. Guide des tailles officiel. Men's tops size chart. "
+    "Lien de secours officiel utilisé lorsque la page fournie ne contient pas directement de tableau exploitable."
+)
+#: Links of a page that a report's log names.
+LOGGED = 8
 
 
 def official(docs: DataFrame, key: list[str]) -> DataFrame:
@@ -63,7 +69,7 @@ def official(docs: DataFrame, key: list[str]) -> DataFrame:
     }
 
     def link(url: str, label: str) -> Column:
-        return F.struct(F.lit(url).alias("href"), F.lit(f"{label} official men size guide").alias("label"))
+        return F.struct(F.lit(url).alias("href"), F.lit(label).alias("label"))
 
     def offered(part: str, url: str, label: str) -> Column:
         return F.array(link(url, label), *([link(*SECOND[part])] if part in SECOND else []))
@@ -185,7 +191,7 @@ def follow(links: DataFrame, key: list[str], concrete_only: Column) -> DataFrame
         + F.when(generic & let(own, lambda n: has_any(n, ("apparel", "clothing", "tops", "tshirts", "shirts", "hauts"))), 3.0).otherwise(0.0)
     )
     hub = F.when(F.size("hard") == 0, navigation.one_hop(F.col("_context"), who) + bonus).otherwise(F.lit(NEVER))
-    pool = F.when(fallback & F.col("label").startswith(GIVEN), 1).when(generic, 2).when(fallback, 3)
+    pool = F.when(fallback & F.lower("label").startswith(GIVEN.lower()), 1).when(generic, 2).when(fallback, 3)
     df = df.withColumn("hub_score", hub).withColumn("pool", F.when(F.col("hub_score") >= LEAST, pool))
     order = Window.partitionBy(*key).orderBy(F.col("pool").asc_nulls_last(), F.desc("hub_score"), F.desc("link_score"), "new_ord")
     return df.withColumn("followed", (F.row_number().over(order) == 1) & F.col("pool").isNotNull())
@@ -201,6 +207,17 @@ def clear_winner(links: DataFrame, key: list[str], hub: Column) -> DataFrame:
     return df.withColumn("clear", fine).drop("_rn", "_gap")
 
 
+def logged(links: DataFrame, key: list[str]) -> DataFrame:
+    """Adds logged to followed links: for the first LOGGED of a page by score, what its log says of them; null for the others."""
+    order = Window.partitionBy(*key).orderBy(F.desc("link_score"), "new_ord")
+    why = F.coalesce(F.get("hard", F.lit(0)), F.get("link_rejections", F.lit(0)), F.get("link_reasons", F.lit(0)))
+    entry = F.struct(
+        F.row_number().over(order).alias("place"), "label", F.col("hub_score").alias("score"), "resolver", F.col("link_url").alias("url"),
+        F.col("followed").alias("selected"), why.alias("reason"),
+    )
+    return links.withColumn("_entry", entry).withColumn("logged", F.when(F.col("_entry.place") <= LOGGED, F.col("_entry"))).drop("_entry")
+
+
 def trace_step(link=None) -> Column:
     """The step that following a link adds to a request's trace; link gives its columns by name, by default the table's."""
     link = link or F.col

@@ -29,6 +29,8 @@ DOC = ["doc_url", "renderer"]
 KEY = ["request_id", "attempt"]
 #: What of an attempt decides its answer; brand, name and issues of the request don't.
 QUESTION = ["size_guide_url", "fallback_urls", "asked_category", "asked_system", "asked_audience"]
+#: Issue of a request whose followed links gave no guide, and the errors behind it that its details name.
+LED_NOWHERE, MOST_DETAILS = "no-valid-followed-guide", 8
 STEP = "struct<kind:string,url:string,label:string,confidence:double,reasons:array<string>>"
 
 
@@ -144,10 +146,12 @@ def look(frontier: DataFrame, corpus: Corpus, hop: int) -> tuple[DataFrame, Data
     raw = corpus.links.join(here.select(*KEY, *DOC, "url", "asked_category", "asked_system"), DOC)
     known = links.official(here, [*KEY, *DOC, "url", "asked_category", "asked_system"]).withColumn("ord", F.col("ord") + 2 * 10**16)
     scored = links.best_per_url(links.score(raw.unionByName(known.select(*raw.columns))), KEY)
-    chosen = written(links.follow(scored, KEY, F.lit(hop >= 1)), "links")
+    winner = links.clear_winner(links.follow(scored, KEY, F.lit(hop >= 1)), KEY, F.lit(True))
+    chosen = written(links.logged(winner, KEY), "links")
     per_page = chosen.groupBy(*KEY).agg(
         F.count("*").alias("n_links"), F.max("link_score").alias("best_link"),
         F.max(F.when(F.col("followed"), F.struct("link_url", "label", "resolver", "hub_score", "link_reasons"))).alias("next"),
+        F.array_sort(F.collect_list("logged")).alias("links"), F.bool_or("clear").alias("clear_link"),
     )
     kind = navigation.document_kind(
         F.coalesce("n_links", F.lit(0)), F.coalesce("best_link", F.lit(0.0)), F.col("blocks"), F.col("signals"), F.col("kinds"), F.col("dead")
@@ -325,12 +329,14 @@ def resolve(
         validate.issue(many & ~picked, "multiple-categories-detected", details=F.col("families")),
         validate.issue(~many & ~picked & (F.col("n_candidates") > 0), "no-unique-section-match"),
         validate.issue(picked & (F.size("request_issues") > 0), "invalid-request"),
-        validate.issue((F.col("hop") > 0) & ~picked, "no-valid-followed-guide"),
+        validate.issue((F.col("hop") > 0) & ~picked, LED_NOWHERE),
         validate.issue(F.col("external_outcome") == "error", "llm-fallback-error", "warning", F.array_compact(F.array("external_message"))),
         validate.issue(F.size(F.coalesce("external_warnings", F.array().cast("array<string>"))) > 0, "llm-warning", "warning", F.col("external_warnings")),
     )
     none = F.array().cast(f"array<{validate.ISSUE}>")
     ready = validate.is_ready(F.col("status"), F.col("resolved_category"), F.col("resolved_system")) & (F.size("request_issues") == 0)
+    behind = F.slice(validate.codes(F.filter(F.concat(flow, F.coalesce("issues", none)), lambda i: (i["severity"] == "error") & (i["code"] != LED_NOWHERE))), 1, MOST_DETAILS)
+    flow = F.transform(flow, lambda i: F.when(i["code"] == LED_NOWHERE, i.withField("details", behind)).otherwise(i))
     out = out.withColumns({"has_guide": F.coalesce(ready, F.lit(False)), "all_issues": F.concat("request_issues", flow, F.coalesce("issues", none))})
     ambiguous = (many & ~picked) | (~many & ~picked & (F.col("n_candidates") > 0))
     status = F.when(F.col("has_guide"), "accepted").when(picked & (F.size("request_issues") == 0), F.col("status")).when(ambiguous, "ambiguous").otherwise("rejected")
@@ -488,6 +494,12 @@ def strict_guides(reports: DataFrame, sizes_: DataFrame) -> DataFrame:
     )
 
 
+def previews(reports: DataFrame, sizes_: DataFrame) -> DataFrame:
+    """The sizes of every guide as a reader is shown them: request_id, row_ord, label and shown (field, text)."""
+    good = reports.where("has_guide").select(*KEY, "new_ord")
+    return export.shown_rows(sizes_.join(good, [*KEY, "new_ord"])).select("request_id", "row_ord", "label", "shown")
+
+
 def export_files(reports: DataFrame, sizes_: DataFrame, pretty: bool = False) -> DataFrame:
     """export_kind, file and json of both exports of every guide, for sinks.write_exports() and write_guides()."""
     payloads = import_payloads(reports, sizes_)

@@ -641,4 +641,4 @@ def candidate_select(spark, sf_dir):
     return best.select("p_partkey", "id", "score", "rank", "selected", F.array_join("strict", ",").alias("strict"))
 
 
-from tablewright.plans import batch_queries, fetch_queries, page_queries  # noqa: E402, F401 - register their queries beside these
+from tablewright.plans import batch_queries, fetch_queries, link_queries, page_queries  # noqa: E402, F401 - register their queries beside these

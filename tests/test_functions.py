@@ -125,7 +125,7 @@ def test_links(spark):
     raw = raw.withColumns({"heading_path": F.array().cast("array<string>"), "nearby": F.lit(""), "resolver": F.lit("generic")})
     best = links.follow(links.best_per_url(links.score(raw.unionByName(known)), ["id"]), ["id"], F.lit(True))
     got = {r.label: r for r in best.collect()}
-    assert got["Supplied fallback guide 1"].followed and got["Men's tops size chart"].pool == 2
+    assert got["Fallback guide fourni 1"].followed and got["Men's tops size chart"].pool == 2
     assert "women" in got["Women size guide"].hard and "product-page" in got["Nike Dri-FIT tee $30"].hard and "Cart" not in got
     clear = links.clear_winner(best, ["id"], F.lit(False)).where("clear").collect()
     assert len(clear) <= 1 and got["Men's tops size chart"].link_score > got["Women size guide"].link_score
