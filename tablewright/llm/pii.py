@@ -90,6 +90,7 @@ GENERATORS = (
     (2, re.compile(r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])")),
     (3, re.compile(r"(?<![\w+])\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}(?:[ ./-][0-9]{2,4}){1,3}(?!\w)")),
     (3, re.compile(r"(?<![\w+])00[1-9][0-9]{8,12}(?!\w)")),
+    (3, re.compile(r"(?<![\w+.,/-])(?:\(0[0-9]{1,4}\) ?|0[0-9]{1,4}[ /-])[0-9]{5,8}(?![\w/-])(?!\.[0-9])")),
 )
 _GATE = re.compile(r"[0-9]|\b(?:dot|DOT)\b|[\[({](?:at|AT|@)[\])}]")
 
@@ -228,38 +229,43 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, int, int, int, int]]:
         return r.choice([
             f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}{s}{number(3)}{s}{number(4)}",
             f"0{number(3)}{s}{number(3)}{s}{number(3)}", f"0{number(1)}{s}{number(4)}{s}{number(4)}",
-            f"00{r.randint(1, 9)}{number(10)}",
+            f"00{r.randint(1, 9)}{number(10)}", f"0{number(2)}{r.choice(' /-')}{number(7)}", f"0{number(3)}{r.choice(' /-')}{number(r.randint(5, 8))}",
+            f"(0{number(r.randint(2, 4))}) {number(r.randint(5, 8))}",
         ])
 
     def hidden_mail():
         a, o = r.choice([(" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "."), (" AT ", " DOT ")])
         return f"{word()}{r.choice(['', '.' + word(), number(2)])}{a}{word()}{o}{r.choice(['com', 'org', 'net', 'de'])}"
 
+    def luhn_groups():
+        while True:
+            d = number(16)
+            if luhn(d):
+                return [d[i : i + 4] for i in range(0, 16, 4)]
+
     def not_phone():
         return r.choice([
             f"{r.randint(1900, 2099)}-{number(3)}-{number(2)}", f"20{number(2)} {number(3)} {number(3)}",
             f"{number(3)}.{number(3)}.{number(2)}", f"{number(2)} {number(3)} {number(3)}",
-            f"{number(4)}-{number(4)}-{number(4)}-{number(4)}", f"00{r.randint(1, 9)}{number(9)}",
+            r.choice("-./ ").join(number(4) for _ in range(4)), r.choice("./").join(luhn_groups()), f"00{r.randint(1, 9)}{number(9)}",
         ])
 
     def not_mail():
         return r.choice([f"{word()} at {word()} dot {word()}", f"{word()} at the dot {word()}", f"look at {word()} dot {word()} dot {word()}"])
 
     def card():
-        while True:
-            d = number(16)
-            if luhn(d):
-                return r.choice("./_").join(d[i : i + 4] for i in range(0, 16, 4))
+        return r.choice("./_").join(luhn_groups())
 
     made = []
     good = ["phone", "tel", "call", "mobile", "contact", "reach me", "fax", "mail", "e-mail", "write to", "card", "visa", "host", ""]
+    dials = ["phone", "tel", "call", "mobile", "contact", "reach me", "fax", "my phone is", "call me on", "telephone", "tel no", "my new number", ""]
     bad = ["order", "invoice", "version", "isbn", "article", "serial", "part", "ref", "id", "total", "table", "", ""]
     while len(made) < n:
         label = int(r.random() < 0.5)
         if label:
             kind = r.choice((0, 1, 2, 3, 3))
             span = (hidden_mail, lambda: "[.]".join(str(r.randint(0, 255)) for _ in range(4)), card, phone)[kind]()
-            lead = r.choice(good) if kind != 3 or r.random() < 0.9 else ""
+            lead = r.choice(good if kind != 3 else dials) if kind != 3 or r.random() < 0.9 else ""
         else:
             kind = r.choice((0, 2, 3, 3, 3))
             span = (not_mail, None, lambda: r.choice("./_").join(number(4) for _ in range(4)), lambda: r.choice((not_phone, not_phone, phone))())[kind]()

@@ -287,6 +287,21 @@ def test_added_spans_on_sentences_labelled_by_hand():
     assert right >= 5 and wrong <= 1
 
 
+#: Kind (or none) that is added for a number in a sentence of a reviewer.
+KINDS_BY_HAND = (
+    ("card 4111.1111.1111.1111", "card"), ("Pay with 4111_1111_1111_1111 today", "card"), ("my card is 4111/1111/1111/1111.", "card"),
+    ("call 030 1234567", "phone"), ("reach me at 030/1234567", "phone"), ("call me on (0221) 123456 today", "phone"), ("tel 0171 234 5678", "phone"),
+    ("server 10[.]0[.]0[.]1", "ip"), ("john at mail dot com", "email"), ("invoice 4111.1111.1111.1112", None), ("article 030 1234567", None),
+    ("order no 0171 2345678", None), ("page 12 3456789", None), ("version 123.456.78", None), ("in 1999 1234567 people", None),
+)
+
+
+def test_kinds_of_added_spans():
+    model = pii.trained()
+    for text, kind in KINDS_BY_HAND:
+        assert [pii.KINDS[k] for _, k, _ in pii.all_spans(text, model)[1]] == [kind] * (kind is not None), text
+
+
 def test_pii_rows(spark, frame):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
