@@ -18,8 +18,10 @@ No word list is made anywhere. A logistic model turns a document's distances int
 score; it is calibrated on a third of the sample that trained no dictionary, and
 weighs both kinds by their shares of all training labels.
 
-Training takes a bounded sample (TOXIC and ORDINARY documents, TRAINED windows of
-each) on the driver; the model is about a hundred kilobytes. Scoring is one pass over
+Training takes a bounded sample of labelled rows on the driver: at most TOXIC and
+ORDINARY documents, of which whole ones train in the order of a hash of their ids; one
+that TRAINED characters of its label no longer have room for is passed over. No text
+is cut. The model is about a hundred kilobytes. Scoring is one pass over
 whole texts without any shuffle.
 """
 
@@ -39,8 +41,8 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import body, table, written
 from tablewright.llm.labelled import held_out, sample
 
-#: Most toxic and ordinary documents that are learned from, and windows of each.
-TOXIC, ORDINARY, TRAINED = 2000, 5000, 200
+#: Most toxic and ordinary documents that are learned from, and characters of each label that train dictionaries.
+TOXIC, ORDINARY, TRAINED = 2000, 5000, {1: 4_000_000, 0: 8_000_000}
 
 #: Codes of a window, letters of a step, bytes of a code and of the shortest match.
 WINDOW, STEP, CODE, MATCH = 24, 4, 8, 6
@@ -219,20 +221,28 @@ def _key(doc_id: int) -> int:
     return zlib.crc32(f"toxicity {doc_id}".encode())
 
 
+def fitting(sizes: list[tuple[int, int, int]], room: dict[int, int]) -> set[int]:
+    """Ids of (id, label, characters) that train: whole documents in the order of their hash while their label has room."""
+    left, out = dict(room), set()
+    for doc_id, label, size in sorted(sizes, key=lambda r: (_key(r[0]), r)):
+        if size <= left[label]:
+            left[label] -= size
+            out.add(doc_id)
+    return out
+
+
 def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
     """The model of a bounded sample: its windows train on the driver, its features are made in tasks."""
     chosen, weights = sample(docs, labels, label_col, {1: TOXIC, 0: ORDINARY}, id_col, text_col)
     chosen = written(chosen, "toxicity-sample")
 
+    sizes = chosen.select("id", "label", F.length("text").alias("n")).groupBy("id", "label").agg(F.sum("n").alias("n")).collect()
+    fits = fitting([(r["id"], r["label"], r["n"]) for r in sizes if not calibrates(_key(r["id"]))], TRAINED)
+
     def cut(batches):
         for part in batches:
-            rows = []
-            for doc_id, label, text in zip(part["id"], part["label"], part["text"], strict=True):
-                if not calibrates(_key(doc_id)):
-                    own = windows(text)
-                    at = range(len(own)) if len(own) <= TRAINED else np.linspace(0, len(own) - 1, TRAINED).astype(int)
-                    rows.append((doc_id, label, [own[i] for i in at]))
-            yield pd.DataFrame(rows, columns=["id", "label", "parts"])
+            own = part[part["id"].isin(fits)]
+            yield pd.DataFrame({"id": own["id"], "label": own["label"], "parts": [windows(t) for t in own["text"]]})
 
     rows = chosen.mapInPandas(cut, "id long, label int, parts array<binary>").collect()
     model = learn([(_key(r["id"]), r["label"], list(map(bytes, r["parts"]))) for r in sorted(rows, key=lambda r: r["id"])])

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tablewright.llm import labelled, language, quality, toxicity
@@ -55,6 +56,48 @@ def test_toxicity_on_held_out_labels(tables):
     assert found[1, 0] <= 1 and found[1, 1] / (found[1, 1] + found[0, 1]) > 0.3  # 50 toxic texts teach three of ten
 
 
+def plain_toxicity(model, text):
+    """The score of a text from its compressed lengths, one window and one sum at a time."""
+    codes = []
+    for piece in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text.lower()):
+        last = b""
+        for i in range(0, len(piece), 4):
+            last = xxhash.xxh64_digest(last + piece[i : i + 4].encode("utf-8", "surrogatepass"))
+            codes.append(last)
+    plain, toxic = toxicity.compressor(model.ordinary), toxicity.compressor(model.toxic + model.ordinary)
+    saved = []
+    for i in range(0, len(codes), 24):
+        window = b"".join(codes[i : i + 24])
+        saved.append(len(plain.compress(window)) - len(toxic.compress(window)))
+    x = [0.0] * 7
+    if saved:
+        sure, hits = [max(0, v - 2) for v in saved], sum(v >= 4 for v in saved)
+        x = [
+            math.log1p(sum(sure)), 10 * sum(sure) / (len(codes) + 40), math.log1p(max(sure)), math.log1p(hits), hits / len(saved),
+            math.log1p(len(codes)), min(5, max(-3, 10 * sum(saved) / (len(codes) + 40))),
+        ]
+    q = [(v - m) / d for v, m, d in zip(x, model.mean, model.dev, strict=True)]
+    terms = [1.0, *q, *[v * v for v in q], q[0] * q[5]]
+    return 1 / (1 + math.exp(-min(30, max(-30, sum(t * w for t, w in zip(terms, model.weights, strict=True))))))
+
+
+def test_toxicity_equals_a_plain_version(tables):
+    docs, labels = tables
+    model = toxicity.trained(docs, labels, "doc_id", "text", "toxic")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    for r in docs.collect():
+        want = plain_toxicity(model, r.text or "")
+        assert abs(got[r.doc_id].score - want) < 1e-9 and got[r.doc_id].predicted == (want >= 0.7)
+
+
+def test_whole_documents_train_while_there_is_room():
+    sizes = [(i, i % 2, 100 + i) for i in range(50)] + [(99, 1, 10**9)]
+    kept = toxicity.fitting(sizes, {0: 1000, 1: 5000})
+    used = {v: sum(n for i, y, n in sizes if y == v and i in kept) for v in (0, 1)}
+    assert 800 < used[0] <= 1000 and kept >= {i for i in range(50) if i % 2} and 99 not in kept
+    assert toxicity.fitting(sizes[::-1], {0: 1000, 1: 5000}) == kept and toxicity.fitting([], {0: 1}) == set()
+
+
 def test_language_on_the_held_out_fold(tables):
     docs, _ = tables
     known = {r.doc_id: r.lang for r in docs.collect()}
