@@ -31,7 +31,8 @@ def is_size(label: Column) -> Column:
         bare = n.rlike(BARE) & ~n.contains("cm")
         return (n != "") & (is_alpha(n) | n.rlike(NUMBER) | n.rlike(WAIST_INSEAM) | bare)
 
-    return let(token(label), test)
+    # digits alone, as many labels are, stay as they are in token() form
+    return label.rlike(r"^\d+\z") | let(token(label), test)
 
 
 def fit_variant(text: Column) -> Column:
@@ -121,6 +122,11 @@ def table_system(axis: Column, headers: Column, stub: Column, context: Column) -
 
 def sequence_gaps(labels: Column) -> Column:
     """Sizes missing between the smallest and the largest of XS to XL that labels (raw) hold."""
+    return canonical_gaps(F.transform(labels, canonical))
+
+
+def canonical_gaps(labels: Column) -> Column:
+    """sequence_gaps() of labels in canonical() form."""
     base = F.array(*map(F.lit, BASE_SEQUENCE))
 
     def of(held: Column) -> Column:
@@ -132,4 +138,4 @@ def sequence_gaps(labels: Column) -> Column:
 
         return F.coalesce(let(at, between), F.array().cast("array<string>"))
 
-    return let(F.transform(labels, canonical), of)
+    return let(labels, of)

@@ -1,7 +1,7 @@
 """Matrix operators: normal form, orientation, and measures in long and wide form.
 
-A matrix is a column of array<array<string>>; nothing here shuffles but the grouping
-of cells by row, which is by the candidate's key.
+A matrix is a column of array<array<string>>; nothing here shuffles but wide(), which
+groups cells by row.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewright.domain import FIELDS
 from tablewright.functions import sizes, units
-from tablewright.functions.text import clean
+from tablewright.functions.text import clean, let
 
 
 def padded(matrix: Column) -> Column:
@@ -68,52 +68,79 @@ def cells(df: DataFrame, key: list[str], matrix: str = "matrix", keep: tuple[str
     ).withColumn("header", F.get("_headers", F.col("col"))).drop("_headers")
 
 
+#: A number alone, as most cells are; a unit is then its header's.
+_NUMBER = r"^\d+(?:[.,]\d+)?\z"
+
+
+def _lines(matrix: Column, table_unit: Column) -> Column:
+    """The sizes of a padded matrix whose first column holds them and whose first row names fields.
+
+    array<struct<row_ord, label, cells: array<struct<field, cm, raw>>>>, of rows that hold a
+    measure. Headers are read once a table, labels once a row; of two cells for one field
+    the later stands.
+    """
+    heads = F.transform(
+        F.get(matrix, F.lit(0)),
+        lambda h: F.struct(units.field_of(h).alias("field"), units.cell_unit(h, F.lit(""), table_unit).alias("unit"), h.alias("text")),
+    )
+
+    def cell(text: Column, head: Column) -> Column:
+        plain = let(units.number(text), lambda v: F.struct(units.to_cm(v, head["unit"]).alias("low"), units.to_cm(v, head["unit"]).alias("high")))
+        cm = F.when(text.rlike(_NUMBER), plain).otherwise(units.range_cm(text, units.cell_unit(head["text"], text, table_unit)))
+        return F.when((text != "") & head["field"].isNotNull(), F.struct(head["field"].alias("field"), cm.alias("cm"), text.alias("raw")))
+
+    def last(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda c: c["field"]))
+        latest = F.transform(names, lambda f: F.element_at(F.filter(found, lambda c: c["field"] == f), -1))
+        return F.when(F.size(names) < F.size(found), latest).otherwise(found)
+
+    def line(row: Column, at: Column, heads: Column) -> Column:
+        read = F.transform(row, lambda text, i: F.when(i > 0, let(F.trim(text), lambda t: cell(t, F.get(heads, i)))))
+        fine = F.filter(read, lambda c: c["cm"].isNotNull())
+        named = let(F.trim(F.get(row, F.lit(0))), lambda n: F.when((at > 0) & (n != "") & sizes.is_size(n), n))
+        return let(
+            named, lambda n: F.when(n.isNotNull(), F.struct(at.alias("row_ord"), n.alias("label"), let(fine, last).alias("cells")))
+        )
+
+    rows = let(heads, lambda h: F.transform(matrix, lambda r, i: line(r, i, h)))
+    return F.filter(rows, lambda x: F.size(x["cells"]) > 0)
+
+
+def _read(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each size of candidates (key, matrix, orientation, unit): key, row_ord, label and cells."""
+    m, unit, way = F.col("_m"), F.col("unit"), F.col("orientation")
+    width = F.size(F.get(m, F.lit(0)))
+    turned = F.when(width > 0, F.transform(F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1), lambda j: F.transform(m, lambda r: F.get(r, j))))
+    ways = F.when(way == "size-rows", F.array(m)).when(way == "size-columns", F.array(turned)).when(way == "unknown", F.array(m, turned))
+    # of an unknown orientation columns count only where no row was read
+    found = F.get(F.filter(F.transform(ways, lambda t: _lines(t, unit)), lambda r: F.size(r) > 0), F.lit(0))
+    padded_ = df.select(*key, "orientation", "unit", padded(F.col("matrix")).alias("_m"))
+    return padded_.select(*key, F.explode(found).alias("_l")).select(*key, "_l.*")
+
+
 def measures(df: DataFrame, key: list[str]) -> DataFrame:
     """Long form of the measures of candidates (key, matrix, orientation, unit).
 
     key, row_ord, label, field, low_cm, high_cm, raw. size-rows reads fields from the
     headers and sizes from the first column, size-columns the other way round, a
     conversion grid nothing; of an unknown orientation rows are tried, then columns.
-    Of two cells for one size and field the later stands.
+    Of two cells for one size and field the later stands. Key names one candidate;
+    nothing is shuffled, as a candidate holds all of its table.
     """
-    long = cells(df.withColumn("_padded", padded(F.col("matrix"))), key, "_padded", ("orientation", "unit"))
-    inner = long.where((F.col("row") > 0) & (F.col("col") > 0) & (F.trim("text") != ""))
-
-    def read(way: str, label: str, head: str, at: str, then: str, own: list[str]) -> DataFrame:
-        # one generator computes and tests a cell's measure: a filter over its columns
-        # would be pushed below them, and every cell parsed twice
-        measure = F.struct(
-            F.trim(label).alias("label"), units.field_of(F.col(head)).alias("field"), F.trim("text").alias("raw"),
-            units.range_cm(F.trim("text"), units.cell_unit(F.col(head), F.trim("text"), F.col("unit"))).alias("cm"),
-        )
-
-        def fine(m: Column) -> Column:
-            return m["field"].isNotNull() & m["cm"].isNotNull() & (m["label"] != "") & sizes.is_size(m["label"])
-
-        found = inner.where(F.col("orientation").isin(*own)).select(
-            *key, F.lit(way).alias("way"), F.col("orientation"), F.col(at).alias("row_ord"), F.col(then).alias("_then"),
-            F.explode(F.filter(F.array(measure), fine)).alias("_m"),
-        )
-        return found.select(*key, "way", "orientation", "row_ord", "_then", "_m.*")
-
-    by_rows = read("rows", "stub_text", "header", "row", "col", ["size-rows", "unknown"])
-    by_cols = read("columns", "header", "stub_text", "col", "row", ["size-columns", "unknown"])
-    both = by_rows.unionByName(by_cols)
-    last = (
-        both.groupBy(*key, "way", "row_ord", "field")
-        .agg(F.max_by(F.struct("label", "cm", "raw", "orientation"), "_then").alias("_v"))
-        .select(*key, "way", "row_ord", "field", "_v.*")
-    )
-    # of an unknown orientation columns count only where no row was read
-    rows_of_unknown = last.where("orientation = 'unknown' AND way = 'rows'").select(*key).distinct()
-    chosen = last.where("NOT (orientation = 'unknown' AND way = 'columns')").unionByName(
-        last.where("orientation = 'unknown' AND way = 'columns'").join(rows_of_unknown, key, "left_anti")
-    )
-    return chosen.select(
-        *key, "row_ord", "label", "field", F.col("cm.low").alias("low_cm"), F.col("cm.high").alias("high_cm"), "raw"
+    found = _read(df, key).select(*key, "row_ord", "label", F.explode("cells").alias("_c"))
+    return found.select(
+        *key, "row_ord", "label", "_c.field", F.col("_c.cm.low").alias("low_cm"), F.col("_c.cm.high").alias("high_cm"), "_c.raw"
     )
 
 
+def measured(df: DataFrame, key: list[str]) -> DataFrame:
+    """wide() of measures(), made from each table in place."""
+    rows = _read(df, key).withColumn("_at", F.map_from_entries(F.transform("cells", lambda c: F.struct(c["field"], c["cm"]))))
+    ends = [F.col("_at")[f][end].alias(f"{f}_{end}") for f in FIELDS for end in ("low", "high")]
+    raw = F.map_from_entries(F.array_sort(F.transform("cells", lambda c: F.struct(c["field"], c["raw"]))))
+    return _named(rows.select(*key, "row_ord", "label", *ends, raw.alias("raw")))
+
+
 def wide(long: DataFrame, key: list[str]) -> DataFrame:
     """One row for each size: label, canonical label, variant, low and high columns of every field, raw map."""
     ends = [
@@ -122,4 +149,8 @@ def wide(long: DataFrame, key: list[str]) -> DataFrame:
     rows = long.groupBy(*key, "row_ord", "label").agg(
         *ends, F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "raw")))).alias("raw")
     )
+    return _named(rows)
+
+
+def _named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("canonical", sizes.canonical(F.col("label"))).withColumn("variant", sizes.row_variant(F.col("label")))

@@ -250,7 +250,7 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 def _rows(cands: DataFrame, external: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Validated candidates by extraction (table, then external rows), and their sizes."""
     key = [*KEY, "new_ord"]
-    own = written(matrix.wide(matrix.measures(cands, key), key), "sizes")
+    own = written(matrix.measured(cands, key), "sizes")
     rows = own.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("row_ord", "label", F.map_keys("raw").alias("fields")))).alias("rows"))
     none = F.array().cast("array<struct<row_ord:int,label:string,fields:array<string>>>")
     made = cands.join(rows, key, "left").withColumn("rows", F.coalesce("rows", none))
