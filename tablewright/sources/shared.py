@@ -51,3 +51,13 @@ def clear(spark: SparkSession) -> None:
 def _deleted(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df's rows dealt evenly to as many tasks as the session has shuffle partitions, to two for each core at least.
+
+    For steps whose rows cost much more to work on than to ship: the splits of a scan and
+    the partitions of a shuffle go by bytes, and a small table of many rows may be one.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
