@@ -273,9 +273,9 @@ def html_table_sizes(spark, sf_dir):
     head = "<html><body><h2>Chart</h2><table><tr><th>Size</th><th>Chest (cm)</th><th>Waist (cm)</th></tr>"
     source = F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["row"]), ""), F.lit("</table></body></html>"))
     docs = lines.select(F.col("l_orderkey").cast("string").alias("url"), F.lit("static").alias("renderer"), source.alias("html"))
-    found = html.parse(docs).select("url", F.explode("tables").alias("t")).where("t.kind = 'html-table'").select("url", "t.matrix")
+    found = html.parse(docs, spread=False).select("url", F.explode("tables").alias("t")).where("t.kind = 'html-table'").select("url", "t.matrix")
     tables = found.withColumns({"matrix": matrix.normal(F.col("matrix")), "unit": F.lit("cm"), "orientation": F.lit("size-rows")})
-    rows = matrix.wide(matrix.measures(tables, ["url"]), ["url"])
+    rows = matrix.measured(tables, ["url"])
     return rows.select(F.col("url").cast("long").alias("id"), "row_ord", "label", "chest_low", "waist_high")
 
 
