@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tablewright.functions import categories, sizes, units
 from tablewright.functions.text import joined
 from tablewright.operators.matrix import normal, with_axes
+from tablewright.sources.shared import dealt
 
 _EMPTY = ("title", "subheading", "nearby")
 
@@ -19,9 +20,10 @@ def describe(tables: DataFrame) -> DataFrame:
     Needs kind, matrix, heading_path, title, subheading, nearby. Adds headers, stub,
     size_axis, orientation, fields, unit, category, family, rule, mapping, audience,
     variant, size_system, tabular and base_confidence (without the navigation's part).
-    Tables without two rows in normal form are left out.
+    Tables without two rows in normal form are left out. Tables are dealt to all tasks
+    first, as their rules cost far more than to ship them.
     """
-    df = tables.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in _EMPTY})
+    df = dealt(tables).withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in _EMPTY})
     df = df.withColumn("heading_path", F.coalesce("heading_path", F.array().cast("array<string>")))
     df = with_axes(df.withColumn("matrix", normal(F.col("matrix"))).where(F.size("matrix") >= 2))
     headers, stub, axis, fields = map(F.col, ("headers", "stub", "size_axis", "fields"))

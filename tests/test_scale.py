@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import matrix
+from tablewright.operators import candidates, matrix
 from tablewright.sources import html
 
 TABLE = [["Size", "Chest (cm)", "Waist in", "Chest"], ["32", "88", "30", " 90 "], ["M", "1 1/2", "", "x"], ["note", "1", "2", "3"]]
@@ -38,3 +38,12 @@ def test_measured_is_the_wide_form_of_measures(spark):
     df = spark.createDataFrame(rows, "id int, matrix array<array<string>>, orientation string, unit string")
     own, long = (sorted(map(str, d.collect())) for d in (matrix.measured(df, ["id"]), matrix.wide(matrix.measures(df, ["id"]), ["id"])))
     assert own == long and len(own) == 6
+
+
+def test_tables_of_one_split_are_dealt_to_all_tasks(spark):
+    df = spark.range(40, numPartitions=1).select(
+        F.lit("html-table").alias("kind"), F.lit([["Size", "Chest"], ["S", "88"]]).alias("matrix"), F.array(F.lit("Tops")).alias("heading_path"),
+        F.lit("Tops").alias("title"), F.lit("").alias("subheading"), F.lit("").alias("nearby"),
+    )
+    found = candidates.describe(df).groupBy(F.spark_partition_id()).count().collect()
+    assert len(found) > 8 and sum(r["count"] for r in found) == 40
