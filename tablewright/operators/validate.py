@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.domain import BOTTOM_CATEGORIES, BOTTOM_FIELDS, FIELDS, SHOE_FIELDS, TOP_CATEGORIES, TOP_FIELDS
 from tablewright.functions import categories, sizes
+from tablewright.functions.text import let
 
 ISSUE = "struct<code:string,severity:string,details:array<string>>"
 
@@ -74,14 +75,20 @@ def validate(df: DataFrame) -> DataFrame:
         F.when(system.isNotNull(), F.when(own == system, system)).otherwise(F.when(~own.isin("UNKNOWN", "NUMERIC"), own)),
     )
     visible = F.col("size_axis")
-    seen, got = F.transform(visible, sizes.canonical), F.transform(labels, sizes.canonical)
-    df = df.withColumns(
-        {
-            "_gaps": sizes.sequence_gaps(labels),
-            "_extra": F.filter(labels, lambda x: ~F.array_contains(seen, sizes.canonical(x))),
-            "_missing": F.filter(visible, lambda x: ~F.array_contains(got, sizes.canonical(x))),
-        }
+    # every label's canonical form once, not once for each that it is held against
+    both = F.struct(
+        visible.alias("visible"), F.transform(visible, sizes.canonical).alias("seen"), labels.alias("labels"), F.transform(labels, sizes.canonical).alias("got")
     )
+
+    def held_against(b: Column) -> Column:
+        return F.struct(
+            sizes.canonical_gaps(b["got"]).alias("gaps"),
+            F.filter(b["labels"], lambda _, i: ~F.array_contains(b["seen"], F.get(b["got"], i))).alias("extra"),
+            F.filter(b["visible"], lambda _, i: ~F.array_contains(b["got"], F.get(b["seen"], i))).alias("missing"),
+        )
+
+    df = df.withColumn("_labels", let(both, held_against))
+    df = df.withColumns({f"_{name}": F.col(f"_labels.{name}") for name in ("gaps", "extra", "missing")}).drop("_labels")
     n, m = F.size(visible), F.size("rows")
     lost = (n >= 4) & (m < F.ceil(n * 0.75))
     some = F.size("_missing") > 0
