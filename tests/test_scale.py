@@ -20,6 +20,12 @@ def test_pages_of_one_split_are_dealt_to_all_tasks(spark):
     assert len(found) > 8 and sum(r["count"] for r in found) == 40
 
 
+def test_markdown_of_one_split_is_made_by_all_tasks(spark):
+    docs = spark.range(40, numPartitions=1).select(F.col("id").cast("string").alias("url"), F.lit("<h1>a</h1>").alias("html"), F.lit("").alias("markdown"))
+    found = html.with_markdown(docs).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("markdown").alias("m")).collect()
+    assert len(found) > 8 and sum(r.n for r in found) == 40 and {r.m for r in found} == {"# a\n\na"}
+
+
 def test_body_leaves_heads_out():
     page = "a<head>b<style>c</style></head>d<div><head>e<head>f</head></head>g<script>h</script></div>i"
     root = html.parsed(page)
