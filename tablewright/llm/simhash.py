@@ -115,6 +115,9 @@ def links(fps: DataFrame, most: int = LINK, hot: int = HOT) -> DataFrame:
     Keys that come from a segment's value in more than hot fingerprints would meet too
     many others: these have, beside the segment's variant, each of most + 1 parts of
     the other bits as a second key, one of which is equal in every link.
+
+    The index meets itself by a merge, by a hint: it has 64 rows and more for each of fps, but
+    Spark sizes what an explode makes as what goes in, and would send it to the driver.
     """
     values = [F.struct(F.lit(first).alias("first"), F.shiftright("fp", first).bitwiseAND(F.lit((1 << n) - 1)).alias("part")) for first, n in SEGMENTS]
     often = fps.select(F.explode(F.array(*values)).alias("v")).groupBy("v.first", "v.part").count().where(F.col("count") > hot)
@@ -139,7 +142,7 @@ def links(fps: DataFrame, most: int = LINK, hot: int = HOT) -> DataFrame:
             found = F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(j)).otherwise(found)
         return found
 
-    return left.join(
+    return left.hint("merge").join(
         right,
         (F.col("key") == F.col("other"))
         & (F.col("no") == F.col("its_no"))

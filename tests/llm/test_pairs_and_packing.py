@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.llm import packing, pii, simhash, topk
 
@@ -82,6 +83,14 @@ def test_links_find_every_pair_once(frame, hot):
     assert got == want
 
 
+def test_index_of_links_is_never_broadcast(spark):
+    # no value of a segment is hot, so that the plan's sizes come from the few bytes before the explode
+    found = simhash.links(spark.range(300).select(F.xxhash64("id").alias("fp")))
+    assert found.collect() == []
+    last = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in last and "BroadcastHashJoin" not in last
+
+
 def test_components_of_long_chains(frame):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (200, 199)]
     got = {r.node: r.root for r in simhash.components(frame(edges, "a long, b long")).collect()}
