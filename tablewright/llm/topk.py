@@ -136,10 +136,11 @@ def top_k(
 
     of_queries = blocks(asks, across).toDF("q_dim", "q_block", "q_n", "q_ids", "q_vectors")
     of_rows = blocks(rows, down)
-    # every block of queries is matched with every block of rows: both sides carry the other's numbers
+    # every block of queries is matched with every block of rows: both sides carry the other's numbers. They meet by a
+    # merge, by a hint: Spark sizes a block as a row of a hundred bytes and one copy of it, and would send all to the driver
     left = of_queries.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
     right = of_rows.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    grid = left.join(
+    grid = left.hint("merge").join(
         right, (F.col("q_dim") == F.col("dim")) & (F.col("q_block") == F.col("r_block")) & (F.col("c_block") == F.col("block"))
     ).select("q_n", "q_ids", "q_vectors", "n", "ids", "vectors")
 

@@ -115,6 +115,15 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, topk.top_k(vectors).collect())) == plain_top(rows)
 
 
+def test_blocks_are_never_broadcast(spark, monkeypatch):
+    # a block of vectors counts as a hundred bytes in the plan's sizes, and its copies as none
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    found = topk.top_k(spark.read.parquet(f"{SF}/embeddings.parquet"))
+    assert found.count() == len(found.collect()) == 50
+    last = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" in last and "BroadcastHashJoin" not in last
+
+
 def test_topk_edge_cases(frame):
     kind = "vec_id long, embedding array<float>, score string"
     inf, nan = float("inf"), float("nan")
