@@ -68,7 +68,8 @@ def directory(hashes: DataFrame, n: int, capacity: int, total: int = 0) -> tuple
     ways = ways.withColumn("first", F.expr(f"(leaf >> ({bits} - depth)) << ({bits} - depth)"))
     fitting = ways.groupBy("depth", "first").agg(F.sum("keys").alias("held"), F.sum("bytes").alias("bytes"))
     fitting = fitting.where(((F.col("held") <= capacity) & (F.col("bytes") <= BYTES)) | (F.col("depth") == bits)).drop("bytes")
-    own = ways.join(fitting, ["depth", "first"]).groupBy("leaf").agg(F.min(F.struct("depth", "first")).alias("b"))
+    # by a merge: Spark sizes ways as it was before its explode
+    own = ways.hint("merge").join(fitting, ["depth", "first"]).groupBy("leaf").agg(F.min(F.struct("depth", "first")).alias("b"))
     leaves = written(own.select("leaf", F.col("b.first").alias("bucket"), F.col("b.depth").alias("local_depth")), "dedup-leaves")
     depth = leaves.agg(F.max("local_depth")).first()[0] or 0
     slots = leaves.select(F.shiftright("leaf", bits - depth).alias("slot"), "bucket", "local_depth").distinct()

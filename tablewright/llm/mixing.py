@@ -140,7 +140,8 @@ def mix(
     )
     words = (F.col("to") - F.col("from")) * F.col("times") + F.greatest(F.lit(0), F.least("to", F.coalesce("part", F.lit(0))) - F.col("from"))
     taken = (
-        inside.join(taken_blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("no")))
+        inside.hint("merge")  # a row for each block of a document, but Spark sizes the table before its explode
+        .join(taken_blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("no")))
         .groupBy(F.col("row_id").alias("row"))
         .agg(F.sum(words).alias("taken"))
     )

@@ -209,6 +209,16 @@ def test_mix_of_many_sources(frame):
     assert {r.source: r.target for r in got} == pytest.approx(want)
 
 
+def test_blocks_of_documents_are_never_broadcast(spark):
+    # 60 rows hold 37500 blocks, which the plan's sizes don't count
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 40000).alias("text"), F.lit("a").alias("source"))
+    found = mixing.mix(docs)
+    assert {(r.size, r.taken) for r in found.collect()} == {(40000, 40000)}
+    last = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    by_block = [x for x in last.splitlines() if "Join [" in x and ", block#" in x]
+    assert by_block and all("SortMergeJoin" in x for x in by_block)
+
+
 def test_mix_with_nulls_caps_and_nothing(frame):
     rows = [(1, "a " * 900, None, "big", 0, None, 0), (2, "b " * 40, None, "a", 0, None, 0), (3, None, None, None, 0, None, 0), (4, "c " * 50, None, None, 0, None, 0)]
     got = {r.doc_id: r for r in mixing.mix(frame(rows, DOCS)).collect()}
