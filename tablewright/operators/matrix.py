@@ -16,13 +16,22 @@ from tablewright.functions.text import clean, let
 
 def padded(matrix: Column) -> Column:
     """Every row as long as the longest."""
-    width = F.array_max(F.transform(matrix, F.size))
-    return F.transform(matrix, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+
+    def to(rows: Column, width: Column) -> Column:
+        return F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+
+    # bound, as else the matrix would be made anew for each of its rows
+    return let(matrix, lambda m: let(F.array_max(F.transform(m, F.size)), lambda w: to(m, w)))
 
 
 def normal(matrix: Column) -> Column:
     """Cleaned cells, no blank rows, rows of one length."""
-    cells = F.transform(matrix, lambda r: F.transform(r, lambda c: clean(F.coalesce(c, F.lit("")))))
+
+    def own(c: Column) -> Column:
+        # ASCII without blanks, as most cells are, stays as it is
+        return F.when(c.rlike(r"^[!-~]*\z"), c).otherwise(clean(F.coalesce(c, F.lit(""))))
+
+    cells = F.transform(matrix, lambda r: F.transform(r, own))
     return padded(F.filter(cells, lambda r: F.exists(r, lambda c: c != "")))
 
 

@@ -40,6 +40,36 @@ def test_measures_of_a_table_need_no_shuffle(spark):
     assert sorted((r.row_ord, r.label, r.field, r.low_cm, r.raw) for r in found.collect()) == want
 
 
+def test_a_matrix_is_cleaned_once(spark):
+    rows = [[[None, " a\tb ", "c"], ["", "  "], ["d"], [], ["é", "x y", "\u00a0z"]], [], None, [[]]]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(rows)], "i int, matrix array<array<string>>").withColumn("made", matrix.normal(F.col("matrix")))
+    assert plan(df).count("regexp_replace") == 1  # and not again for the width of each row
+    assert [r.made for r in df.orderBy("i").collect()] == [[["", "a b", "c"], ["d", "", ""], ["é", "x y", "z"]], [], None, []]
+
+
+def walked(tree):
+    return [(n.tag, n.attrs, n.begin, n.end, [c if isinstance(c, str) else c.tag for c in n.children]) for n in tree.nodes]
+
+
+def test_plain_markup_is_cut_as_the_parser_does(monkeypatch):
+    plain = [f"<{t}>" for t in ("p", "table", "tr", "TD", "h2", "br", "li", "b1")] + ["</p>", "</table>", "</tr>", "</TD>", "</x>", '<a href="/s" HREF="t"\n title="q">', "S", " > ", '"=\n', "\t", "é"]
+    other = ["&amp;", "<", "<br/>", "<p a=b>", "<p a='b'>", "<!-- <p> -->", "<script>", "<TITLE>", "</p >", '<p a="<">', "</>"]
+    rng, calls, left = random.Random(5), [], 0
+    feed = html.Tree.feed
+    monkeypatch.setattr(html.Tree, "feed", lambda self, page: (calls.append(page), feed(self, page)))
+    for k in range(3000):
+        page = "".join(rng.choice(plain + other * (k % 2)) for _ in range(rng.randrange(20)))
+        one, two = html.Tree(), html.Tree()
+        one.take(page)
+        assert not calls or k % 2
+        left += len(calls)
+        calls.clear()
+        feed(two, page)
+        two.close()
+        assert walked(one) == walked(two) and "".join(one.bare) == "".join(two.bare)
+    assert 1000 < left < 1500
+
+
 def test_measured_is_the_wide_form_of_measures(spark):
     turned = [list(x) for x in zip(*TABLE, strict=True)]
     rows = [(1, TABLE, "size-rows", "cm"), (2, turned, "size-columns", "in"), (3, turned, "unknown", None), (4, TABLE, "conversion-grid", "cm"), (5, [], "unknown", "cm"), (6, None, "size-rows", "cm")]
